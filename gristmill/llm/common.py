@@ -1,50 +1,18 @@
-"""Shared helpers: reading tables and cutting lineage in the folder that all executors see."""
+"""Helpers that the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from gristmill.plans.lineage import shared_dir, stable, stored
+
+__all__ = ["shared_dir", "shuffle_partitions", "stable", "stored", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, whole."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and the master is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gristmill-"))
-    return sc.getCheckpointDir()
-
-
-def stable(df: DataFrame) -> DataFrame:
-    """The same rows with lineage cut: a reliable checkpoint in the shared folder.
-
-    Rows and partitions do not change when an executor is lost later, and nothing upstream runs twice.
-    Spark's context cleaner removes the files once the frame is unreachable, if it is configured to.
-    """
-    spark = df.sparkSession
-    folder, sc = shared_dir(spark), spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table written to the shared folder; for wide rows, as files are compressed."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/gristmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
