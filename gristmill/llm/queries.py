@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, ngram_join, packing, quality, secrets
+from . import bm25, bpe, exact_dedup, line_dedup, ngram_join, packing, pii, quality, secrets, substring_dedup
 from .common import table
 
 
@@ -31,6 +31,24 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every document whose id is divisible by 20, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where(F.col("doc_id") % 20 == 0))
+
+
+#: Stands for a secret that a deployment keeps elsewhere; equal keys link pseudonyms across runs.
+PII_KEY = b"gristmill query key"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,6 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_topk_search": op6_topk_search,
+    "op7_pii": op7_pii,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
 }
