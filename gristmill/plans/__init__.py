@@ -1 +1,5 @@
-"""How plans are cut, shared and checked."""
+"""Query registry and lineage."""
+
+from .queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
