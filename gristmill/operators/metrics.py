@@ -76,15 +76,18 @@ def temperature_grid(points: int = 161, low: float = 0.25, high: float = 4.0) ->
     return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) * F.pow(F.lit(step), i.cast("double")))
 
 
-def fit_temperature(df: DataFrame, by: list[str], z: str, target: str, points: int = 161) -> DataFrame:
-    """The first grid point of least mean negative log-likelihood, for each group.
+def fit_temperature(df: DataFrame, by: list[str], z: str, target: str, most: int, points: int = 161, clip: float = 1e-12) -> DataFrame:
+    """The first grid point of least mean negative log-likelihood, for each group; up to ``most`` options.
 
-    The grid is expanded inside each row and folded back by a partial aggregate, so the shuffle carries one
-    row for each group and grid point from each task.
+    The grid is expanded after all else and folded back by a partial aggregate, so the shuffle carries one
+    row for each group and grid point from each task. The sum over options is written out, not a lambda, and
+    so stays in generated code.
     """
-    g = df.select(*by, z, target, F.posexplode(temperature_grid(points)).alias("_i", "t"))
-    nll = g.withColumn("_l", log_loss(softmax(F.col(z), F.col("t")), F.col(target).cast("int")))
-    mean = nll.groupBy(*by, "_i", "t").agg(F.round(F.avg("_l"), 9).alias("nll"))
+    lean = df.select(*by, *[(F.get(z, F.lit(i)) - F.array_max(z)).alias(f"_z{i}") for i in range(most)], (F.element_at(z, F.col(target).cast("int") + 1) - F.array_max(z)).alias("_y"))
+    g = lean.select("*", F.posexplode(temperature_grid(points)).alias("_i", "t"))
+    whole = sum((F.coalesce(F.exp(F.col(f"_z{i}") / F.col("t")), F.lit(0.0)) for i in range(most)), F.lit(0.0))
+    nll = F.least(F.ln(whole) - F.col("_y") / F.col("t"), -F.ln(F.lit(clip)))
+    mean = g.groupBy(*by, "_i", "t").agg(F.round(F.avg(nll), 9).alias("nll"))
     best = mean.groupBy(*by).agg(F.min(F.struct("nll", "_i", "t")).alias("b"))
     return best.select(*by, F.round("b.t", 6).alias("temperature"), F.round("b.nll", 6).alias("nll"), F.col("b._i").isin(0, points - 1).alias("at_boundary"))
 
@@ -113,7 +116,7 @@ def cluster_bootstrap(wide: DataFrame, cluster: str, resamples: int, seed: str =
     per = wide.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(F.col("b") - F.col("a")).alias("d"))
     drawn = per.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     u = hash8(digest(F.lit(seed), "i", cluster)) / F.lit(4294967296.0)
-    counted = drawn.withColumn("_u", u).withColumn("w", F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda acc, c: acc + F.when(F.col("_u") >= c, 1).otherwise(0)))
+    counted = drawn.withColumn("_u", u).withColumn("w", sum((F.when(F.col("_u") >= c, 1).otherwise(0) for c in POISSON), F.lit(0)))
     return counted.groupBy("i").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
 
 

@@ -10,7 +10,7 @@ from .graph import connected_components
 
 def sign_code(values: Column, bits: int) -> Column:
     """Bit i is set where value i is positive; up to 63 bits."""
-    flags = F.transform(F.slice(values, 1, bits), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    flags = F.transform(F.slice(values, 1, bits), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(flags, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
 

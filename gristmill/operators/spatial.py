@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,28 +32,15 @@ def nearest_negatives(df: DataFrame, group: str, is_target: Column, k: int) -> D
 def greedy_distinct(df: DataFrame, group: str, is_target: Column, k: int, limit: float = 0.1, pool: int = 64) -> DataFrame:
     """Up to k elements, nearest first, whose overlap with the target and with each chosen one is below ``limit``.
 
-    The choice depends on the choices before, so a group is handled as a whole, its ``pool`` nearest only.
+    The choice depends on the choices before: it is a fold over a group's ``pool`` nearest, in order.
     """
     near = nearest_negatives(df, group, is_target, pool).where(iou({c: F.col(c) for c in "ltwh"}, {c: F.col(f"target.{c}") for c in "ltwh"}) < limit)
-    slim = near.select(group, "element", "rank", "l", "t", "w", "h")
-
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        taken: list = []
-        for r in g.sort_values("rank").itertuples(index=False):
-            def overlap(o):
-                w = max(0.0, min(r.l + r.w, o.l + o.w) - max(r.l, o.l))
-                h = max(0.0, min(r.t + r.h, o.t + o.h) - max(r.t, o.t))
-                union = r.w * r.h + o.w * o.h - w * h
-                return w * h / union if union else 0.0
-
-            if all(overlap(o) < limit for o in taken):
-                taken.append(r)
-            if len(taken) == k:
-                break
-        return pd.DataFrame({group: [g[group].iloc[0]] * len(taken), "element": [o.element for o in taken], "place": range(1, len(taken) + 1)})
-
-    kinds = dict(df.dtypes)
-    return slim.groupBy(group).applyInPandas(choose, f"`{group}` {kinds[group]}, element {kinds['element']}, place long")
+    kind = near.select(F.struct("rank", "element", "l", "t", "w", "h").alias("e")).schema["e"].dataType
+    queue = near.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rank", "element", "l", "t", "w", "h"))).alias("_q"))
+    box = lambda s: {c: s[c] for c in "ltwh"}
+    accept = lambda out, s: (F.size(out) < k) & F.forall(out, lambda o: iou(box(s), box(o)) < limit)
+    taken = F.aggregate("_q", F.array().cast(f"array<{kind.simpleString()}>"), lambda out, s: F.when(accept(out, s), F.concat(out, F.array(s))).otherwise(out))
+    return queue.select(group, F.posexplode(taken).alias("_i", "_e")).select(group, F.col("_e.element").alias("element"), (F.col("_i") + 1).cast("long").alias("place"))
 
 
 def point_coverage(df: DataFrame, group: str, is_target: Column, top: int = 10) -> DataFrame:
