@@ -31,8 +31,9 @@ def bucket(hexed: Column, n: int) -> Column:
 
 def full_mod(hexed: Column, n: int) -> Column:
     """The whole 256-bit digest modulo ``n``, by folding digits."""
-    digits = F.transform(F.split(hexed, ""), lambda c: F.conv(c, 16, 10).cast("int"))
-    return F.aggregate(digits, F.lit(0), lambda acc, d: (acc * 16 + d) % n)
+    kind = "int" if n <= 1 << 26 else "long"  # 16 * n must fit
+    digits = F.transform(F.split(hexed, ""), lambda c: F.conv(c, 16, 10).cast(kind))
+    return F.aggregate(digits, F.lit(0).cast(kind), lambda acc, d: ((acc * 16 + d) % n).cast(kind))
 
 
 def normalised(c: Column | str, unicode: bool = False) -> Column:

@@ -36,9 +36,10 @@ def score(levels: Column, index: Column) -> tuple[Column, Column]:
     return options, F.when((index >= 0) & (index < F.size(levels)), index.cast("string"))
 
 
-def decision(**parts: Column) -> list[Column]:
+def decision(**parts: Column | None) -> list[Column]:
     """The columns of a decision row; what is not given is null."""
-    return [parts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DECISION]
+    given = {k: v for k, v in parts.items() if v is not None}
+    return [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DECISION]
 
 
 def option_keys(kind: Column, options: Column) -> Column:
