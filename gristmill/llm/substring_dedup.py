@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences, and a sentence further after any word whose hash falls in a fixed eighth, so
+A text is cut into sentences, and a sentence further after any word whose hash falls in a fixed fifth, so
 that a passage inside a longer sentence is cut alike wherever it stands. A *span* is the run of consecutive
 sentences from each sentence on that has at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words. All
 spans of all documents are hashed and range-partitioned by ``(hash, document, position)``; in that order
@@ -27,7 +27,8 @@ from .line_dedup import text_mark
 
 MIN_SENTENCES, MIN_WORDS = 3, 20
 _STOPS = ".!?"
-_CUT = np.uint64(7)
+#: A sentence is cut after one word hash in so many.
+_CUT = np.uint64(5)
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
 _WORD = re.compile(r"\S+")
@@ -42,7 +43,7 @@ def sentences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes, and the first word of each sentence with the number of words as the last entry."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
     stop = np.fromiter((w[-1] in _STOPS for w in words), dtype=bool, count=len(words))
-    ends = np.flatnonzero(stop | ((h >> np.uint64(7)) & _CUT == 0)) + 1
+    ends = np.flatnonzero(stop | ((h >> np.uint64(7)) % _CUT == 0)) + 1
     return h, np.unique(np.r_[0, ends, len(words)])
 
 
