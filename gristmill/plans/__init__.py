@@ -1,6 +1,6 @@
 """Query registry and lineage."""
 
-from . import evaluation  # noqa: F401  registers its queries
+from . import audits, evaluation  # noqa: F401  they register their queries
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -48,6 +48,42 @@ def test_paged_source(spark, tmp_path):
         spark.read.format("paged").options(**options, total="6").load().collect()
 
 
+def test_zip_members_by_range(spark, tmp_path):
+    import http.server
+    import re
+    import threading
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(20):
+            z.writestr(f"m{i}.txt", b"%d" % i * 5000)
+    data = (tmp_path / "a.zip").read_bytes()
+    spark.dataSource.register(scans.ZipSource)
+    assert spark.read.format("zip_members").options(location=str(tmp_path / "a.zip"), partitions="3").load().where("length(content) >= 5000").count() == 20
+
+    class Ranges(http.server.BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+
+        def do_GET(self):
+            a, b = map(int, re.findall(r"\d+", self.headers["Range"]))
+            self.send_response(206)
+            self.end_headers()
+            self.wfile.write(data[a : b + 1])
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Ranges)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        with io.BufferedReader(scans.RangeFile(f"http://127.0.0.1:{server.server_port}/a.zip", block=1000)) as f, zipfile.ZipFile(f) as z:
+            assert z.read("m13.txt") == b"13" * 5000
+    finally:
+        server.shutdown()
+
+
 def test_markup(spark):
     df = spark.createDataFrame([(1, '<a href="/x">The <b>link</b></a><input placeholder="Name"><button aria-label="Go">x</button>')], "id int, html string")
     assert [(r["tag"], r["name"]) for r in scans.html_controls(df, "id", "html").orderBy("place").collect()] == [("a", "The link"), ("input", "Name"), ("button", "Go")]
