@@ -110,12 +110,15 @@ def fillings(avail: np.ndarray, room: int, allowed: int, budget: int = 4000) ->
             found.append((0, len(taken) + 2, (*taken, int(pairs[-1]), int(room - pairs[-1]))))
             best = 0
             return
+        # A length is taken as often as it fits, then less often; below it come smaller lengths only, so the
+        # depth is bounded by how many different lengths fit, not by how many pieces.
         for x in lengths[::-1].tolist():
-            left[x] -= 1
-            walk(room - x, x, (*taken, x))
-            left[x] += 1
-            if nodes > budget or best == 0:
-                return
+            for times in range(min(int(left[x]), room // x), 0, -1):
+                left[x] -= times
+                walk(room - x * times, x - 1, (*taken, *(x,) * times))
+                left[x] += times
+                if nodes > budget or best == 0:
+                    return
 
     walk(room, room, ())
     return [f for _, _, f in sorted(found)]

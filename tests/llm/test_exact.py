@@ -146,6 +146,14 @@ def test_packing_beats_best_fit_where_it_can():
     assert sum(n for _, n in packing.solve(counts, 60)) == packing.lower_bound(counts, 60) == 3
 
 
+def test_packing_of_very_many_tiny_pieces():
+    counts = np.zeros(2049, dtype=np.int64)
+    counts[[1, 2, 3, 1500, 2040]] = 40_000, 5000, 7, 9, 3
+    plan = packing.solve(counts, 2048)
+    assert sum(n for _, n in plan) == packing.lower_bound(counts, 2048)
+    assert sum(sum(p) * n for p, n in plan) == int((counts * np.arange(2049)).sum())
+
+
 def test_packing_query(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -198,7 +206,7 @@ def test_join_brute_force(spark):
     rnd = random.Random(6)
     base = [[f"w{rnd.randrange(900)}" for _ in range(rnd.choice([3, 30, 120]))] for _ in range(12)]
     texts = {}
-    for i in range(260):
+    for i in range(420):
         w = list(rnd.choice(base if rnd.random() < 0.6 else base[:2]))
         for _ in range(rnd.choice([0, 0, 1, 1, 2, 6])):
             w[rnd.randrange(len(w))] = f"n{rnd.randrange(10_000)}"
