@@ -6,17 +6,19 @@ is a list of patterns: lengths that share a sequence, and how many sequences do
 sequence from their length and their rank among the pieces of that length, without a sort of the corpus: ranks
 are counted within each task and shifted by per-task totals.
 
-Solving: around the largest length left, fillings of the rest of the sequence are enumerated, those that
-another filling dominates left out, and cut off by the waste that is still allowed; best-fit decreasing gives
-the first incumbent. Sequences at the end of the list, where most waste is, are then searched again together
-by the same branch and bound with backtracking, within a node budget.
+Solving: best-fit decreasing, or one filling around the largest length left at a time, gives the incumbent.
+Its most wasteful sequences are then searched again together for one fewer, by branch and bound: around the
+largest length left, all fillings within the waste that is still allowed are tried, least waste first, but
+those that another one dominates. A search meets a bounded number of fillings; rounds go on while they improve.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -71,12 +73,11 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     return [x for g in groups.values() for x in g]
 
 
-def fillings(avail: np.ndarray, room: int, allowed: int, budget: int = 4000) -> list[Pattern]:
-    """Undominated fillings of ``room`` that waste ``allowed`` at most, least waste first, then fewest pieces.
+def quick_fillings(avail: np.ndarray, room: int, allowed: int, budget: int = 4000) -> list[Pattern]:
+    """A few fillings of ``room`` that waste ``allowed`` at most, least waste first, then fewest pieces.
 
-    Lengths are tried from the largest; a filling is dominated if one unused piece still fits, and one that
-    swaps pieces for a larger single piece is met before it. A branch ends when no filling below it can
-    waste less than the incumbent.
+    Lengths are tried from the largest; each filling wastes less than the one found before it, and the first
+    without waste ends the walk. Those left out are met by ``fillings``.
     """
     found: list[tuple[int, int, Pattern]] = []
     best, nodes = allowed + 1, 0
@@ -124,6 +125,63 @@ def fillings(avail: np.ndarray, room: int, allowed: int, budget: int = 4000) ->
     return [f for _, _, f in sorted(found)]
 
 
+def _with(bits: int, length: int, n: int) -> int:
+    """The sums ``bits`` with up to ``n`` pieces of ``length`` added."""
+    k = 1
+    while n > 0:
+        bits |= bits << length * min(k, n)
+        n, k = n - k, 2 * k
+    return bits
+
+
+def fillings(avail: np.ndarray, room: int, allowed: int, spend: Callable[[], bool] = lambda: True) -> Iterator[Pattern]:
+    """Every undominated filling of ``room`` that wastes ``allowed`` at most, lazily, least waste first, then largest pieces.
+
+    A filling is dominated if an unused piece still fits, alone or in the place of one or more smaller ones: their
+    places can be exchanged in any packing. So all pieces no longer than the waste are in it. Sets of reachable sums
+    are bits of an integer, so every branch that is entered leads to a filling. ``spend`` is asked once for each
+    filling that is met, and ends the enumeration.
+    """
+    lengths = np.flatnonzero(avail[: room + 1]).tolist()
+    number = [min(int(avail[x]), room // x + 1) for x in lengths]
+
+    def dominated(fill: Pattern, waste: int) -> bool:
+        used, sums = Counter(fill), 1
+        for x, n in zip(lengths, number):
+            low = max(x - waste, 0)
+            if n > used[x] and sums >> low & ((1 << x - low + 1) - 1):
+                return True
+            sums = _with(sums, x, used[x])
+        return False
+
+    for waste in range(min(allowed, room) + 1):
+        low = bisect_right(lengths, waste)
+        forced = tuple(x for x, n in zip(lengths[:low][::-1], number[:low][::-1]) for _ in range(n))
+        if sum(forced) > room - waste:
+            return
+        reach = {low: 1 << sum(forced)}
+        for i in range(low, len(lengths)):
+            reach[i + 1] = _with(reach[i], lengths[i], number[i]) & ((1 << room + 1) - 1)
+
+        def exact(i: int, rest: int) -> Iterator[Pattern]:
+            for j in range(min(i, bisect_right(lengths, rest)), low, -1):
+                if not reach[j] >> rest & 1:
+                    return
+                x = lengths[j - 1]
+                for times in range(min(number[j - 1], rest // x), 0, -1):
+                    if reach[j - 1] >> rest - x * times & 1:
+                        for tail in exact(j - 1, rest - x * times):
+                            yield (*(x,) * times, *tail)
+            if rest == sum(forced):
+                yield forced
+
+        for fill in exact(len(lengths), room - waste):
+            if not spend():
+                return
+            if not dominated(fill, waste):
+                yield fill
+
+
 def completion(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     """Bin completion over the histogram: each pattern is used as often as its scarcest length allows."""
     left, out = counts.astype(np.int64).copy(), []
@@ -133,7 +191,7 @@ def completion(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
             return out
         top = int(lengths[-1])
         left[top] -= 1
-        fill = fillings(left, capacity - top, capacity) if capacity > top else []
+        fill = quick_fillings(left, capacity - top, capacity) if capacity > top else []
         left[top] += 1
         pattern = (top, *(fill[0] if fill else ()))
         need = Counter(pattern)
@@ -144,62 +202,90 @@ def completion(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
 
 
 def search(items: list[int], capacity: int, target: int, budget: int = 3000) -> list[Pattern] | None:
-    """Packs ``items`` into ``target`` sequences by bin completion with backtracking, or finds no way."""
+    """Packs ``items`` into ``target`` sequences by bin completion with backtracking over all undominated fillings.
+
+    Passes with quick fillings only and with the first 2 and 8 at each step go before the one with all, so that
+    early choices are revised too. None if there is no way, or no pass found one among the first ``budget`` fillings it met.
+    """
     counts = np.bincount(items, minlength=capacity + 1).astype(np.int64)
     slack = target * capacity - sum(items)
-    nodes = 0
+    width, nodes, cut = None, 0, False
+    failed: set[tuple[int, bytes]] = set()
 
-    def step(slack: int, out: list[Pattern]) -> list[Pattern] | None:
+    def spend() -> bool:
         nonlocal nodes
         nodes += 1
+        return nodes <= budget
+
+    def step(slack: int, out: list[Pattern]) -> list[Pattern] | None:
+        nonlocal cut
         lengths = np.flatnonzero(counts)
         if not len(lengths):
             return out
-        if nodes > budget or len(out) == target:
+        state = (slack, counts.tobytes())
+        if len(out) == target or state in failed:
             return None
         top = int(lengths[-1])
         counts[top] -= 1
-        for fill in fillings(counts, capacity - top, slack, 300) or ([()] if capacity - top <= slack else []):
-            waste = capacity - top - sum(fill)
-            if waste > slack:
-                continue
+        if width == 0:
+            found, cut = takewhile(lambda _: spend(), quick_fillings(counts, capacity - top, slack, 300) or [()] * (capacity - top <= slack)), True
+        else:
+            found = fillings(counts.copy(), capacity - top, slack, spend)
+        for k, fill in enumerate(found):
+            if width and k == width:
+                cut = True
+                break
             for x in fill:
                 counts[x] -= 1
-            done = step(slack - waste, [*out, (top, *fill)])
+            done = step(slack - (capacity - top - sum(fill)), [*out, (top, *fill)])
             for x in fill:
                 counts[x] += 1
             if done is not None:
                 return done
+            if nodes > budget:
+                break
         counts[top] += 1
+        failed.add(state)
         return None
 
-    return step(slack, []) if slack >= 0 else None
+    for width in (0, 2, 8, None) if slack >= 0 else ():
+        nodes, cut = 0, False
+        failed.clear()
+        counts[:] = np.bincount(items, minlength=capacity + 1)
+        done = step(slack, [])
+        if done is not None or not cut and nodes <= budget:
+            return done
+    return None
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = 12, pool: int = 48) -> list[tuple[Pattern, int]]:
+def solve(counts: np.ndarray, capacity: int, pool: int = 48) -> list[tuple[Pattern, int]]:
     """Patterns and multiplicities that pack the histogram into few sequences."""
     total = lambda plan: sum(n for _, n in plan)
     bound = lower_bound(counts, capacity)
     plan = min(best_fit(counts, capacity), completion(counts, capacity), key=total)
-    for r in range(rounds):
-        if total(plan) <= bound:
-            break
-        # The most wasteful sequences, and some full ones for variety, are packed anew with one fewer.
-        singles, rest, size = [], [], 0
-        for pattern, n in sorted(plan, key=lambda x: (sum(x[0]), x[0])):
-            take = 0
-            while take < n and size + len(pattern) <= pool * (1 + r % 3):
-                size, take = size + len(pattern), take + 1
-            singles += [pattern] * take
-            if n > take:
-                rest.append((pattern, n - take))
+    tries, t = [(pool, pool), (2 * pool, 2 * pool), (3 * pool, 3 * pool), (2 * pool, pool), (3 * pool, 2 * pool)], 0
+    while total(plan) > bound and t < len(tries):
+        # The most wasteful sequences, and some others from all over the list, are packed anew with one fewer.
+        most, wasteful = tries[t]
+        plan = sorted(plan, key=lambda x: (sum(x[0]), x[0]))
+        singles, taken, size = [], Counter(), 0
+        for goal, order in ((wasteful, range(len(plan))), (most, np.unique(np.linspace(0, len(plan) - 1, most).astype(int)).tolist()[::-1])):
+            for i in order:
+                pattern, n = plan[i]
+                while taken[i] < n and size + len(pattern) <= goal:
+                    size, taken[i] = size + len(pattern), taken[i] + 1
+                    singles.append(pattern)
+                    if goal > wasteful:
+                        break
+                if size >= goal:
+                    break
+        rest = [(pattern, n - taken[i]) for i, (pattern, n) in enumerate(plan) if n > taken[i]]
         items = [x for p in singles for x in p]
         better = search(items, capacity, len(singles) - 1) if items else None
         if better is None:
-            if r % 3 == 2:
-                break
+            t += 1
             continue
-        plan = [*rest, *((p, 1) for p in better)]
+        plan, t = [*rest, *((p, 1) for p in better)], 0
     return plan
 
 
