@@ -1,13 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences, and a sentence further after any word whose hash falls in a fixed fifth, so
-that a passage inside a longer sentence is cut alike wherever it stands. A *span* is the run of consecutive
+A text is cut into sentences, and further after the word of the least hash in each window of ``_WINDOW``
+words. So every window holds a cut, and a passage is cut alike wherever it stands, but for the ``_WINDOW - 1``
+words at either end: of 49 words or more, it has a whole span between its inner cuts. A *span* is the run of consecutive
 sentences from each sentence on that has at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words. All
 spans of all documents are hashed and range-partitioned by ``(hash, document, position)``; in that order
 every row but the first of its hash is a repeat, so one streamed comparison with the row before finds them,
 and a span that a third of all documents hold is spread over many partitions. Only the first row of a
 partition depends on another: one row for each partition is settled on the driver. Sentences that a repeat
-covers are removed from their document.
+covers are removed from their document; words of a passage outside its inner cuts stay.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .line_dedup import text_mark
 
 MIN_SENTENCES, MIN_WORDS = 3, 20
 _STOPS = ".!?"
-#: A sentence is cut after one word hash in so many.
-_CUT = np.uint64(5)
+#: A text is cut after the least word hash of so many words in a row.
+_WINDOW = 8
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
 _WORD = re.compile(r"\S+")
@@ -43,8 +44,9 @@ def sentences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes, and the first word of each sentence with the number of words as the last entry."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
     stop = np.fromiter((w[-1] in _STOPS for w in words), dtype=bool, count=len(words))
-    ends = np.flatnonzero(stop | ((h >> np.uint64(7)) % _CUT == 0)) + 1
-    return h, np.unique(np.r_[0, ends, len(words)])
+    if len(h) >= _WINDOW:
+        stop[np.lib.stride_tricks.sliding_window_view(h, _WINDOW).argmin(axis=1) + np.arange(len(h) - _WINDOW + 1)] = True
+    return h, np.unique(np.r_[0, np.flatnonzero(stop) + 1, len(words)])
 
 
 def spans(words: list[str], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

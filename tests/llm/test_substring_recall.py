@@ -1,0 +1,31 @@
+"""Recall of substring dedup on planted passages, by words and without the module's own cuts."""
+
+import random
+
+from gristmill.llm import substring_dedup
+
+
+def planted(seed: int, n: int, length: int):
+    """Pairs of unpunctuated texts that share one passage of ``length`` words and nothing else."""
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    for _ in range(n):
+        passage = [word() for _ in range(length)]
+        yield passage, *([word() for _ in range(rnd.randrange(40))] + passage + [word() for _ in range(rnd.randrange(40))] for _ in range(2))
+
+
+def test_every_planted_passage_shares_a_span():
+    for length in (49, 51, 60):
+        for passage, a, b in planted(length, 700, length):
+            assert set(substring_dedup.spans(a)[0].tolist()) & set(substring_dedup.spans(b)[0].tolist()), passage
+
+
+def test_every_later_copy_is_cut(spark):
+    pairs = list(planted(3, 400, 51))
+    docs = spark.createDataFrame([(2 * i + k, " ".join(t)) for i, (_, *both) in enumerate(pairs) for k, t in enumerate(both)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split() for r in substring_dedup.dedup(docs).collect()}
+    for i, (passage, a, b) in enumerate(pairs):
+        assert got[2 * i] == a
+        left = set(got[2 * i + 1])
+        assert len(left & set(passage)) <= len(passage) - substring_dedup.MIN_WORDS
+        assert set(b) - set(passage) <= left
