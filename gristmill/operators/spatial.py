@@ -19,24 +19,30 @@ def with_target(df: DataFrame, group: str, is_target: Column) -> DataFrame:
     return df.join(t, group).where("target IS NOT NULL")
 
 
-def nearest_negatives(df: DataFrame, group: str, is_target: Column, k: int) -> DataFrame:
-    """The k elements nearest to the target of their group, those of the same role first."""
+def negatives(df: DataFrame, group: str, is_target: Column) -> DataFrame:
+    """Elements other than the target of their group, with their distance from it."""
     both = with_target(df, group, is_target).where(F.col("element") != F.col("target.element"))
     x, y = centre()
     tx, ty = centre("target.")
-    away = both.withColumn("distance", F.round(F.pow(x - tx, F.lit(2.0)) + F.pow(y - ty, F.lit(2.0)), 6))
+    return both.withColumn("distance", F.round(F.pow(x - tx, F.lit(2.0)) + F.pow(y - ty, F.lit(2.0)), 6))
+
+
+def nearest_negatives(df: DataFrame, group: str, is_target: Column, k: int) -> DataFrame:
+    """The k elements nearest to the target of their group, those of the same role first."""
     w = Window.partitionBy(group).orderBy((F.col("role") != F.col("target.role")).cast("int"), "distance", "element")
-    return away.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return negatives(df, group, is_target).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def greedy_distinct(df: DataFrame, group: str, is_target: Column, k: int, limit: float = 0.1, pool: int = 64) -> DataFrame:
+def greedy_distinct(df: DataFrame, group: str, is_target: Column, k: int, limit: float = 0.1) -> DataFrame:
     """Up to k elements, nearest first, whose overlap with the target and with each chosen one is below ``limit``.
 
-    The choice depends on the choices before: it is a fold over a group's ``pool`` nearest, in order.
+    The choice depends on the choices before: it is a fold over all elements of a group that are clear of the
+    target, in the order of ``nearest_negatives``.
     """
-    near = nearest_negatives(df, group, is_target, pool).where(iou({c: F.col(c) for c in "ltwh"}, {c: F.col(f"target.{c}") for c in "ltwh"}) < limit)
-    kind = near.select(F.struct("rank", "element", "l", "t", "w", "h").alias("e")).schema["e"].dataType
-    queue = near.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rank", "element", "l", "t", "w", "h"))).alias("_q"))
+    near = negatives(df, group, is_target).where(iou({c: F.col(c) for c in "ltwh"}, {c: F.col(f"target.{c}") for c in "ltwh"}) < limit)
+    near = near.withColumn("other", (F.col("role") != F.col("target.role")).cast("int"))
+    kind = near.select(F.struct("other", "distance", "element", "l", "t", "w", "h").alias("e")).schema["e"].dataType
+    queue = near.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("other", "distance", "element", "l", "t", "w", "h"))).alias("_q"))
     box = lambda s: {c: s[c] for c in "ltwh"}
     accept = lambda out, s: (F.size(out) < k) & F.forall(out, lambda o: iou(box(s), box(o)) < limit)
     taken = F.aggregate("_q", F.array().cast(f"array<{kind.simpleString()}>"), lambda out, s: F.when(accept(out, s), F.concat(out, F.array(s))).otherwise(out))

@@ -3,7 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from gristmill.operators import spatial
 from gristmill.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +21,10 @@ def test_typed_requests_answer_every_order(spark):
         assert got[i]["kind"] == ("noul" if noul else "choice")
         assert got[i]["probabilities"] == pytest.approx([1 / 3, 2 / 3] if noul else [x / 15 for x in range(1, 6)])
         assert got[i]["choice"] == (None if noul else "5-LOW") and got[i]["value"] == (0.666667 if noul else None)
+
+
+def test_greedy_boxes_reach_beyond_many_near_ones(spark):
+    # 80 boxes on the target, then 80 on one place, then two clear ones; all of one role.
+    rows = [(1, 0, 0.0, 10.0)] + [(1, i, 0.01 * i, 10.0) for i in range(1, 81)] + [(1, i, 20.0 + 0.001 * i, 10.0) for i in range(81, 161)] + [(1, 161, 40.0, 10.0), (1, 162, 60.0, 10.0)]
+    df = spark.createDataFrame(rows, "g int, element int, l double, w double").select("*", F.lit("a").alias("role"), F.lit(0.0).alias("t"), F.lit(10.0).alias("h"))
+    assert [r["element"] for r in spatial.greedy_distinct(df, "g", F.col("element") == 0, 3).orderBy("place").collect()] == [81, 161, 162]
