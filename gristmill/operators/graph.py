@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.plans.lineage import stable
+from gristmill.lineage import stable
 
 
 def _signature(edges: DataFrame) -> tuple:

@@ -1,4 +1,4 @@
-"""Query registry and lineage."""
+"""Query registry."""
 
 from . import audits, evaluation  # noqa: F401  they register their queries
 from .queries import ORACLE_SQL, QUERIES

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from gristmill.plans.lineage import shared_dir
+from gristmill.lineage import shared_dir
 
 
 def read_new(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
