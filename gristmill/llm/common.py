@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.plans.lineage import shared_dir, stable, stored
+from gristmill.lineage import shared_dir, stable, stored
 
 __all__ = ["shared_dir", "shuffle_partitions", "stable", "stored", "table"]
 
