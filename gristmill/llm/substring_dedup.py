@@ -1,14 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences, and further after the word of the least hash in each window of ``_WINDOW``
-words. So every window holds a cut, and a passage is cut alike wherever it stands, but for the ``_WINDOW - 1``
-words at either end: of 49 words or more, it has a whole span between its inner cuts. A *span* is the run of consecutive
-sentences from each sentence on that has at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words. All
-spans of all documents are hashed and range-partitioned by ``(hash, document, position)``; in that order
-every row but the first of its hash is a repeat, so one streamed comparison with the row before finds them,
-and a span that a third of all documents hold is spread over many partitions. Only the first row of a
-partition depends on another: one row for each partition is settled on the driver. Sentences that a repeat
-covers are removed from their document; words of a passage outside its inner cuts stay.
+A sentence ends at a word that ends in a full stop, an exclamation or a question mark. A sentence of more than
+``WINDOW`` words is cut further, after the word of the least hash in each run of ``WINDOW`` words, so that a long
+sentence is cut alike wherever a passage enters or leaves it. Any ``WINDOW`` words in a row hold a cut, and the cuts
+of a passage depend on the passage alone but for ``WINDOW - 1`` words at either end. A *span* is the run of
+consecutive sentences from each sentence on that has at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words:
+a passage of ``MIN_WORDS + 3 * (WINDOW - 1)`` = 51 words or more always holds a whole one.
+
+All spans of all documents are hashed (96 bits) and range-partitioned by ``(hash, document, position)``; in that
+order every row but the first of its hash is a repeat, so one streamed pass finds them, and a span that a third of
+all documents hold is spread over many partitions. Only the first row of a partition depends on another: two rows
+for each partition are settled on the driver. Sentences that a repeat covers are removed from their document; words
+of a passage outside its inner cuts stay.
 """
 
 from __future__ import annotations
@@ -18,23 +21,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stable, stored
-from .line_dedup import text_mark
+from .common import shuffle_partitions, stable
 
-MIN_SENTENCES, MIN_WORDS = 3, 20
-_STOPS = ".!?"
-#: A text is cut after the least word hash of so many words in a row.
-_WINDOW = 8
+MIN_SENTENCES, MIN_WORDS = 3, 30
+#: A sentence of more words is cut after the least word hash of so many words in a row.
+WINDOW = 8
+_STOPS = (".", "!", "?")
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
 _WORD = re.compile(r"\S+")
 
 
+class _Hashes(dict):
+    """Word hashes, a bounded number of them kept; the lowest bit says that the word ends a sentence."""
+
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh3_64_intdigest(word) >> 1 << 1 | word.endswith(_STOPS)
+        if len(self) < 200_000:
+            self[word] = value
+        return value
+
+
+_HASHES = _Hashes()
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.cumprod(np.r_[np.uint64(1), np.full(max(n - 1, 0), np.uint64(base))], dtype=np.uint64)[:n]
@@ -42,121 +58,165 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 def sentences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes, and the first word of each sentence with the number of words as the last entry."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-    stop = np.fromiter((w[-1] in _STOPS for w in words), dtype=bool, count=len(words))
-    if len(h) >= _WINDOW:
-        stop[np.lib.stride_tricks.sliding_window_view(h, _WINDOW).argmin(axis=1) + np.arange(len(h) - _WINDOW + 1)] = True
+    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    stop = (h & np.uint64(1)).astype(bool)
+    if len(h) > WINDOW:
+        ends = np.unique(np.r_[np.flatnonzero(stop) + 1, len(h)])
+        long = np.repeat(np.diff(np.r_[0, ends]) > WINDOW, np.diff(np.r_[0, ends]))
+        least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
+        stop[least[long[least]]] = True
     return h, np.unique(np.r_[0, np.flatnonzero(stop) + 1, len(words)])
 
 
-def spans(words: list[str], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, first sentence, end sentence)`` of every span, by first sentence; ``words`` in lower case."""
+def spans(words: list[str], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, more bits of it, first sentence, end sentence)`` of every span, by first sentence; ``words`` in lower case."""
     if not words:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=int), np.zeros(0, dtype=int)
     h, at = sentences(words)
     first = np.arange(len(at) - 1)
     end = np.maximum(np.searchsorted(at, at[:-1] + min_words), first + min_sentences)
     first, end = first[end < len(at)], end[end < len(at)]
-    with np.errstate(over="ignore"):
-        total = np.r_[np.uint64(0), np.cumsum(h * _powers(len(h), _MULT), dtype=np.uint64)]
-        out = (total[at[end]] - total[at[first]]) * _powers(len(h) + 1, _INVERSE)[at[first]] + (at[end] - at[first]).astype(np.uint64)
+    powers, back = _powers(len(h), _MULT), _powers(len(h) + 1, _INVERSE)[at[first]]
+    size = (at[end] - at[first]).astype(np.uint64)
+
+    def rolled(h: np.ndarray) -> np.ndarray:
+        total = np.r_[np.uint64(0), np.cumsum(h * powers, dtype=np.uint64)]
+        out = (total[at[end]] - total[at[first]]) * back + size
         out = (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(32)), first, end
+        return out ^ (out >> np.uint64(32))
+
+    with np.errstate(over="ignore"):
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return rolled(h), (rolled(mixed ^ (mixed >> np.uint64(32))) >> np.uint64(32)).astype(np.uint32).view(np.int32), first, end
 
 
-def _hashes(min_sentences: int, min_words: int):
+def _rows(min_sentences: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out = [spans((t or "").lower().split(), min_sentences, min_words)[0].view(np.int64) for t in part.column(2).to_pylist()]
-                offsets = np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32)
-                values = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))], ["doc_id", "mark", "hashes"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [spans((t or "").lower().split(), min_sentences, min_words) for t in part.column(2).to_pylist()]
+                size = [len(f[0]) for f in found]
+                row = pa.array(np.repeat(np.arange(len(size)), size))
+                columns = [np.concatenate([f[0] for f in found]).view(np.int64), np.concatenate([f[1] for f in found])]
+                pos = np.concatenate([f[2] for f in found]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), part.column(0).take(row), part.column(1).take(row), pa.array(pos)], ["hash", "more", "doc_id", "mark", "pos"])
 
     return run
 
 
+_SPAN = "hash long, more int, doc_id long, mark long, pos int"
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that repeat the hash of the row before. ``edge`` 1: the partition's first row; 2: its last."""
-    part, last = TaskContext.get().partitionId(), None
+    """Rows of a hash other than its first one here. ``edge`` 1: the partition's first row; 2: the first row of its last hash.
+
+    Rows that repeat whole (of documents that do) are one: a row equal to the first of its hash is no repeat.
+    """
+    part, last = TaskContext.get().partitionId(), None  # last: the first row of the open hash
     for batch in batches:
-        h = batch.column(0).to_numpy()
-        if not len(h):
+        if not batch.num_rows:
             continue
-        same = np.r_[last is not None and h[0] == last, h[1:] == h[:-1]]
-        edge = np.zeros(len(h), dtype=np.int32)
+        keys = [pc.fill_null(c, 0).to_numpy() for c in batch.columns]
+        fresh = np.r_[True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])]
+        own = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))  # the first row of each row's hash in this batch
+        goes_on = last is not None and tuple(k[0] for k in keys[:2]) == last[1][:2]
+        equal = np.logical_and.reduce([k == np.where(own > 0, k[own], last[1][i] if goes_on else k[0]) for i, k in enumerate(keys)])
+        edge = np.zeros(len(fresh), dtype=np.int32)
         if last is None:
             edge[0] = 1
-        keep = same | (edge > 0)
-        last = h[-1]
+        keep = ~equal | (edge > 0)
         picked = batch.filter(pa.array(keep))
-        yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(edge[keep], pa.int32()), pa.array(np.full(int(keep.sum()), part), pa.int32())], [*batch.schema.names, "edge", "part"])
+        yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(edge[keep]), pa.array(np.full(int(keep.sum()), part, dtype=np.int32))], [*batch.schema.names, "edge", "part"])
+        if own[-1] or not goes_on:
+            last = batch.slice(int(own[-1]), 1), tuple(k[own[-1]] for k in keys)
     if last is not None:
-        names, kinds = ["hash", "uid", "pos", "edge", "part"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((int(last), None, None, 2, part), kinds)], names)
+        yield pa.RecordBatch.from_arrays([*last[0].columns, pa.array([2], pa.int32()), pa.array([part], pa.int32())], [*last[0].schema.names, "edge", "part"])
+
+
+def _mark(doc_id: Column, text: Column) -> Column:
+    """64-bit mark that, with the id, tells rows apart where ids repeat."""
+    return F.xxhash64(text, text.isNull(), doc_id.isNull())
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(doc_id.alias("doc_id"), _mark(doc_id, text).alias("mark"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """``doc_id, mark, repeats``: numbers of the first sentences of a document's spans that are repeats."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    held = stored(slim.mapInArrow(_hashes(min_sentences, min_words), "doc_id long, mark long, hashes array<bigint>").withColumn("uid", F.monotonically_increasing_id()))
-    rows = held.select("doc_id", "uid", F.posexplode("hashes").alias("pos", "hash"))
-    order = ["hash", "doc_id", "uid", "pos"]
+    """``doc_id, mark, repeats``: numbers of the first sentences of a document's spans that are repeats.
+
+    The first occurrence of a span is that of the smallest id, then mark, then position. Defined cases: null and
+    empty texts and those shorter than a span have none; rows that repeat an id and a text are one document here;
+    null ids come first; an empty table gives no rows; texts of any length are hashed whole; other columns are ignored.
+    """
+    rows = _slim(docs, id_col, text_col).mapInArrow(_rows(min_sentences, min_words), _SPAN)
+    order = ["hash", "more", "doc_id", "mark", "pos"]
     ranged = rows.repartitionByRange(partitions or shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    found = stable(ranged.select("hash", "uid", "pos").mapInArrow(_repeats, "hash long, uid long, pos int, edge int, part int"))
-    # Two rows for each partition: a first row is a repeat if the nearest partition before ends in its hash.
-    edges = found.where("edge > 0").select("part", "edge", "hash", "uid", "pos").collect()
+    found = stable(ranged.mapInArrow(_repeats, _SPAN + ", edge int, part int"))
+    # Two rows for each partition: its first row is a repeat if the hash that was open before it goes on.
+    edges = found.where("edge > 0").collect()
     last, extra = None, []
     for r in sorted(edges, key=lambda r: (r["part"], r["edge"])):
-        if r["edge"] == 1 and last == r["hash"]:
-            extra.append((r["uid"], r["pos"]))
-        last = r["hash"] if r["edge"] == 2 else last
-    more = docs.sparkSession.createDataFrame(extra, "uid long, pos int")
-    per_doc = found.where("edge = 0").select("uid", "pos").unionByName(more).groupBy("uid").agg(F.collect_list("pos").alias("repeats"))
-    return per_doc.join(held.select("uid", "doc_id", "mark"), "uid").groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("repeats"))).alias("repeats"))
+        goes_on = last is not None and (last["hash"], last["more"]) == (r["hash"], r["more"])
+        if r["edge"] == 1 and goes_on and tuple(r)[:5] != tuple(last)[:5]:
+            extra.append(tuple(r)[2:5])
+        if not goes_on:
+            last = r
+    more = docs.sparkSession.createDataFrame(extra, "doc_id long, mark long, pos int")
+    return found.where("edge = 0").select("doc_id", "mark", "pos").unionByName(more).groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("repeats"))
 
 
-def cut(text: str, repeats: list[int], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[str, int, int]:
-    """The text without the sentences that repeats cover; its number of sentences and of those removed.
+def cut(text: str, repeats: list[int] | None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[str, int]:
+    """The text without the sentences that repeats cover, and their number; ``None``: every span is a repeat.
 
     A removed sentence takes the blanks after it along; all other characters stay.
     """
     words = list(_WORD.finditer(text))
-    if not words:
-        return text, 0, 0
     lower = text.lower().split()
-    _, first, end = spans(lower, min_sentences, min_words)
+    _, _, first, end = spans(lower, min_sentences, min_words)
+    if not len(first):
+        return text, 0
     _, at = sentences(lower)
+    which = np.arange(len(first)) if repeats is None else np.array(repeats, dtype=int)
     gone = np.zeros(len(at), dtype=int)
-    for k in repeats:
-        gone[first[k]] += 1
-        gone[end[k]] -= 1
+    np.add.at(gone, first[which], 1)
+    np.subtract.at(gone, end[which], 1)
     gone = np.cumsum(gone)[:-1] > 0
     begins = [words[i].start() if i else 0 for i in at[:-1]] + [len(text)]
-    return "".join(text[begins[i] : begins[i + 1]] for i in np.flatnonzero(~gone)), len(gone), int(gone.sum())
+    return "".join(text[begins[i] : begins[i + 1]] for i in np.flatnonzero(~gone)), int(gone.sum())
 
 
 def dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, n_sentences, n_removed``: every document without its repeated sentences.
+    """``doc_id, text, n_removed``: every document without its repeated sentences, and how many these were.
 
-    The first occurrence, by id, then by row and position, stays. A repeat inside one document counts.
+    The first occurrence, by id, then by a hash of the text, then by position, stays. A repeat inside one document
+    counts.
 
     Defined cases: null stays null and counts as empty; texts with fewer words or sentences than a span stay
-    whole; of rows with equal id and text every one is cut where any is; null ids come first, so theirs stay;
-    an empty table gives no rows; other columns are ignored.
+    whole; of rows with equal id and text one is cut as if it stood alone, and the others lose every span, as each
+    is there already; null ids come first, so theirs stay; an empty table gives no rows; texts of any length are
+    cut whole; other columns are ignored.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hits = repeated_spans(slim, min_sentences, min_words).withColumnsRenamed({"doc_id": "_doc", "mark": "_hit"})
-    marked = slim.withColumn("_mark", text_mark(F.col("text")))
-    both = marked.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_hit")), "left").select("doc_id", "text", "repeats")
+    slim = _slim(docs, id_col, text_col)
+    hits = repeated_spans(docs, min_sentences, min_words, id_col, text_col).withColumnsRenamed({"doc_id": "hit_id", "mark": "hit_mark"})
+    both = slim.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left").select("doc_id", "mark", "text", "repeats", F.lit(0).alias("copy"))
+    again = stable(slim.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1"))
+    if not again.isEmpty():
+        # Copies are counted with their text aggregated in each task first, and dealt out again by their number.
+        keyed = both.join(again.withColumnsRenamed({"doc_id": "again_id", "mark": "again_mark"}), F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("mark") == F.col("again_mark")), "left")
+        copies = keyed.where("n IS NOT NULL").groupBy("doc_id", "mark").agg(F.first("text").alias("text"), F.first("repeats").alias("repeats"), F.first("n").alias("n"))
+        copies = copies.select("doc_id", "mark", "text", "repeats", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy"))
+        both = keyed.where("n IS NULL").select("doc_id", "mark", "text", "repeats", "copy").unionByName(copies)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                done = [cut(t, r or [], min_sentences, min_words) if t else (t, 0, 0) for t, r in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-                text, n, gone = zip(*done) if done else ([], [], [])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
-
-    return both.mapInArrow(run, "doc_id long, text string, n_sentences long, n_removed long")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist())
+                done = [cut(t, None if c else r, min_sentences, min_words) if t and (c or r) else (t, 0) for t, r, c in rows]
+                text, gone = zip(*done) if done else ([], [])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_removed"])
+
+    return both.drop("mark").mapInArrow(run, "doc_id long, text string, n_removed long")

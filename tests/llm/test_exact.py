@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gristmill.llm import bm25, exact_dedup, line_dedup, ngram_join, packing, pii, quality, secrets, substring_dedup
+from gristmill.llm import bm25, exact_dedup, line_dedup, ngram_join, packing, pii, quality, secrets
 from gristmill.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -280,36 +280,6 @@ def test_pseudonyms_keep_format_and_links():
     assert len(out) == len(t) - len("10.20.30.40") + len(next(v for _, _, k, v in found if k == "ip"))
 
 
-def test_substring_brute_force_with_many_partitions(spark):
-    rnd = random.Random(8)
-    vocabulary = [f"w{i}" for i in range(400)]
-    passages = [" ".join(rnd.choice(vocabulary) + (". " if rnd.random() < 0.12 else "") for _ in range(60)).replace("  ", " ") for _ in range(4)]
-    texts = {}
-    for i in range(80):
-        words = [rnd.choice(vocabulary) + ("." if rnd.random() < 0.1 else "") for _ in range(rnd.randrange(0, 90))]
-        if rnd.random() < 0.6:
-            words.insert(rnd.randrange(len(words) + 1), rnd.choice(passages[:2] if rnd.random() < 0.7 else passages))
-        texts[i] = " ".join(words)
-    seen, want = set(), {}
-    for i, t in texts.items():
-        w = t.lower().split()
-        _, first, end = substring_dedup.spans(w)
-        at = substring_dedup.sentences(w)[1] if w else []
-        repeats = []
-        for k in range(len(first)):
-            span = tuple(w[at[first[k]] : at[end[k]]])
-            assert len(span) >= 20 and end[k] - first[k] >= 3
-            if span in seen:
-                repeats.append(k)
-            seen.add(span)
-        want[i] = substring_dedup.cut(t, repeats)
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], r["n_sentences"], r["n_removed"]) for r in substring_dedup.dedup(docs).collect()}
-    assert got == want and sum(n for _, _, n in want.values()) > 100
-    many = {r["doc_id"] for r in substring_dedup.repeated_spans(docs, partitions=37).collect()}
-    assert many == {i for i, (_, _, n) in want.items() if n}
-
-
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
