@@ -73,6 +73,7 @@ def test_quality_odd_rows(docs, empty, labels):
 def test_search_odd_rows(docs, empty):
     found = bm25.search(docs, docs, k=3).collect()
     assert found and all(r["query_id"] is not None and r["doc_id"] is not None for r in found)
+    assert bm25.search(docs, F.col("doc_id") == 6, k=3).count() == 3 and bm25.search(empty, F.lit(True)).count() == 0
     assert bm25.search(empty, docs).collect() == [] and bm25.search(docs, empty).collect() == []
 
 

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gristmill.llm import bm25, exact_dedup, line_dedup, ngram_join, packing, pii, quality, secrets
+from gristmill.llm import exact_dedup, line_dedup, ngram_join, packing, pii, quality, secrets
 from gristmill.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -230,30 +230,6 @@ def test_pruning_follows_the_posterior():
         assert tail(m) >= 1e-6 and (m == 0 or tail(m - 1) < 1e-6)
 
 
-def test_search_brute_force_and_pruning(spark, texts):
-    bags = {d: bm25.terms(t) for d, t in texts.items()}
-    df, n = Counter(k for b in bags.values() for k in b), len(bags)
-    size = {d: sum(b.values()) for d, b in bags.items()}
-    mean = sum(size.values()) / n
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = defaultdict(list)
-    for r in bm25.search(docs, docs.where("doc_id % 20 = 0"), shard_docs=64).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["doc_id"], r["score"]))
-    for q in (d for d in texts if d % 20 == 0):
-        scores = []
-        for d, b in bags.items():
-            s = sum(math.log(1 + (n - df[k] + 0.5) / (df[k] + 0.5)) * b[k] * 2.2 / (b[k] + 1.2 * (0.25 + 0.75 * size[d] / mean)) for k in bags[q] if k in b)
-            if s:
-                scores.append((-round(s, 9), d))
-        want = sorted(scores)[:10]
-        assert [s for _, s in got[q]] == pytest.approx([-s for s, _ in want], abs=1e-6)
-    rng = np.random.default_rng(0)
-    keys, lens = np.arange(2000) % 50, np.full(400, 5)
-    shard = bm25.Shard(np.arange(400), lens, lens, keys, rng.integers(1, 30, 2000), 5.0, block=8)
-    shard.search(np.array([3, 7, 11]), np.array([5.0, 0.1, 0.1]), 3)
-    assert shard.opened < shard.blocks  # blocks that cannot reach the top are not opened
-
-
 @given(st.integers(1, 5000), st.data())
 @settings(max_examples=40, deadline=None)
 def test_feistel_is_a_permutation(n, data):
