@@ -1,7 +1,7 @@
 """Format-preserving Feistel pseudonyms for personal data.
 
-Finds card numbers (Luhn), telephone numbers, social security numbers, IBANs (mod 97), IP addresses, dates and
-e-mail addresses; each is validated, and what fails stays as it is. A valid value is ranked within the set of
+Finds card numbers (Luhn), telephone numbers (number plans), social security numbers, IBANs (mod 97), IP addresses,
+dates and e-mail addresses; each is validated, and what fails stays as it is. A valid value is ranked within the set of
 valid values of its format, the rank is permuted by a keyed Feistel network with cycle walking, and the
 result is written in the format of the original, with its separators. The permutation depends on the key, the
 kind and the size of the value only, so equal values get equal pseudonyms in every document and under any
@@ -13,7 +13,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from datetime import date, timedelta
+from datetime import date
+from heapq import merge
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +24,11 @@ ROUNDS = 10
 
 
 def _round(key: bytes, tweak: bytes, i: int, half: int, bits: int) -> int:
+    """``bits`` pseudo-random bits, at any width: digests of a counter over one digest of the half."""
     size = -(-bits // 8)
-    digest = hashlib.blake2b(half.to_bytes(size + 1, "big") + bytes([i]) + tweak, key=key, digest_size=min(64, size + 8)).digest()
-    return int.from_bytes(digest, "big") & ((1 << bits) - 1)
+    seed = hashlib.blake2b(half.to_bytes(size + 1, "big") + bytes([i]) + tweak, key=key).digest()
+    out = seed[: size + 8] if size + 8 <= 64 else b"".join(hashlib.blake2b(seed + j.to_bytes(4, "big"), key=key).digest() for j in range(-(-(size + 8) // 64)))
+    return int.from_bytes(out, "big") & ((1 << bits) - 1)
 
 
 def permute(x: int, n: int, key: bytes, tweak: bytes, inverse: bool = False) -> int:
@@ -69,10 +72,35 @@ def _card(m, key, inv):
             return _refill(m[0], d)
 
 
+# Country codes of the number plans that are known, with the digits that follow them.
+PLANS = {"1": (10, 10), "33": (9, 9), "34": (9, 9), "44": (9, 10), "49": (7, 11), "41": (9, 9), "43": (7, 11)}
+_PLAN_OF = re.compile(r"\+(" + "|".join(PLANS) + ")")
+
+
 def _phone(m, key, inv):
-    d = re.sub(r"\D", "", m[0])
-    head, d = d[:-10], d[-10:]
-    return _refill(m[0], head + str(permute(int(d), 10**10, key, b"phone", inv)).zfill(10))
+    """North American 3-3-4, an international number of a known plan, or a national one of a known length.
+
+    What names the plan, and a national number's leading zero, stay; the other digits are permuted together. So
+    the same number links wherever it is written in the same plan.
+    """
+    d = re.sub(r"[^0-9]", "", m[0])
+    if m["nanp"]:
+        head = d[:-10]
+    elif m["world"]:
+        plan = _PLAN_OF.match(m[0])[1]
+        head = plan + "0" * ("(0)" in m[0])  # +49 (0) 30 ...
+        least, most = PLANS[plan]
+        if not least <= len(d) - len(head) <= most:
+            return None
+    else:
+        # French (0a bb cc dd ee) and Spanish (abc def ghi) numbers by their groups; German ones by prefix / number.
+        if m["es"] and d[0] not in "6789":
+            return None
+        head = "0" * (d[0] == "0")
+    rest = d[len(head) :]
+    spare = 0 if m["nanp"] or m["world"] else 1  # a national number keeps its first digit, so it stays valid
+    kept, rest = rest[:spare], rest[spare:]
+    return _refill(m[0], head + kept + str(permute(int(rest), 10 ** len(rest), key, b"phone%d" % len(rest), inv)).zfill(len(rest)))
 
 
 def _ssn(m, key, inv):
@@ -158,13 +186,22 @@ def _email(m, key, inv):
     return _classes(m[1], key, b"email" + _mask(m[1]) + m[2].lower().encode(), inv) + "@" + m[2]
 
 
+_PHONE = (
+    r"(?<![\w+])(?:"
+    r"(?P<nanp>(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})"
+    r"|(?P<world>\+(?:" + "|".join(k for k in PLANS if k != "1") + r")(?:[ ./-]?\(0\))?(?:[ ./-]?[0-9]){7,12})"
+    r"|(?P<fr>0[1-9](?P<gap>[ .-])[0-9]{2}(?:(?P=gap)[0-9]{2}){3})"
+    r"|(?P<es>[0-9]{3} [0-9]{3} [0-9]{3}|[0-9]{3} [0-9]{2} [0-9]{2} [0-9]{2})"
+    r"|(?P<de>0[1-9][0-9]{1,4}(?:/| / ?|-)[0-9](?:[ -]?[0-9]){3,8})"
+    r")(?![\w]|[.-][0-9])"
+)
 # Kinds by precedence where two matches overlap.
 KINDS = [
-    ("email", re.compile(r"([\w.+-]+)@([\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,})"), _email),
+    ("email", re.compile(r"(?<![\w.+-])([\w.+-]{1,64})@((?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![\w-])"), _email),
     ("iban", re.compile(r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"), _iban),
     ("ip", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"), _ip),
     ("date", re.compile(r"(?<![\w/.-])(?:([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})|([0-9]{2})([/.-])([0-9]{2})\6([0-9]{4}))(?![\w]|[/.-][0-9])"), _date),
-    ("phone", re.compile(r"(?<![\w])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w])"), _phone),
+    ("phone", re.compile(_PHONE), _phone),
     ("ssn", re.compile(r"(?<![\w-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![\w-])"), _ssn),
     ("card", re.compile(r"(?<![\w])[0-9](?:[ -]?[0-9]){12,18}(?![\w])"), _card),
 ]
@@ -179,12 +216,16 @@ def find(text: str, key: bytes, inverse: bool = False) -> list[tuple[int, int, s
     for kind, pattern, swap in KINDS:
         if not (("@" in text) if kind == "email" else digits):
             continue
-        for m in pattern.finditer(text):
-            if all(m.end() <= s or e <= m.start() for s, e, _, _ in found):
+        own, i = [], 0
+        for m in pattern.finditer(text):  # in order, so one walk along the findings so far tells overlaps
+            while i < len(found) and found[i][1] <= m.start():
+                i += 1
+            if i == len(found) or m.end() <= found[i][0]:
                 new = swap(m, key, inverse)
                 if new is not None:
-                    found.append((m.start(), m.end(), kind, new))
-    return sorted(found)
+                    own.append((m.start(), m.end(), kind, new))
+        found = list(merge(found, own))
+    return found
 
 
 def replace(text: str, found: list[tuple[int, int, str, str]]) -> str:
@@ -198,10 +239,13 @@ def replace(text: str, found: list[tuple[int, int, str, str]]) -> str:
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
     """``doc_id, text, n_<kind>..., spans``: every document with its personal data replaced.
 
-    ``spans`` lists ``kind:start:end`` of the original text in code points. A null text stays null and has
-    no spans; repeated rows are treated alike; an empty table gives no rows; other columns are ignored. With
-    ``inverse`` the key's holder gets the originals back (dates that were written month first come back day
-    first where either order is possible).
+    ``spans`` lists ``kind:start:end`` of the original text in code points. With ``inverse`` the key's holder gets
+    the originals back (dates that were written month first come back day first where either order is possible).
+
+    Defined cases: a null text stays null and has no spans, an empty one has none; of kinds that overlap the first
+    of ``KINDS`` stands; rows that repeat are treated alike; a text of any length is scanned whole, in time that
+    grows with its length (a local part has 64 characters at most); an empty table gives no rows; other columns are
+    ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
