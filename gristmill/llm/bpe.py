@@ -1,17 +1,19 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A text is cut where a rolling hash of the last eight bytes falls below a threshold, so a passage that several
-documents share gives the same chunks wherever it stands. A chunk is encoded once and kept in a bounded
-cache of the worker; equal chunks of later documents reuse its ids. Cuts fall anywhere, also within a word,
-so each join is repaired: the word on its left, the word on its right and their union are encoded, and where
-the two halves do not agree with the union the ids of the union replace theirs.
-
-The repair needs no wider window for the tokenizers accepted here, as pre-tokens never span ASCII blanks and
-so the words at a join are all that the cut can change; ``tests`` hold the result against whole texts.
-
-Chunks are encoded by blank-separated words through a second bounded cache. That is exact for a tokenizer
-whose pre-tokens never span ASCII blanks and drop them; ``Encoder`` checks this for the file it loads.
-Reuse is within one worker and not through a shuffle: a global exchange of chunks would move every text.
+A text of any length is cut where a rolling hash of the last eight bytes falls below a threshold, so a passage that
+several documents share gives the same chunks wherever it stands. A chunk is encoded once and kept in a bounded
+cache of the worker; equal chunks of later documents reuse its ids. Cuts fall anywhere, also within a word, so each
+join is repaired: the pieces of the cut word are joined again, piece by piece up to the blanks on either side, and
+where the ids of the pieces do not agree with those of the whole word, the latter replace them. A blank ends every
+pre-token, so beyond it both sides agree exactly and no wider window is needed.
+
+A run without blanks of more than ``RUN_BYTES`` is one chunk of its own: it is encoded whole, once, in the time that
+the library takes for it, and no repair ever covers more than ``RUN_BYTES``.
+
+Chunks are encoded by blank-separated words through a second bounded cache. That is exact for a tokenizer whose
+pre-tokens never span ASCII blanks and drop them; ``Encoder`` checks this for the file it loads, and leaves all to
+the library otherwise. Reuse is within one worker and not through a shuffle: a global exchange of chunks would move
+every text and its ids.
 """
 
 from __future__ import annotations
@@ -29,12 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Mean chunk length in bytes (a power of two), entries of the word cache, bytes of the chunk cache.
-CHUNK_BYTES, WORDS_KEPT, CHUNK_CACHE_BYTES = 4096, 400_000, 24_000_000
+CHUNK_BYTES, WORDS_KEPT, CHUNK_CACHE_BYTES = 512, 400_000, 48_000_000
+#: Longer runs without blanks are never cut.
+RUN_BYTES = 256
 #: Longer words are encoded each time and never kept.
 WORD_BYTES = 64
 #: A comma or full stop between a letter and a blank is a pre-token of its own.
 _STOP = re.compile(rb"([a-z])([,.])(?=\s|$)")
 _MARK = b"\x01"
+_UPPER = ["Hello World, ABC", "The. END", "Éa ZÜ x"]
+_STOPPED = ["hello, world. x. y,", "wörter, élan. zzqxj, ñandú."]
 _PROBES = ["a b", "it's  a\ttest\n\nof \x0b\x0c\r blanks", "Ab12 <|endoftext|> x", " - -- 'S 're", "é ́ x y"]
 
 
@@ -50,12 +56,18 @@ class Encoder:
         self.tok.no_padding()
         self.words: dict[bytes, bytes] = {}
         self.words_kept, self.chunk_bytes, self.chunk_cache_bytes = words_kept, chunk_bytes, chunk_cache_bytes
+        # Chunks used since the last turn, and those of the turn before, which go when the new ones fill their half.
         self.chunks: dict[bytes, bytes] = {}
-        self.chunk_load = 0
+        self.older: dict[bytes, bytes] = {}
+        self.chunk_load = self.met = self.reused = self.repaired = 0
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.names = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.plain_decode = all(self.tok.decode(ids, skip_special_tokens=False) == " ".join(self.names[i] for i in ids) for ids in ([], [0, 1, size - 1], self.tok.encode(" ".join(_PROBES), add_special_tokens=False).ids))
         self.by_word = all(self.tok.encode(p, add_special_tokens=False).ids == [i for w in p.encode().split() for i in self.tok.encode(w.decode(), add_special_tokens=False).ids] for p in _PROBES)
+        same = lambda a, b: self.tok.encode(a, add_special_tokens=False).ids == self.tok.encode(b, add_special_tokens=False).ids
+        normal = json.dumps(json.loads(self.tok.to_str()).get("normalizer"))
+        self.lowers = '"Lowercase"' in normal and all(same(p, p.encode().lower().decode()) for p in _UPPER)
+        self.stops = all(same(p, _STOP.sub(rb"\1 \2", p.encode()).decode()) for p in _STOPPED)
         mark = self.tok.encode("\x01", add_special_tokens=False).ids
         self.mark_id = mark[0] if self.by_word and len(mark) == 1 else None
         self.bare = self._bare(path) if self.mark_id is not None else None
@@ -114,12 +126,19 @@ class Encoder:
                     begin = end + skip
         return out
 
+    def _plain(self, text: bytes) -> bytes:
+        """The text in a form with the same ids and fewer different words, as far as the probes allow."""
+        if b"<|" in text:
+            return text
+        text = text.lower() if self.lowers else text
+        return _STOP.sub(rb"\1 \2", text) if self.stops else text
+
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text by its blank-separated words, through the word cache."""
         if not self.by_word:
             return self._raw(texts)
         # Special tokens are told by their case, so only texts without "<|" are put in lower case first.
-        lists = [(_STOP.sub(rb"\1 \2", t.lower()) if b"<|" not in t else t).split() for t in texts]
+        lists = [self._plain(t).split() for t in texts]
         used = set().union(*lists)
         missing = list(used.difference(self.words))
         if missing:
@@ -134,66 +153,91 @@ class Encoder:
                 del self.words[w]
         return out
 
-    def cuts(self, data: bytes) -> list[int]:
-        """Positions, between code points, at which chunks end; fixed by the eight bytes before each."""
+    def cuts(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Positions at which chunks end, but for the last, and the blanks of the text with a blank at either end.
+
+        A cut is between code points and fixed by the eight bytes before it, or by a long run without blanks.
+        """
         n = len(data)
-        if n < 2 * self.chunk_bytes:
-            return [n]
         raw = np.frombuffer(data, dtype=np.uint8)
-        eight = np.ndarray((n - 8,), dtype="<u8", buffer=data, strides=(1,))  # the rolling window at each position
-        with np.errstate(over="ignore"):
-            rolled = (eight * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        at = np.flatnonzero(rolled < (1 << 24) // self.chunk_bytes) + 8
-        at = at[(raw[at] & 0xC0) != 0x80]
-        return [*at.tolist(), n]
+        blanks = np.r_[-1, np.flatnonzero((raw == 32) | ((raw >= 9) & (raw <= 13))), n]
+        at = np.zeros(0, dtype=np.int64)
+        if n > 8:
+            eight = np.ndarray((n - 8,), dtype="<u8", buffer=data, strides=(1,))  # the rolling window at each position
+            with np.errstate(over="ignore"):
+                rolled = (eight * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            at = np.flatnonzero(rolled < (1 << 24) // self.chunk_bytes) + 8
+            at = at[(raw[at] & 0xC0) != 0x80]
+        long = np.flatnonzero(np.diff(blanks) > RUN_BYTES + 1)
+        if len(long):
+            inside = np.isin(np.searchsorted(blanks, at) - 1, long)
+            at = np.unique(np.r_[at[~inside], blanks[long] + 1, blanks[long + 1]])
+        return at[(at > 0) & (at < n)], blanks
 
     def encode_chunked(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text by chunks, each encoded once while the cache holds it, with repaired joins."""
         if not self.by_word:
             return self._raw(texts)
-        plans, joins, fresh = [], set(), {}
+        # Of each chunk: itself, the piece at its start that goes on a cut word, the piece at its end that is cut.
+        plans, edges, fresh, known = [], set(), {}, {}
         for data in texts:
-            plan, begin, tail = [], 0, b""
-            for end in self.cuts(data):
-                chunk = data[begin:end]
-                head = b"" if not chunk or chunk[:1].isspace() else chunk.split(None, 1)[0]
-                repair = (tail, head) if tail and head else None
-                if repair:
-                    joins.update((tail, head, tail + head))
-                own = b"" if not chunk or chunk[-1:].isspace() else chunk.rsplit(None, 1)[-1]
-                tail = tail + own if own == chunk else own  # a chunk inside one word lengthens the open word
-                plan.append((chunk, repair))
-                if chunk not in self.chunks:
-                    fresh[chunk] = b""
-                begin = end
+            at, blanks = self.cuts(data)
+            place = np.searchsorted(blanks, at)
+            begin, end = (blanks[place - 1] + 1).tolist(), blanks[place].tolist()
+            plan, last, head = [], 0, b""
+            for p, a, b in zip([*at.tolist(), len(data)], [*begin, len(data)], [*end, 0]):
+                chunk, tail = data[last:p], data[max(a, last) : p] if p < b else b""
+                plan.append((chunk, head[: len(chunk)], tail))
+                if tail:
+                    edges.update((tail, data[a:b]))
+                if head:
+                    edges.add(head[: len(chunk)])
+                last, head = p, data[p:b] if a < p else b""
+                if chunk not in known and chunk not in fresh:
+                    got = self.chunks.get(chunk)
+                    if got is None and (got := self.older.get(chunk)) is not None:
+                        self._keep(chunk, got)
+                    (fresh if got is None else known)[chunk] = got
             plans.append(plan)
-        todo, edges = list(fresh), list(joins)
-        ids = self.encode_many(todo + edges)
-        fresh = dict(zip(todo, ids))
-        word = dict(zip(edges, ids[len(todo) :]))
+            self.met += len(plan)
+        todo, edge = list(fresh), list(edges)
+        ids = self.encode_many(todo + edge)
+        fresh, word = dict(zip(todo, ids)), dict(zip(edge, ids[len(todo) :]))
+        known |= fresh
+        self.reused += sum(map(len, plans)) - len(fresh)
         out = []
         for plan in plans:
             parts: list[bytes] = []
-            for chunk, repair in plan:
-                got = fresh.get(chunk)
-                if got is None:
-                    got = self.chunks[chunk]
-                if repair:
-                    left, right, union = word[repair[0]], word[repair[1]], word[repair[0] + repair[1]]
-                    if left + right != union:
-                        whole = b"".join(parts)
-                        parts = [whole[: len(whole) - len(left)], union]
-                        got = got[len(right) :]
+            pieces: list[bytes] = []  # of the cut word
+            for chunk, head, tail in plan:
+                got = known[chunk]
+                if head:
+                    pieces.append(head)
+                    if tail and head == chunk:
+                        continue  # cut again within the same word
+                    got = got[len(word[head]) :]
+                    whole, apart = word[b"".join(pieces)], b"".join(map(word.__getitem__, pieces))
+                    self.repaired += whole != apart
+                    parts.append(whole)
+                    pieces = []
+                if tail:
+                    pieces = [tail]
+                    got = got[: len(got) - len(word[tail])]
                 parts.append(got)
             out.append(b"".join(parts))
-        load = sum(len(c) + len(i) for c, i in fresh.items())
-        if self.chunk_load + load > self.chunk_cache_bytes:
-            self.chunks, self.chunk_load = {}, 0
-        if load <= self.chunk_cache_bytes:
-            self.chunks.update(fresh)
-            self.chunk_load += load
+        for chunk, own in fresh.items():
+            self._keep(chunk, own)
         return out
 
+    def _keep(self, chunk: bytes, ids: bytes) -> None:
+        load = len(chunk) + len(ids) + 130  # with what Python holds beside
+        if 4 * load > self.chunk_cache_bytes:
+            return
+        if 2 * (self.chunk_load + load) > self.chunk_cache_bytes:
+            self.older, self.chunks, self.chunk_load = self.chunks, {}, 0
+        self.chunks[chunk] = ids
+        self.chunk_load += load
+
     def decode(self, ids: bytes) -> str:
         got = np.frombuffer(ids, dtype="<u4").tolist()
         if self.plain_decode:

@@ -110,6 +110,47 @@ def test_bpe_special_and_long():
         assert enc.decode(np.array(want, dtype="<u4").tobytes()) == enc.tok.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_reuses_chunks_of_other_documents():
+    rnd = __import__("random").Random(3)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(400))
+    texts = [" ".join([*(word() for _ in range(rnd.randrange(60))), passage, word()]).encode() for _ in range(40)]
+    enc = bpe.Encoder(BPE, chunk_bytes=128)
+    for t in texts:  # one at a time: reuse is through the cache, not within a batch
+        assert np.frombuffer(enc.encode_chunked([t])[0], dtype="<u4").tolist() == enc.tok.encode(t.decode(), add_special_tokens=False).ids
+    assert enc.reused > 0.6 * enc.met and enc.repaired > 0
+    small = bpe.Encoder(BPE, chunk_bytes=128, chunk_cache_bytes=6000)  # most chunks are gone when they come again
+    assert [small.encode_chunked([t]) for t in texts] == [enc.encode_chunked([t]) for t in texts] and len(small.chunks) + len(small.older) < 20
+
+
+@pytest.mark.parametrize("text", ["abcdefghij" * 100_000, "日本語文字列処理、。" * 33_000, "ab12," * 200_000, "9f" * 300_000])
+def test_bpe_time_without_blanks(text):
+    import time
+
+    enc = bpe.Encoder(BPE)
+    began = time.perf_counter()
+    want = enc.tok.encode(text, add_special_tokens=False).ids
+    library = time.perf_counter() - began
+    began = time.perf_counter()
+    got = enc.encode_chunked([text.encode()])[0]
+    assert time.perf_counter() - began < 2 * library + 1
+    assert np.frombuffer(got, dtype="<u4").tolist() == want
+
+
+def test_bpe_probes_what_it_relies_on(tmp_path):
+    import json
+
+    with open(BPE) as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"] = [n for n in spec["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(spec))
+    enc = bpe.Encoder(str(path))
+    assert not enc.lowers
+    for t in ("Hello World, ABC", "the End. AB, c " * 300):
+        assert np.frombuffer(enc.encode_chunked([t.encode()])[0], dtype="<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+
+
 def test_bpe_other_tokenizer_falls_back():
     enc = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     text = "Hello  world,\n this is <|endoftext|> it.  "
