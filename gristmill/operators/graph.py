@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.lineage import stable
+from gristmill.operators.skew import spread_join
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -16,8 +17,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """``node, component`` of every node that an edge touches; the component is its smallest node.
 
     Alternates large-star and small-star contraction, so rounds grow with the logarithm of a component's
-    diameter and a hub never has its neighbours gathered in one row. Each round is checkpointed in the
-    shared folder. Nodes may be of any ordered type; self-loops count as nodes, null ends are ignored.
+    diameter. A hub's neighbours are never gathered: its smallest one is found by partial aggregation and comes
+    back to the edges by ``spread_join``. Each round is checkpointed in the shared folder. Nodes may be of any ordered type; self-loops count as nodes, null ends are ignored.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     alone = stable(pairs.where("a = b").select("a").distinct())
@@ -29,10 +30,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
         last = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        low = stable(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = stable(spread_join(both, low, "a", "n", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = stable(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        # A node has few edges to smaller ones now unless many components meet in it, so the same join serves.
+        small = spread_join(large, low, "a", "n", mark[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = stable(small.distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
