@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.lineage import shared_dir, stable, stored
 
-__all__ = ["shared_dir", "shuffle_partitions", "stable", "stored", "table"]
+__all__ = ["fresh", "shared_dir", "shuffle_partitions", "stable", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,3 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that no column of ``df`` has, in any case; underscores are added until that holds."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

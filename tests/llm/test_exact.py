@@ -222,6 +222,20 @@ def test_join_brute_force(spark):
     assert sorted(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == sorted(set(group.values()))
 
 
+def test_dropped_pairs_cost_few_values():
+    rng = np.random.default_rng(5)
+    sets = []
+    for shared in (1.0, 0.98, 0.5, 0.3, 0.6):  # of the grams of the first
+        base = rng.permutation(np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[: int(400 * shared)] if sets else np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sets.append(np.unique(np.r_[base, rng.integers(0, 2**63, 400 - len(base), dtype=np.uint64)]))
+    one_band = ngram_join.Sets(sets, np.zeros((5, 3), dtype=np.int64))
+    assert ngram_join.linked(one_band, None) == [(0, 1)]
+    assert one_band.known[:2].tolist() == [128, 128] and all(one_band.known[2:] < 128)
+    # Without a shared band a pair is no candidate, and no value is computed.
+    apart = ngram_join.Sets(sets, np.arange(15, dtype=np.int64).reshape(5, 3))
+    assert ngram_join.linked(apart, None) == [] and not apart.known.any()
+
+
 def test_pruning_follows_the_posterior():
     table = dict(ngram_join.fewest_matches(0.8, 1e-6, 128, 32))
     for n, m in table.items():
