@@ -1,9 +1,9 @@
 """Secret scans by corpus-wide ownership frequency, in DataFrame operations only.
 
 Every document is scanned once for candidates; only offsets, lengths and 64-bit value hashes leave the scan.
-Value hashes are aggregated over distinct repositories and owners. A value of one owner only is *live*
-(owner-specific), one of at least ``COPIED_OWNERS`` owners is *copied* (a widely copied example), others are
-*shared*. Base candidates (assign, access, hex) stay whatever their verdict. Bare tokens, which carry no key
+Value hashes are aggregated over distinct repositories and owners. A value of one owner in at most
+``LIVE_REPOS`` of its repositories is *live* (owner-specific), one of at least ``COPIED_OWNERS`` owners or
+``COPIED_REPOS`` repositories is *copied* (a widely copied example), others are *shared*. Base candidates (assign, access, hex) stay whatever their verdict. Bare tokens, which carry no key
 word, become spans only if they are live and overlap no base span.
 """
 
@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stable
+from gristmill.operators.skew import spread_join
+
+from .common import fresh, stable
 from .line_dedup import text_mark
 
-COPIED_OWNERS = 3
+COPIED_OWNERS, COPIED_REPOS, LIVE_REPOS = 3, 12, 3
 # The patterns of each kind, in the order that breaks ties of equal starts.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -70,32 +72,40 @@ def _by_match():
     return Window.partitionBy("uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def verdicts(found: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """``value, repos, owners, verdict`` of every candidate value, over the whole corpus.
+def verdicts(found: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS, live_repos: int = LIVE_REPOS) -> DataFrame:
+    """``value, rows, repos, owners, verdict`` of every candidate value, over the whole corpus.
 
     The distinct counts aggregate partially before they shuffle, so a value that a third of all rows hold
     reaches a task as few rows.
     """
-    seen = found.where("kind IS NOT NULL").select("value", "repo", "owner").distinct()
-    counts = seen.groupBy("value").agg(F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"))
-    verdict = F.when(F.col("owners") == 1, "live").when(F.col("owners") >= copied_owners, "copied").otherwise("shared")
+    seen = found.where("kind IS NOT NULL").groupBy("value", "repo", "owner").agg(F.count("*").alias("rows"))
+    counts = seen.groupBy("value").agg(F.sum("rows").alias("rows"), F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"))
+    copied = (F.col("owners") >= copied_owners) | (F.col("repos") >= copied_repos)
+    verdict = F.when(copied, "copied").when((F.col("owners") == 1) & (F.col("repos") <= live_repos), "live").otherwise("shared")
     return counts.withColumn("verdict", verdict)
 
 
-def scan(docs: DataFrame, copied_owners: int = COPIED_OWNERS, **columns) -> DataFrame:
+def scan(docs: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS, live_repos: int = LIVE_REPOS, **columns) -> DataFrame:
     """One row per document: counts of each kind and verdict, and its spans.
 
-    ``doc_id, mark, n_assign, n_access, n_hex, n_bare, n_live, n_copied, base, all`` where ``base`` and
-    ``all`` are arrays of ``start, kind, end, verdict`` by start, then by kind as in ``KINDS``.
+    ``doc_id, mark, n_assign, n_access, n_hex, n_bare, n_live, n_copied, repos, owners, base, all`` where ``base``
+    and ``all`` are arrays of ``start, kind, end, verdict`` by start, then by kind as in ``KINDS``, and ``repos``
+    and ``owners`` are the largest numbers of those that hold one of the document's values (0 without any).
 
     Defined cases: a null text is empty and has no spans; null sources count as one owner; rows that repeat
-    are scanned each; an empty table gives no rows; other columns are ignored.
+    are scanned each; texts of any length are scanned whole; candidates that start together come in the order of
+    ``KINDS``; an empty table gives no rows; other columns are ignored.
     """
     found = stable(candidates(docs, **columns))
-    judged = found.join(verdicts(found, copied_owners).select("value", "verdict"), "value", "left")
+    judged = stable(verdicts(found, copied_owners, copied_repos, live_repos))
+    # Only rows with a value are joined; documents without one would all meet under the null key.
+    some = spread_join(found.where("kind IS NOT NULL"), judged, "value", "rows", judged.agg(F.sum("rows")).first()[0] or 0)
+    fields = ["uid", "doc_id", "mark", "kind", "start", "end", "repos", "owners", "verdict"]
+    none = found.where("kind IS NULL").select("uid", "doc_id", "mark", "kind", "start", "end", F.lit(0).cast("long").alias("repos"), F.lit(0).cast("long").alias("owners"), F.lit(None).cast("string").alias("verdict"))
+    judged = some.select(*fields).unionByName(none)
     span = F.struct("start", "kind", "end", "verdict")
     wanted = F.col("kind").isNotNull() & ((F.col("kind") < 3) | (F.col("verdict") == "live"))
-    per_doc = judged.groupBy("uid", "doc_id", "mark").agg(F.sort_array(F.collect_list(F.when(wanted, span))).alias("spans"))
+    per_doc = judged.groupBy("uid", "doc_id", "mark").agg(F.sort_array(F.collect_list(F.when(wanted, span))).alias("spans"), F.max("repos").alias("repos"), F.max("owners").alias("owners"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
     split = per_doc.withColumn("base", base)
     free = F.filter("spans", lambda s: (s["kind"] < 3) | ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
@@ -103,7 +113,7 @@ def scan(docs: DataFrame, copied_owners: int = COPIED_OWNERS, **columns) -> Data
     count = lambda field, value: F.size(F.filter("all", lambda s: s[field] == value)).cast("long")
     kinds = [count("kind", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     verdict = [count("verdict", v).alias(f"n_{v}") for v in ("live", "copied")]
-    return kept.select("doc_id", "mark", *kinds, *verdict, "base", "all")
+    return kept.select("doc_id", "mark", *kinds, *verdict, "repos", "owners", "base", "all")
 
 
 def listed(spans: Column) -> Column:
@@ -113,21 +123,24 @@ def listed(spans: Column) -> Column:
 
 
 def scan_report(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_bare, n_live, n_copied``."""
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_bare, n_live, n_copied, repos, owners`` (see ``scan``)."""
     found = scan(docs)
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"), "n_bare", "n_live", "n_copied")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"), "n_bare", "n_live", "n_copied", "repos", "owners")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """``docs`` with every span replaced: ``[EXAMPLE_KEY]`` for copied values, ``[SECRET]`` for all others.
 
-    Spans that overlap are replaced together. Only the findings are joined, by id and a mark of the text;
-    rows without findings come back as they were.
+    Defined cases: spans that overlap are replaced together; rows without findings come back as they were, null and
+    empty texts too; rows that repeat are all redacted; texts of any length are redacted whole; all other columns come back
+    under their names, whatever these are; an empty table stays empty. Only the findings are joined, by id and a
+    mark of the text.
     """
-    hits = scan(docs, id_col=id_col, text_col=text_col, **columns).where(F.size("all") > 0).groupBy("doc_id", "mark").agg(F.first("all").alias("_all"))
-    hits = hits.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_hit"), "_all")
-    marked = docs.withColumn("_mark", text_mark(F.col(text_col)))
-    both = marked.join(hits, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_hit")), "left")
+    mark, own, hit, spans = fresh(docs, "mark", "own", "hit", "spans")
+    hits = scan(docs, id_col=id_col, text_col=text_col, **columns).where(F.size("all") > 0).groupBy("doc_id", "mark").agg(F.first("all").alias(spans))
+    hits = hits.select(F.col("doc_id").alias(own), F.col("mark").alias(hit), spans)
+    marked = docs.withColumn(mark, text_mark(F.col(text_col)))
+    both = marked.join(hits, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(hit)), "left")
     text = F.col(text_col)
     # State: code point after the last replaced one, and the pieces so far. A span inside that is passed over.
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
@@ -139,5 +152,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **co
         joined = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] >= acc["at"], fresh).otherwise(joined)
 
-    done = F.aggregate("_all", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return both.withColumn(text_col, F.when(F.col("_all").isNull(), text).otherwise(done)).drop("_doc", "_hit", "_all", "_mark")
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    return both.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(done)).drop(own, hit, spans, mark)
