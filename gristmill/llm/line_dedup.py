@@ -7,7 +7,8 @@
 3. Each partition is streamed once. The first row of a run of one hash is the largest document that holds
    it; the rest are drops once the run is long enough. Only the first and the last run of a partition may go
    on elsewhere; their rows come out undecided, with one summary for each such run.
-4. Summaries (two for each partition at most) are added up and decide the undecided rows.
+4. Summaries (two for each partition at most) are added up and decide the undecided rows, which meet them by a
+   broadcast or, beyond ``BROADCAST_RUNS``, by a join that leaves rows of a hot hash where they are.
 5. Drops of a document are gathered into a compressed bitmap of the lines that it keeps.
 """
 
@@ -23,9 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stable
+from gristmill.operators.skew import spread_join
+
+from .common import fresh, shuffle_partitions, stable
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Summaries are broadcast up to so many (about 100 bytes each).
+BROADCAST_RUNS = 100_000
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -162,8 +167,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     seen = stable(ranged.mapInArrow(_stream(min_docs), "kind int, hash binary, doc_id long, mark long, total int, places binary, docs long"))
     runs = seen.where(F.col("kind") == _SUMMARY).groupBy("hash").agg(F.sum("docs").alias("docs"), F.max("doc_id").alias("top"))
     runs = runs.where(F.col("docs") >= min_docs).select("hash", "top")
-    few = seen.where(F.col("kind") == _SUMMARY).count() <= 100_000  # two for each partition, so nearly always
-    undecided = seen.where(F.col("kind") == _OPEN).drop("docs").join(F.broadcast(runs) if few else runs, "hash")
+    opened = seen.where(F.col("kind") == _OPEN).drop("docs")
+    if seen.where(F.col("kind") == _SUMMARY).count() <= BROADCAST_RUNS:
+        undecided = opened.join(F.broadcast(runs), "hash")
+    else:
+        counted = stable(opened.groupBy("hash").agg(F.count("*").alias("n")).join(runs, "hash"))
+        undecided = spread_join(opened, counted, "hash", "n", counted.agg(F.sum("n")).first()[0] or 0)
     late = undecided.where(~F.col("doc_id").eqNullSafe(F.col("top")))
     columns = ["doc_id", "mark", "total", "places"]
     drops = seen.where(F.col("kind") == _DROP).select(*columns).unionByName(late.select(*columns))
@@ -174,11 +183,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 def with_kept_text(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``text_col`` cut to the kept lines, and ``_n_lines``, ``_n_dropped``.
 
-    A text that loses nothing comes back as it was (null stays null).
+    Defined cases: a text that loses nothing comes back as it was (null stays null and has one line); of rows that
+    repeat each is cut; columns that already have the two names are replaced, all others come back whatever their
+    names; texts of any length are cut whole; an empty table stays empty.
     """
-    marked = docs.withColumn("_mark", text_mark(F.col(text_col)))
-    cuts = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_cut"), F.col("n_dropped").alias("_n_dropped"), F.col("keep_bitmap").alias("_map"))
-    both = marked.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_cut")), "left")
+    mark, own, cut_mark, lost, bitmap = fresh(docs, "mark", "own", "cut", "lost", "bitmap")
+    marked = docs.withColumn(mark, text_mark(F.col(text_col)))
+    cuts = bitmaps.select(F.col("doc_id").alias(own), F.col("mark").alias(cut_mark), F.col("n_dropped").alias(lost), F.col("keep_bitmap").alias(bitmap))
+    both = marked.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(cut_mark)), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, bitmap: pd.Series) -> pd.Series:
@@ -192,7 +204,7 @@ def with_kept_text(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id",
         return pd.Series([one(t, b) for t, b in zip(text, bitmap)], dtype=object)
 
     n_lines = F.length(F.coalesce(F.col(text_col), F.lit(""))) - F.length(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(""))) + 1
-    return both.withColumns({"_n_lines": n_lines.cast("long"), "_n_dropped": F.coalesce("_n_dropped", F.lit(0)).cast("long"), text_col: cut(F.col(text_col), F.col("_map"))}).drop("_doc", "_cut", "_map", "_mark")
+    return both.withColumns({"_n_lines": n_lines.cast("long"), "_n_dropped": F.coalesce(lost, F.lit(0)).cast("long"), text_col: cut(F.col(text_col), F.col(bitmap))}).drop(own, cut_mark, lost, bitmap, mark)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
