@@ -16,6 +16,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .common import fresh
 
 #: Labelled documents of each class that the fit may take, and code points of each (a window at a hashed place).
 #: The bound holds at every corpus size; the driver holds at most 2 x 2,000 x 16,000 code points.
@@ -125,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, c
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``out``: the probability that the text is good, of the whole text.
 
-    A null text is scored as the empty text; repeated rows each get a score; an empty table stays empty.
+    Defined cases: a null text is scored as the empty text; repeated rows each get a score; a text of any length is
+    compressed whole; columns of any name and type come back, ``out`` must not be among them; an empty table stays empty.
     """
     names = [f"_{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
@@ -136,18 +140,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(texts, pair), pa.float64())], [*names, "_score"])
 
-    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema)) + ", _score double"
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(names, docs.schema)), StructField("_score", DoubleType())])
     return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, out)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted``: one row per document."""
+    """``doc_id, held_out, score, predicted``: one row per document, repeated ones and those of null id too (see ``fit``, ``score``)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = score(slim, fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a score of at least 0.5, with their own columns."""
-    scored = score(docs, fit(docs, labels), out="_quality_score")
-    return scored.where(F.col("_quality_score") >= 0.5).drop("_quality_score")
+    """The documents with a score of at least 0.5, with their own columns, whatever their names (see ``fit``, ``score``)."""
+    (out,) = fresh(docs, "quality_score")
+    return score(docs, fit(docs, labels), out=out).where(F.col(out) >= 0.5).drop(out)
