@@ -7,17 +7,23 @@ bucket's exact digests, so a false positive costs one look-up and nothing else.
 are then compared byte by byte with the text of the row that stays, and regrouped by their text where a
 digest is shared by different texts.
 
+``write_snapshot`` stores a snapshot once, its distinct texts beside digests and filters; ``against_snapshot``
+screens later batches against it.
+
 Only 40-byte digest rows are shuffled for grouping; texts move only where a digest has several rows.
-Groups of any size are split by a salt before texts are compared.
+Groups of any size are split by a salt before texts are compared, and no join sends the rows of a hot digest to one
+task (``spread_join``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.operators.skew import spread_join
+
 from .common import stable
 
 #: Keys that one bucket's filter holds on average; fixes filter size (about 9.1 bits a key) and build memory.
@@ -166,7 +172,8 @@ def dedup(docs: DataFrame, in_snapshot, digest_hex: int = 64, id_col: str = "doc
     Defined cases: a null text counts as empty, and all empty texts are one group. Of equal texts the largest
     id stays. Repeated rows each give a row and count in ``group_size``; rows that repeat the kept id are all
     ``kept``. Null ids never win over others; where all ids of a group are null, ``keep_id`` is null and its
-    rows are kept. An empty table gives an empty result. Further columns are ignored, whatever their names.
+    rows are kept. Texts of any length are digested whole. An empty table gives an empty result. Further columns
+    are ignored, whatever their names.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(in_snapshot, F.lit(False)).alias("old"), normalised(F.col(text_col)).alias("norm"))
     rows = stable(texts.select("doc_id", "old", F.sha2("norm", 256).alias("text_sha256")).withColumn("digest", F.substring("text_sha256", 1, digest_hex)))
@@ -186,18 +193,23 @@ def dedup(docs: DataFrame, in_snapshot, digest_hex: int = 64, id_col: str = "doc
     odd = _different(texts, multi, digest_hex, salt_rows)
     odd = stable(odd)
     if odd.isEmpty():
-        out = rows.join(groups.withColumnRenamed("top", "keep_id"), "digest")
+        out = _rejoin(rows, groups)
     else:  # digests that different texts share: such rows are grouped anew by their whole text
         split = odd.select("digest").distinct()
         fine = texts.withColumn("digest", digested(F.col("norm"), digest_hex)).join(split, "digest", "left_semi")
         whole = fine.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
         fine = whole.select("keep_id", "n", F.sha2("norm", 256).alias("text_sha256"))
-        sound = rows.join(split, "digest", "left_anti").join(groups.withColumnRenamed("top", "keep_id"), "digest")
-        again = rows.join(split, "digest", "left_semi").join(fine, "text_sha256")
+        sound = _rejoin(rows, groups.join(split, "digest", "left_anti"))
+        again = spread_join(rows, stable(fine.withColumn("c", F.col("n"))), "text_sha256", "c", rows.count())
         out = sound.select("doc_id", "keep_id", "n", "text_sha256").unionByName(again.select("doc_id", "keep_id", "n", "text_sha256"))
     return out.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def _rejoin(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    sized = groups.select("digest", F.col("top").alias("keep_id"), "n", F.col("n").alias("c"))
+    return spread_join(rows, sized, "digest", "c", groups.agg(F.sum("n")).first()[0] or 0)
+
+
 def _different(texts: DataFrame, multi: DataFrame, digest_hex: int, salt_rows: int) -> DataFrame:
     """Digests of which some row's text is not, byte for byte, the text of the row that stays.
 
@@ -205,12 +217,52 @@ def _different(texts: DataFrame, multi: DataFrame, digest_hex: int, salt_rows: i
     ``salt_rows`` rows, and the kept text is copied to each salt, so no task holds a whole large group.
     """
     salts = F.ceil(F.col("g_n") / F.lit(salt_rows)).cast("int")
-    small = multi.count() <= BROADCAST_DIGESTS
+    number, total = multi.agg(F.count("*"), F.sum("g_n")).first()
     keyed = texts.withColumn("digest", digested(F.col("norm"), digest_hex))
-    members = keyed.join(F.broadcast(multi) if small else multi, "digest")
+    members = keyed.join(F.broadcast(multi), "digest") if number <= BROADCAST_DIGESTS else spread_join(keyed, multi.withColumn("c", F.col("g_n")), "digest", "c", total)
     tops = members.where(F.col("doc_id").eqNullSafe(F.col("g_top"))).groupBy("digest", "g_n").agg(F.max("norm").alias("top_norm"))
     tops = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     dealt = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
     # A key of several rows with equal texts meets one copy of the kept text for each salt.
     both = dealt.select("digest", "salt", "norm").join(tops.select("digest", "salt", "top_norm"), ["digest", "salt"])
     return both.where(F.col("norm") != F.col("top_norm")).select("digest").distinct()
+
+
+def write_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Stores ``docs`` as an immutable snapshot: ``path/grouped`` (``digest, top, n, norm``, one row for each
+    distinct normalised text, ``top`` its largest id) and ``path/filters`` (one filter for each bucket, and their number).
+
+    Defined cases are those of ``dedup``; an existing path is an error.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    # Texts are equal where their 256-bit digests are, so the map side already sends one text for each digest.
+    grouped = texts.groupBy(F.sha2("norm", 256).alias("digest")).agg(F.max("doc_id").alias("top"), F.count("*").alias("n"), F.first("norm").alias("norm"))
+    grouped.write.mode("errorifexists").parquet(f"{path}/grouped")
+    spark = docs.sparkSession
+    held = spark.read.parquet(f"{path}/grouped")
+    buckets = max(1, -(-held.count() // BUCKET_KEYS))
+    build_filters(held.select("digest"), buckets).withColumn("buckets", F.lit(buckets)).write.mode("errorifexists").parquet(f"{path}/filters")
+
+
+def against_snapshot(spark: SparkSession, path: str, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_sha256, screened, in_snapshot, keep_id, batch_size, kept`` for each row of a batch.
+
+    ``screened``: the filter of its bucket let the digest through; ``in_snapshot``: the snapshot holds the same bytes
+    (``keep_id`` is then the snapshot's row); otherwise ``keep_id`` is the largest id of equal texts in the batch,
+    ``batch_size`` their number, and ``kept`` says whether the row stays. Defined cases are those of ``dedup``.
+    """
+    held, filters = spark.read.parquet(f"{path}/grouped"), spark.read.parquet(f"{path}/filters")
+    first = filters.agg(F.max("buckets")).first()[0]
+    buckets = first or 1
+    texts = batch.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", F.sha2("norm", 256))
+    rows = stable(texts.select("doc_id", "digest"))
+    grouped = rows.groupBy("digest").agg(F.max("doc_id").alias("own"), F.count("*").alias("n"))
+    screened = stable(screen(grouped, filters.drop("buckets"), buckets))
+    # Only texts that the filters let through are read again, one of each, and compared byte by byte.
+    asked = texts.join(screened.where("maybe").select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("norm").alias("norm"))
+    same = asked.join(held.select("digest", F.col("top").alias("snapshot_id"), F.col("norm").alias("old")), "digest").where("norm = old").select("digest", "snapshot_id", F.lit(True).alias("in_snapshot"))
+    judged = stable(screened.join(same, "digest", "left").select("digest", "own", "n", F.col("n").alias("c"), "maybe", "snapshot_id", F.coalesce("in_snapshot", F.lit(False)).alias("in_snapshot")))
+    out = spread_join(rows, judged, "digest", "c", judged.agg(F.sum("n")).first()[0] or 0)
+    keep = F.when(F.col("in_snapshot"), F.col("snapshot_id")).otherwise(F.col("own"))
+    kept = ~F.col("in_snapshot") & F.col("doc_id").eqNullSafe(F.col("own"))
+    return out.select("doc_id", F.col("digest").alias("text_sha256"), F.col("maybe").alias("screened"), "in_snapshot", keep.alias("keep_id"), F.col("n").alias("batch_size"), kept.alias("kept"))

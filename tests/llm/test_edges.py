@@ -70,6 +70,24 @@ def test_quality_odd_rows(docs, empty, labels):
     assert set(quality.keep_good(docs, labels).columns) == set(docs.columns)
 
 
+def test_names_that_clash(spark, labels):
+    """Columns with the names that the operators use inside come back as they were."""
+    names = ["_doc", "_mark", "_quality_score", "quality_score", "own", "Mark", "hit", "spans", "cut", "lost", "bitmap", "keep", "n", "node", "_text", "_n", "repeats", "copy"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    line = "This very line stands in more than five of these documents"
+    docs = spark.createDataFrame([(i, f"{line}\nsecret = 'abcdefgh1234' number {i} of some words", "en", "s", *(f"{n}{i}" for n in names)) for i in range(7)], schema)
+    results = {
+        "line": line_dedup.with_kept_text(docs, line_dedup.keep_bitmaps(docs)).drop("_n_lines", "_n_dropped"),
+        "redact": secrets.redact(docs),
+        "quality": quality.keep_good(docs, labels.where("false")),
+        "join": ngram_join.keep_one(docs),
+    }
+    for name, frame in results.items():
+        assert frame.columns == docs.columns, name
+        rows = frame.collect()
+        assert len(rows) == 7 and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), name
+
+
 def test_search_odd_rows(docs, empty):
     found = bm25.search(docs, docs, k=3).collect()
     assert found and all(r["query_id"] is not None and r["doc_id"] is not None for r in found)

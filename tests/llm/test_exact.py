@@ -69,6 +69,53 @@ def test_exact_dedup_with_shared_digests(spark):
             assert r["text_sha256"] == hashlib.sha256(norm[r["doc_id"]].encode()).hexdigest()
 
 
+def test_snapshot_screens_later_batches(spark, tmp_path):
+    rnd = random.Random(11)
+    words = ["Alpha", "alpha", "b", None, "", "é", "É", "long " * 50]
+    old = [(i, rnd.choice(words[:5]) if i % 3 == 0 else f"Text {i}") for i in range(200)]
+    new = [(1000 + i, rnd.choice(words) if i % 2 else f"TEXT {rnd.randrange(400)}") for i in range(200)] + [(None, "b"), (None, "only null ids"), (1001, f"Text {3 * 7 + 1}")]
+    path = str(tmp_path / "snapshot")
+    schema = "doc_id long, text string"
+    exact_dedup.write_snapshot(spark.createDataFrame(old, schema), path)
+    norm = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    held, batch = defaultdict(list), defaultdict(list)
+    for i, t in old:
+        held[norm(t)].append(i)
+    for i, t in new:
+        batch[norm(t)].append(i)
+    want = Counter()
+    for i, t in new:
+        k = norm(t)
+        own = max((x for x in batch[k] if x is not None), default=None)
+        want[(i, hashlib.sha256(k.encode()).hexdigest(), k in held, max(held[k]) if k in held else own, len(batch[k]), k not in held and i == own)] += 1
+    got = exact_dedup.against_snapshot(spark, path, spark.createDataFrame(new, schema)).collect()
+    assert Counter(tuple(x for i, x in enumerate(r) if i != 2) for r in got) == want and all(r["screened"] for r in got if r["in_snapshot"])
+    assert exact_dedup.against_snapshot(spark, path, spark.createDataFrame([], schema)).collect() == []
+    empty = str(tmp_path / "empty")
+    exact_dedup.write_snapshot(spark.createDataFrame([], schema), empty)
+    assert not any(r["in_snapshot"] or r["screened"] for r in exact_dedup.against_snapshot(spark, empty, spark.createDataFrame(new, schema)).collect())
+
+
+def test_hot_values_without_broadcast(spark, monkeypatch):
+    """One text, line and secret in a third of the rows, and every size-checked broadcast switched off."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_DIGESTS", -1)
+    monkeypatch.setattr(line_dedup, "BROADCAST_RUNS", -1)
+    line, key = "This line stands in very many documents of the table", "Zx9LiveCredential0042abc"
+    rows = [(i, f"{line}\ntoken = '{key}'" if i % 3 == 0 else f"{line if i % 3 == 1 else 'own'} {i}\n{line}", "en", f"s{i % 2}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        groups = Counter((r["keep_id"], r["group_size"]) for r in exact_dedup.dedup(docs, F.col("doc_id") % 2 == 0).collect())
+        assert groups[(897, 300)] == 300 and sum(groups.values()) == 900
+        cut = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs).collect()}
+        assert len(cut) == 900 and cut[899] == 0 and all(cut[i] == 1 for i in range(899))
+        found = secrets.scan_report(docs).collect()
+        assert Counter((r["n_assign"], r["owners"], r["repos"]) for r in found) == {(1, 2, 2): 300, (0, 0, 0): 600}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_line_dedup_brute_force_with_many_partitions(spark):
     rnd = random.Random(4)
     pool = ["  Line Number %d " % i + "x" * 40 + "\t" for i in range(12)] + ["short", ""]
