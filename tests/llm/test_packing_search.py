@@ -48,3 +48,25 @@ def test_fillings_are_all_undominated_ones(seed):
         assert len(got) == len(set(got)) and set(got) == want
         assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
         assert all(not Counter(f) - Counter(items) for f in got)
+
+
+def fewest(items, capacity):
+    """The smallest number of sequences, over all orders of the items by subset."""
+    best = [(len(items) + 1, 0)] * (1 << len(items))
+    best[0] = (1, 0)
+    for subset in range(1 << len(items)):
+        n, load = best[subset]
+        for i, x in enumerate(items):
+            if not subset >> i & 1:
+                best[subset | 1 << i] = min(best[subset | 1 << i], (n, load + x) if load + x <= capacity else (n + 1, x))
+    return best[-1][0]
+
+
+def test_small_instances_are_solved_exactly():
+    rng = np.random.default_rng(8)
+    hard = [40, 13, 42, 29, 23, 44, 14, 45, 30, 31, 28, 43, 18]
+    assert total(packing.solve(np.bincount(hard, minlength=101), 100)) == fewest(hard, 100) == 4
+    for _ in range(2500):
+        capacity = int(rng.choice([20, 50, 100]))
+        items = rng.integers(max(1, capacity // int(rng.choice([4, 5, 100]))), capacity // int(rng.choice([1, 2])) + 1, rng.integers(3, 9)).tolist()
+        assert total(packing.solve(np.bincount(items, minlength=capacity + 1), capacity)) == fewest(items, capacity), (capacity, items)

@@ -111,3 +111,30 @@ def test_packing_stage(stages):
 
 def test_run_stores_between_stages(spark):
     assert corpus_pipeline.run(spark, SF).agg(F.count("*")).first()[0] > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, mark string, _mark string, own string"
+
+
+def test_stages_on_odd_rows(spark):
+    words = "some words of a text that is long enough to be a sentence"
+    rows = [(1, None, "en", "s"), (2, "", None, None), (3, " \n\t", "en", "s"), (4, f"{words} four\n" * 9000, "en", "s"), (5, f"{words} five", "en", "s"), (5, f"{words} five", "en", "s"), (None, f"{words} null", "en", "s"), (None, None, "en", "s"), (6, "token = 'abcdefgh12345678' " + words, "en", "s"), (5, f"other {words}", "en", "s")]
+    docs = spark.createDataFrame([(*r, 7, "m", "n", "o") for r in rows], ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF).collect()
+        if name == "line dedup":
+            assert len(got) == len(rows) and sum(r["text"] is None for r in got) == 2
+        if name == "n-gram Jaccard join":
+            assert sorted(r["doc_id"] or 0 for r in got if (r["text"] or "").strip()) == [4, 5, 5, 6] and len(got) == 8
+        if name == "secret scans":
+            assert len(got) == len(rows) and [r["text"] for r in got if r["doc_id"] == 6] == [f"[SECRET]' {words}"]
+        if name == "best-fit packing":
+            assert {r["doc_id"] for r in got} == {1, 2, 3, 4, 5, 6, None} and sum(r["doc_id"] == 5 for r in got) == 3
+        else:
+            assert all(set(r.asDict()) == {"doc_id", "text", "lang", "source", "n_chars"} for r in got)
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).collect() == []
