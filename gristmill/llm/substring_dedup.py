@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +33,14 @@ from .common import shuffle_partitions, stable
 MIN_SENTENCES, MIN_WORDS = 3, 30
 #: A sentence of more words is cut after the least word hash of so many words in a row.
 WINDOW = 8
-_STOPS = (".", "!", "?")
+_STOPS = [ord(c) for c in ".!?"]
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
 _WORD = re.compile(r"\S+")
 
 
-class _Hashes(dict):
-    """Word hashes, a bounded number of them kept; the lowest bit says that the word ends a sentence."""
-
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word) >> 1 << 1 | word.endswith(_STOPS)
-        if len(self) < 200_000:
-            self[word] = value
-        return value
-
-
-_HASHES = _Hashes()
+#: Words that are hashed in one go; a longer text is a go of its own.
+_GO = 60_000
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -56,51 +48,82 @@ def _powers(n: int, base: int) -> np.ndarray:
         return np.cumprod(np.r_[np.uint64(1), np.full(max(n - 1, 0), np.uint64(base))], dtype=np.uint64)[:n]
 
 
-def sentences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes, and the first word of each sentence with the number of words as the last entry."""
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-    stop = (h & np.uint64(1)).astype(bool)
+_KEPT = tuple(_powers(2 * _GO, base) for base in (_MULT, _INVERSE))
+
+
+def sentences(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts in a row, the first word of each sentence with the number of words as the last entry,
+    and, for each text, how many sentences it and those before it have. The words are in lower case."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.cumsum(size)
+    n = int(ends[-1]) if len(ends) else 0
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(texts)), dtype=np.uint64, count=n)
+    last = np.frombuffer("".join([w[-1] for t in texts for w in t]).encode("utf-32-le"), dtype="<u4")
+    stop = np.isin(last, _STOPS)
+    h = h >> np.uint64(1) << np.uint64(1) | stop  # the lowest bit says that the word ends a sentence
+    stop[ends[size > 0] - 1] = True  # a text ends its last sentence
     if len(h) > WINDOW:
-        ends = np.unique(np.r_[np.flatnonzero(stop) + 1, len(h)])
-        long = np.repeat(np.diff(np.r_[0, ends]) > WINDOW, np.diff(np.r_[0, ends]))
-        least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
-        stop[least[long[least]]] = True
-    return h, np.unique(np.r_[0, np.flatnonzero(stop) + 1, len(words)])
-
-
-def spans(words: list[str], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, more bits of it, first sentence, end sentence)`` of every span, by first sentence; ``words`` in lower case."""
-    if not words:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=int), np.zeros(0, dtype=int)
-    h, at = sentences(words)
-    first = np.arange(len(at) - 1)
-    end = np.maximum(np.searchsorted(at, at[:-1] + min_words), first + min_sentences)
-    first, end = first[end < len(at)], end[end < len(at)]
-    powers, back = _powers(len(h), _MULT), _powers(len(h) + 1, _INVERSE)[at[first]]
-    size = (at[end] - at[first]).astype(np.uint64)
+        length = np.diff(np.r_[0, np.flatnonzero(stop) + 1])
+        long = np.repeat(length > WINDOW, length)
+        first = np.arange(len(h) - WINDOW + 1)
+        first = first[first + WINDOW <= np.repeat(ends, size)[: len(first)]]  # within one text
+        first = first[long[first] | long[first + WINDOW - 1]]
+        rows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
+        for at in range(0, len(first), 1 << 16):
+            own = first[at : at + (1 << 16)]
+            least = rows[own].argmin(axis=1) + own
+            stop[least[long[least]]] = True
+    at = np.r_[0, np.flatnonzero(stop) + 1]
+    return h, at, np.searchsorted(at, ends)
+
+
+def spans(texts: list[list[str]], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, hash, more bits of it, first sentence, end sentence)`` of every span, by text and first sentence."""
+    h, at, upto = sentences(texts)
+    many = np.diff(np.r_[0, upto])
+    text, own = np.repeat(np.arange(len(texts)), many), np.arange(len(at) - 1)
+    end = np.maximum(np.searchsorted(at, at[:-1] + min_words), own + min_sentences)
+    keep = end <= upto[text]
+    text, own, end = text[keep], own[keep], end[keep]
+    powers, inverse = _KEPT if len(h) < 2 * _GO else (_powers(len(h) + 1, _MULT), _powers(len(h) + 1, _INVERSE))
+    begin, size = at[own], (at[end] - at[own]).astype(np.uint64)
 
     def rolled(h: np.ndarray) -> np.ndarray:
-        total = np.r_[np.uint64(0), np.cumsum(h * powers, dtype=np.uint64)]
-        out = (total[at[end]] - total[at[first]]) * back + size
+        total = np.r_[np.uint64(0), np.cumsum(h * powers[: len(h)], dtype=np.uint64)]
+        out = (total[at[end]] - total[begin]) * inverse[begin] + size
         out = (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         return out ^ (out >> np.uint64(32))
 
     with np.errstate(over="ignore"):
         mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return rolled(h), (rolled(mixed ^ (mixed >> np.uint64(32))) >> np.uint64(32)).astype(np.uint32).view(np.int32), first, end
+        more = (rolled(mixed ^ (mixed >> np.uint64(32))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        before = (upto - many)[text]
+        return text, rolled(h), more, own - before, end - before
 
 
 def _rows(min_sentences: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [spans((t or "").lower().split(), min_sentences, min_words) for t in part.column(2).to_pylist()]
-                size = [len(f[0]) for f in found]
-                row = pa.array(np.repeat(np.arange(len(size)), size))
-                columns = [np.concatenate([f[0] for f in found]).view(np.int64), np.concatenate([f[1] for f in found])]
-                pos = np.concatenate([f[2] for f in found]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), part.column(0).take(row), part.column(1).take(row), pa.array(pos)], ["hash", "more", "doc_id", "mark", "pos"])
+            rows: list[int] = []
+            texts: list[list[str]] = []
+
+            def found() -> pa.RecordBatch:
+                text, h, more, first, _ = spans(texts, min_sentences, min_words)
+                row = pa.array(np.array(rows, dtype=np.int64)[text])
+                columns = [pa.array(h.view(np.int64)), pa.array(more), batch.column(0).take(row), batch.column(1).take(row), pa.array(first.astype(np.int32))]
+                return pa.RecordBatch.from_arrays(columns, ["hash", "more", "doc_id", "mark", "pos"])
+
+            load = 0
+            for i in range(batch.num_rows):
+                words = (batch.column(2)[i].as_py() or "").lower().split()
+                if load + len(words) > _GO and rows:
+                    yield found()
+                    rows, texts, load = [], [], 0
+                rows.append(i)
+                texts.append(words)
+                load += len(words)
+            if rows:
+                yield found()
 
     return run
 
@@ -173,18 +196,18 @@ def cut(text: str, repeats: list[int] | None, min_sentences: int = MIN_SENTENCES
 
     A removed sentence takes the blanks after it along; all other characters stay.
     """
-    words = list(_WORD.finditer(text))
     lower = text.lower().split()
-    _, _, first, end = spans(lower, min_sentences, min_words)
+    *_, first, end = spans([lower], min_sentences, min_words)
     if not len(first):
         return text, 0
-    _, at = sentences(lower)
+    _, at, _ = sentences([lower])
     which = np.arange(len(first)) if repeats is None else np.array(repeats, dtype=int)
     gone = np.zeros(len(at), dtype=int)
     np.add.at(gone, first[which], 1)
     np.subtract.at(gone, end[which], 1)
     gone = np.cumsum(gone)[:-1] > 0
-    begins = [words[i].start() if i else 0 for i in at[:-1]] + [len(text)]
+    starts = [m.start() for m in _WORD.finditer(text)]
+    begins = [0, *(starts[i] for i in at[1:-1].tolist()), len(text)]
     return "".join(text[begins[i] : begins[i + 1]] for i in np.flatnonzero(~gone)), int(gone.sum())
 
 
