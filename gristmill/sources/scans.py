@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import tarfile
 import time
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from pathlib import PurePosixPath
@@ -52,13 +54,14 @@ def parquet_shards(spark: SparkSession, path: str, expected: int | None = None)
     return out
 
 
-def _members(content: bytes, kind: str) -> Iterator[tuple[str, bytes]]:
+def _members(content: bytes, kind: str) -> Iterator[tuple[str, Callable[[], bytes]]]:
+    """Names of an archive's files in order, each with a function that unpacks it."""
     if kind == "zip":
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir())
+            yield from ((i.filename, lambda i=i: z.read(i)) for i in z.infolist() if not i.is_dir())
     else:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
-            yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
+        with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as t:  # one pass, nothing kept of what was passed
+            yield from ((m.name, lambda m=m: t.extractfile(m).read()) for m in t if m.isfile())
 
 
 def unsafe(name: str) -> bool:
@@ -70,7 +73,9 @@ def unsafe(name: str) -> bool:
 def archive(spark: SparkSession, path: str, pattern: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """``path, member, content`` of tar, tar.gz and zip files, one task per archive, members streamed.
 
-    ``pattern`` keeps members by a regular expression, ``keys`` by name. An unsafe name fails the job.
+    ``pattern`` keeps members by a regular expression, ``keys`` by name; only those are unpacked, and the pass over a
+    tar file ends with the last key. An unsafe name fails the job. An archive is one binary value, so it must be under
+    2 GB; larger zip files are read by ``ZipSource``.
     """
     wanted = re.compile(pattern) if pattern else None
     names = frozenset(keys) if keys is not None else None
@@ -78,15 +83,25 @@ def archive(spark: SparkSession, path: str, pattern: str | None = None, keys: li
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, content in zip(frame["path"], frame["content"]):
-                for name, data in _members(content, "zip" if p.endswith(".zip") else "tar"):
+                pending = None if names is None else set(names)
+                for name, unpack in _members(content, "zip" if p.endswith(".zip") else "tar"):
                     if unsafe(name):
                         raise ValueError(f"unsafe member {name!r} in {p}")
-                    if (wanted is None or wanted.search(name)) and (names is None or name in names):
-                        yield pd.DataFrame({"path": [p], "member": [name], "content": [data]})
+                    if (wanted is None or wanted.search(name)) and (pending is None or name in pending):
+                        yield pd.DataFrame({"path": [p], "member": [name], "content": [unpack()]})
+                        if pending is not None:
+                            pending.discard(name)
+                            if not pending:
+                                break
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, member string, content binary")
 
 
+def missing_members(members: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Keys that no archive held."""
+    return keys.select(key).distinct().join(members.select(F.col("member").alias(key)).distinct(), key, "left_anti")
+
+
 def member_lines(members: DataFrame, schema: str) -> DataFrame:
     """JSON lines of archive members as columns."""
     lines = members.select("path", "member", F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where(F.trim("line") != "")
@@ -97,8 +112,9 @@ class PagedSource(DataSource):
     """Rows of a paged endpoint, one partition a page: ``spark.dataSource.register(PagedSource)``, format ``paged``.
 
     Options: ``location`` (a format string with ``{offset}`` and ``{length}``, an http(s) address or a file),
-    ``total``, ``length``, ``retries``. A page is JSON ``{"rows": [{"row_idx": n, "row": {...}}]}``. Pages must
-    be contiguous: a page that lacks a row fails its task, and Spark's task retry asks again.
+    ``total``, ``length``, ``retries``. A page is JSON ``{"rows": [{"row_idx": n, "row": {...}}]}``. A row that a
+    page repeats counts once. Pages must be contiguous: a page that lacks a row fails its task, and Spark's task
+    retry asks again.
     """
 
     @classmethod
@@ -139,67 +155,77 @@ class _PagedReader(DataSourceReader):
                 if attempt == self.retries or e.code not in (429, 500, 502, 503, 504):
                     raise
                 time.sleep((15 if e.code == 429 else 1) * 2**attempt)
-        rows = page["rows"]
-        want = list(range(at, min(at + self.length, self.total)))
-        if [r["row_idx"] for r in rows] != want:
+        rows = {r["row_idx"]: r["row"] for r in reversed(page["rows"])}
+        want = range(at, min(at + self.length, self.total))
+        if rows.keys() != set(want):
             raise ValueError(f"page at {at} is not contiguous")
-        for r in rows:
-            yield r["row_idx"], json.dumps(r["row"], ensure_ascii=False)
-
-
-class RangeFile(io.RawIOBase):
-    """A seekable file over HTTP byte ranges, with a few blocks kept; a path opens the file itself."""
-
-    def __init__(self, location: str, block: int = 2 << 20, kept: int = 8):
-        from urllib.request import Request, urlopen
-
-        self._open, self._request, self.location, self.block, self.most = urlopen, Request, location, block, kept
-        with urlopen(Request(location, method="HEAD"), timeout=60) as f:
-            self.size = int(f.headers["Content-Length"])
-        self.at, self.blocks = 0, {}
-
-    def seekable(self):
-        return True
-
-    def readable(self):
-        return True
-
-    def tell(self):
-        return self.at
-
-    def seek(self, offset, whence=0):
-        self.at = offset + (0, self.at, self.size)[whence]
-        return self.at
-
-    def _block(self, i: int) -> bytes:
-        if i not in self.blocks:
-            first = i * self.block
-            span = {"Range": f"bytes={first}-{min(first + self.block, self.size) - 1}"}
-            with self._open(self._request(self.location, headers=span), timeout=60) as f:
-                if f.status != 206:
-                    raise OSError("the server does not serve byte ranges")
-                data = f.read()
-            if len(self.blocks) >= self.most:
-                del self.blocks[next(iter(self.blocks))]
-            self.blocks[i] = data
-        return self.blocks[i]
-
-    def readinto(self, out):
-        n = max(0, min(len(out), self.size - self.at))
-        done = 0
-        while done < n:
-            i, skip = divmod(self.at, self.block)
-            part = self._block(i)[skip : skip + n - done]
-            out[done : done + len(part)] = part
-            done, self.at = done + len(part), self.at + len(part)
-        return n
+        for i in want:
+            yield i, json.dumps(rows[i], ensure_ascii=False)
+
+
+def _span(location: str, first: int, size: int) -> bytes:
+    """``size`` bytes of a file, or of what an address serves: one request, which must be answered in full."""
+    if not location.startswith(("http://", "https://")):
+        with open(location, "rb") as f:
+            f.seek(first)
+            return f.read(size)
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(location, headers={"Range": f"bytes={first}-{first + size - 1}"}), timeout=60) as f:
+        data = f.read()
+        if f.status != 206 or len(data) != size:
+            raise OSError(f"{location} answered {f.status} with {len(data)} of {size} bytes")
+    return data
+
+
+def _length(location: str) -> int:
+    if not location.startswith(("http://", "https://")):
+        return os.path.getsize(location)
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(location, method="HEAD"), timeout=60) as f:
+        return int(f.headers["Content-Length"])
+
+
+def _directory(location: str) -> list[tuple[str, int, int, int, int, int]]:
+    """``name, first byte, bytes up to the next member, packed size, method, checksum`` of a zip file's members.
+
+    Reads the end of the file only: more of it until the directory lies in what was read.
+    """
+    size, tail = _length(location), 1 << 16
+    while True:
+        tail = min(tail, size)
+        try:
+            with zipfile.ZipFile(io.BytesIO(_span(location, size - tail, tail))) as z:
+                members, start = z.infolist(), z.start_dir
+            break
+        except zipfile.BadZipFile:
+            if tail == size:
+                raise
+            tail *= 8
+    shift = size - tail  # offsets were taken as if the file began where the tail does
+    members.sort(key=lambda i: i.header_offset)
+    begins = [i.header_offset + shift for i in members] + [start + shift]
+    return [(i.filename, a, b - a, i.compress_size, i.compress_type, i.CRC) for i, a, b in zip(members, begins, begins[1:]) if not i.is_dir()]
+
+
+def _unpacked(data: bytes, name: str, packed: int, method: int, checksum: int) -> bytes:
+    """A member's bytes from its header on: the header's own lengths say where the packed bytes begin."""
+    begin = 30 + int.from_bytes(data[26:28], "little") + int.from_bytes(data[28:30], "little")
+    body = data[begin : begin + packed]
+    if method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise ValueError(f"member {name!r} is packed by method {method}")
+    out = body if method == zipfile.ZIP_STORED else zlib.decompress(body, -15)
+    if zlib.crc32(out) != checksum:
+        raise ValueError(f"member {name!r} does not fit its checksum")
+    return out
 
 
 class ZipSource(DataSource):
-    """Members of one large zip file, dealt over partitions: format ``zip_members``.
+    """Members of one large zip file, dealt over partitions by bytes: format ``zip_members``.
 
-    Options: ``location`` (http(s) address or path), ``partitions``. A task reads the directory at the end of
-    the file and then only the byte ranges of its own members.
+    Options: ``location`` (http(s) address or path), ``partitions``. The driver reads the directory at the end of
+    the file once; a task gets the byte spans of its own members and fetches each by one ranged request.
     """
 
     @classmethod
@@ -217,20 +243,21 @@ class _ZipReader(DataSourceReader):
     def __init__(self, options):
         self.location, self.n = options["location"], int(options.get("partitions", "8"))
 
-    def _file(self):
-        remote = self.location.startswith(("http://", "https://"))
-        return io.BufferedReader(RangeFile(self.location)) if remote else open(self.location, "rb")
-
     def partitions(self):
-        return [InputPartition(i) for i in range(self.n)]
+        members = _directory(self.location)
+        for name, *_ in members:
+            if unsafe(name):
+                raise ValueError(f"unsafe member {name!r}")
+        total = sum(m[2] for m in members) or 1
+        parts, load = [[] for _ in range(self.n)], 0
+        for m in members:  # by the place of its middle, so each task gets a stretch of the file
+            parts[min(self.n - 1, (load + m[2] // 2) * self.n // total)].append(m)
+            load += m[2]
+        return [InputPartition(p) for p in parts if p]
 
     def read(self, partition):
-        with self._file() as f, zipfile.ZipFile(f) as z:
-            members = [i for i in z.infolist() if not i.is_dir()]
-            for i in members[partition.value :: self.n]:
-                if unsafe(i.filename):
-                    raise ValueError(f"unsafe member {i.filename!r}")
-                yield i.filename, z.read(i)
+        for name, first, size, packed, method, checksum in partition.value:
+            yield name, _unpacked(_span(self.location, first, size), name, packed, method, checksum)
 
 
 class _Controls(HTMLParser):

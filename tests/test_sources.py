@@ -32,6 +32,9 @@ def test_archives(spark, tmp_path):
             t.addfile(info, io.BytesIO(data))
     members = scans.archive(spark, str(tmp_path / "x.tar.gz"), pattern="^en")
     assert [r["utt"] for r in scans.member_lines(members, "utt string").collect()] == ["hi", "ho"]
+    some = scans.archive(spark, str(tmp_path / "x.tar.gz"), keys=["de.jsonl", "fr.jsonl"])
+    keys = spark.createDataFrame([("de.jsonl",), ("fr.jsonl",)], "name string")
+    assert [r["member"] for r in some.collect()] == ["de.jsonl"] and [r["name"] for r in scans.missing_members(some, keys, "name").collect()] == ["fr.jsonl"]
     with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
         z.writestr("../evil", b"x")
     with pytest.raises(Exception, match="unsafe member"):
@@ -42,6 +45,7 @@ def test_paged_source(spark, tmp_path):
     for at in (0, 2, 4):
         (tmp_path / f"p{at}.json").write_text(json.dumps({"rows": [{"row_idx": i, "row": {"v": i}} for i in range(at, min(at + 2, 5))]}))
     spark.dataSource.register(scans.PagedSource)
+    (tmp_path / "p0.json").write_text(json.dumps({"rows": [{"row_idx": i, "row": {"v": i}} for i in (0, 1, 1)]}))  # a row comes twice
     options = {"location": str(tmp_path) + "/p{offset}.json", "length": "2", "retries": "0"}
     assert spark.read.format("paged").options(**options, total="5").load().count() == 5
     with pytest.raises(Exception, match="not contiguous"):
@@ -56,9 +60,13 @@ def test_zip_members_by_range(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for i in range(20):
             z.writestr(f"m{i}.txt", b"%d" % i * 5000)
+        z.writestr("packed.txt", b"ab" * 4000, zipfile.ZIP_DEFLATED)
+        z.mkdir("folder")
     data = (tmp_path / "a.zip").read_bytes()
     spark.dataSource.register(scans.ZipSource)
-    assert spark.read.format("zip_members").options(location=str(tmp_path / "a.zip"), partitions="3").load().where("length(content) >= 5000").count() == 20
+    assert spark.read.format("zip_members").options(location=str(tmp_path / "a.zip"), partitions="3").load().where("length(content) >= 5000").count() == 21
+
+    asked = []
 
     class Ranges(http.server.BaseHTTPRequestHandler):
         def do_HEAD(self):
@@ -68,9 +76,10 @@ def test_zip_members_by_range(spark, tmp_path):
 
         def do_GET(self):
             a, b = map(int, re.findall(r"\d+", self.headers["Range"]))
+            asked.append((a, b))
             self.send_response(206)
             self.end_headers()
-            self.wfile.write(data[a : b + 1])
+            self.wfile.write(data[a : b + 1][: 10 if self.path.startswith("/short") else None])
 
         def log_message(self, *args):
             pass
@@ -78,8 +87,12 @@ def test_zip_members_by_range(spark, tmp_path):
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Ranges)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
-        with io.BufferedReader(scans.RangeFile(f"http://127.0.0.1:{server.server_port}/a.zip", block=1000)) as f, zipfile.ZipFile(f) as z:
-            assert z.read("m13.txt") == b"13" * 5000
+        address = f"http://127.0.0.1:{server.server_port}"
+        got = {r["member"]: bytes(r["content"]) for r in spark.read.format("zip_members").options(location=address + "/a.zip", partitions="3").load().collect()}
+        assert got == {f"m{i}.txt": b"%d" % i * 5000 for i in range(20)} | {"packed.txt": b"ab" * 4000}
+        assert sum(b - a < len(data) // 10 for a, b in asked) >= 20  # a member by a request of its own
+        with pytest.raises(OSError, match="of"):
+            scans._directory(address + "/short.zip")
     finally:
         server.shutdown()
 
