@@ -5,28 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.hashing import digest
+from gristmill.functions.hashing import digest, hash8
+from gristmill.lineage import stable
 
+#: Texts of one bucket on average.
+BUCKET = 64
 
-def from_other_groups(df: DataFrame, row: str, group: str, text: str, k: int, pool: int = 64) -> DataFrame:
-    """k texts of other groups for each row, by a hash of row and text, with ``rank``.
 
-    All pairs of rows would grow with their square. A pool of ``pool`` texts, the first by hash, is enough to
-    draw from (it is a parameter of the sampling and bounds the broadcast), so work is linear in the rows.
+def from_other_groups(df: DataFrame, row: str, group: str, text: str, k: int) -> DataFrame:
+    """``row, rank, text``: k different texts of other groups for each row, exactly, without pairs of all.
+
+    Texts are dealt into buckets by hash, and a row begins at the bucket of its own hash: its candidates are ranked
+    by the distance of their bucket, then by a digest of row and text. Nearly all rows find k in their first bucket;
+    those that do not, as their group has most of its texts, go on with the next one, up to all. A text that other
+    groups have too is one of theirs; a row's own text is none. ``row`` must be a key.
     """
-    texts = df.groupBy(text).agg(F.min(group).alias("_g"))
-    drawn = texts.orderBy(digest(F.lit("pool"), text)).limit(pool).select(F.col(text).alias("_t"), "_g")
-    gathered = drawn.agg(F.collect_list(F.struct("_t", "_g")).alias("_pool"))  # one row of ``pool`` texts
-    mine = df.select(row, group, F.col(text).alias("_own")).crossJoin(F.broadcast(gathered))
-    fit = F.filter("_pool", lambda s: (s["_g"] != F.col(group)) & (s["_t"] != F.col("_own")))
-    ranked = F.slice(F.array_sort(F.transform(fit, lambda s: F.struct(digest(row, s["_t"]).alias("h"), s["_t"].alias("t")))), 1, k)
-    return mine.select(row, F.posexplode(ranked).alias("_i", "_s")).select(row, (F.col("_i") + 1).alias("rank"), F.col("_s.t").alias(text))
+    texts = stable(df.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(group).alias("_low"), F.max(group).alias("_high")))
+    n = max(1, -(-texts.count() // BUCKET))
+    spread = lambda c: (hash8(digest(F.lit("pool"), c)) % n).cast("int")
+    pools = texts.select(spread(text).alias("_b"), F.col(text).alias("_t"), "_low", "_high")
+    rows = stable(df.select(row, F.col(group).alias("_g"), F.col(text).alias("_own"), spread(row).alias("_at"), F.lit(0).alias("_have")))
+    out = None
+    for step in range(n):
+        near = rows.join(pools, (F.col("_at") + step) % n == F.col("_b")).where(~(F.col("_own").eqNullSafe(F.col("_t")) | (F.col("_g").eqNullSafe(F.col("_low")) & F.col("_g").eqNullSafe(F.col("_high")))))
+        best = near.withColumn("_i", F.row_number().over(Window.partitionBy(row).orderBy(digest(row, "_t")))).where(F.col("_i") + F.col("_have") <= k)
+        found = stable(best.select(row, (F.col("_i") + F.col("_have")).alias("rank"), F.col("_t").alias(text)))
+        out = found if out is None else out.unionByName(found)
+        if step == n - 1:
+            break
+        got = found.groupBy(row).agg(F.count("*").alias("_new"))
+        rows = rows.join(got, row, "left").withColumn("_have", F.col("_have") + F.coalesce("_new", F.lit(0))).drop("_new").where(F.col("_have") < k)
+        rows = stable(rows)
+        if rows.isEmpty():
+            break
+    return out
 
 
 def from_vocabulary(df: DataFrame, label: str, k: int) -> DataFrame:
-    """For each label the k others with most words in common, ties by hash; the vocabulary is a small dimension."""
-    v = df.select(label).distinct()
-    pairs = v.crossJoin(F.broadcast(v.select(F.col(label).alias("other")))).where(F.col(label) != F.col("other"))
-    shared = F.size(F.array_intersect(F.split(label, " "), F.split("other", " ")))
+    """``label, other, shared, rank``: for each label the k others with most words in common, ties by hash.
+
+    Labels meet by the words that they share. One that shares words with fewer than k others is filled up by hash.
+    """
+    v = df.select(label).where(F.col(label).isNotNull()).distinct()
+    words = stable(v.select(label, F.explode(F.array_distinct(F.split(label, " "))).alias("_w")))
+    pairs = words.join(words.withColumnRenamed(label, "other"), "_w").where(F.col(label) != F.col("other")).groupBy(label, "other").agg(F.count("*").cast("int").alias("shared"))
     rank = F.row_number().over(Window.partitionBy(label).orderBy(F.desc("shared"), digest(label, "other")))
-    return pairs.withColumn("shared", shared).withColumn("rank", rank).where(F.col("rank") <= k).select(label, "other", "shared", "rank")
+    near = stable(pairs.withColumn("rank", rank).where(F.col("rank") <= k))
+    few = v.join(near.groupBy(label).agg(F.count("*").alias("_n")), label, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).where(F.col("_n") < k)
+    if few.isEmpty():
+        return near
+    any_ = from_other_groups(v.withColumn("_g", F.col(label)).withColumn("_t", F.col(label)), label, "_g", "_t", 2 * k)
+    rest = any_.withColumnRenamed("_t", "other").join(few, label).join(near.select(label, "other"), [label, "other"], "left_anti")
+    more = rest.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy("rank")) + F.col("_n")).where(F.col("rank") <= k)
+    return near.unionByName(more.select(label, "other", F.lit(0).alias("shared"), F.col("rank").cast("int").alias("rank")))

@@ -9,15 +9,15 @@ from gristmill.operators import leakage, metrics, review, splits
 from gristmill.operators.graph import connected_components
 from gristmill.sources.scans import table
 
-from .evaluation import _AGG, _pair_sql, _scored_sql, _two, scored
-from .queries import _B8, query
+from .evaluation import _AGG, _pair_sql, _scored_sql, _two, boot_sql, scored
+from .queries import _B8, _MAIL, first_mail, query
 
 
-@query("component_split", f"""WITH e AS (SELECT o_custkey, o_orderkey, o_custkey % 40 AS c FROM orders WHERE o_orderkey % 3 = 0), s AS (SELECT c, {_B8.format("min(o_custkey)::VARCHAR", 100)} AS b FROM e GROUP BY c)
+@query("component_split", f"""WITH e AS (SELECT o_custkey, o_orderkey, o_custkey % 40 AS c FROM orders), s AS (SELECT c, {_B8.format("min(o_custkey)::VARCHAR", 100)} AS b FROM e GROUP BY c)
     SELECT CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'dev' WHEN b < 95 THEN 'calibration' ELSE 'test' END AS split, count(*) AS n FROM e JOIN s USING (c) GROUP BY 1""")
 def component_split(spark, sf):
     """Customers that share a residue are linked; a component goes to one split by the hash of its smallest."""
-    o = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", (F.col("o_custkey") % 40).alias("c"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_custkey") % 40).alias("c"))
     first = o.groupBy("c").agg(F.min("o_custkey").alias("low"))
     parts = connected_components(o.join(F.broadcast(first), "c").select("o_custkey", "low"), "o_custkey", "low")  # 40 residues
     split = splits.hashed("component", steps=((80, "train"), (90, "dev"), (95, "calibration")))
@@ -70,9 +70,9 @@ def placeholder_splits(spark, sf):
     return review.placeholder_splits(p, "split", "c", "S")
 
 
-@query("numeric_suffix_order", """WITH u AS (SELECT user_id, 'frame_' || (event_id % 1000) || '.jpg' AS name, event_id % 1000 AS k FROM events WHERE event_id < 3000) SELECT user_id, string_agg(name, ',' ORDER BY k, name) AS frames FROM u GROUP BY 1""")
+@query("numeric_suffix_order", """WITH u AS (SELECT user_id, 'frame_' || (event_id % 1000) || '.jpg' AS name, event_id % 1000 AS k FROM events) SELECT user_id, string_agg(name, ',' ORDER BY k, name) AS frames FROM u GROUP BY 1""")
 def numeric_suffix_order(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 3000").groupBy("user_id").agg(F.collect_list(F.concat(F.lit("frame_"), (F.col("event_id") % 1000).cast("string"), F.lit(".jpg"))).alias("names"))
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.concat(F.lit("frame_"), (F.col("event_id") % 1000).cast("string"), F.lit(".jpg"))).alias("names"))
     return e.select("user_id", F.array_join(review.numeric_order(F.col("names")), ",").alias("frames"))
 
 
@@ -98,11 +98,11 @@ def tiered_report(spark, sf):
     return metrics.grouping_sets(s, [[], ["tier"], ["o_orderpriority"]], metrics.base_metrics()).select("tier", "o_orderpriority", "grouping_id", "n", "correct", "accuracy", "log_loss", "brier")
 
 
-@query("paired_bootstrap", f"""WITH {_pair_sql()}, r AS (SELECT i, b - a AS d, list_sum(list_transform({metrics.POISSON}, lambda t: CASE WHEN ('0x' || substr(sha256('boot:' || i || ':' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= t THEN 1 ELSE 0 END)) AS k FROM w, range(40) t(i) WHERE o_orderkey % 5 = 0),
-    m AS (SELECT i, sum(k * d)::DOUBLE / sum(k) AS mean FROM r GROUP BY 1) SELECT count(*) AS resamples, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
+@query("paired_bootstrap", f"""WITH {_pair_sql()}, {boot_sql('o_orderkey', 'sum(k * d)::DOUBLE / sum(k)')} SELECT count(*) AS resamples, round((list_sort(list(mean)))[51], 6) AS low, round((list_sort(list(mean)))[1950], 6) AS high FROM m""")
 def paired_bootstrap(spark, sf):
-    wide = metrics.paired(_two(spark, sf).where("o_orderkey % 5 = 0"), "o_orderkey", "model", "m1", "m2", [])
-    return metrics.interval(metrics.cluster_bootstrap(wide, "o_orderkey", 40))
+    """Orders are the clusters, so single pairs are drawn; the bounds are the 51st and the 1,950th of 2,000 means."""
+    wide = metrics.paired(_two(spark, sf), "o_orderkey", "model", "m1", "m2", [])
+    return metrics.order_interval(metrics.cluster_bootstrap(wide, "o_orderkey"))
 
 
 @query("candidate_selection", f"""WITH {_scored_sql()}, g AS (SELECT o_custkey % 20 AS candidate, round(avg(correct), 6) AS accuracy, round(avg(loss), 6) AS log_loss FROM s GROUP BY 1) SELECT candidate, accuracy, log_loss FROM g ORDER BY CASE WHEN accuracy >= 0.2 THEN 0 ELSE 1 END, accuracy DESC, log_loss, candidate LIMIT 1""")
@@ -116,11 +116,11 @@ def family_metrics(spark, sf):
     return scored(spark, sf).groupBy(F.col("o_orderstatus").alias("family")).agg(F.count("*").alias("n"), F.round(F.avg("correct"), 6).alias("accuracy"), F.round(F.avg("loss"), 6).alias("log_loss"))
 
 
-@query("identity_overlap", f"""WITH k AS (SELECT doc_id, {_B8.format('doc_id::VARCHAR', 100)} < 80 AS train, source AS grp, sha256(text) AS content, substr(text, 1, 80) AS head FROM documents)
-    SELECT kind, count(*) AS keys FROM (SELECT 'content' AS kind, content AS key FROM k GROUP BY content HAVING bool_or(train) AND NOT bool_and(train) UNION ALL SELECT 'head', head FROM k GROUP BY head HAVING bool_or(train) AND NOT bool_and(train) UNION ALL SELECT 'group', grp FROM k GROUP BY grp HAVING bool_or(train) AND NOT bool_and(train)) GROUP BY kind""")
+@query("identity_overlap", f"""WITH k AS (SELECT doc_id, {_B8.format('doc_id::VARCHAR', 100)} < 80 AS train, source AS grp, sha256(text) AS content, nullif(regexp_extract(text, '{_MAIL}'), '') AS mail FROM documents)
+    SELECT kind, count(*) AS keys FROM (SELECT 'content' AS kind, content AS key FROM k GROUP BY content HAVING bool_or(train) AND NOT bool_and(train) UNION ALL SELECT 'mail', mail FROM k WHERE mail IS NOT NULL GROUP BY mail HAVING bool_or(train) AND NOT bool_and(train) UNION ALL SELECT 'group', grp FROM k GROUP BY grp HAVING bool_or(train) AND NOT bool_and(train)) GROUP BY kind""")
 def identity_overlap(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("content"), F.substring("text", 1, 80).alias("head"), splits.hashed("doc_id", steps=((80, "train"),), last="dev").alias("split"))
-    keys = leakage.tagged_keys(d, "doc_id", {"content": F.col("content"), "head": F.col("head"), "group": F.col("source")}, "split")
+    d = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("content"), first_mail().alias("mail"), splits.hashed("doc_id", steps=((80, "train"),), last="dev").alias("split"))
+    keys = leakage.tagged_keys(d, "doc_id", {"content": F.col("content"), "mail": F.col("mail"), "group": F.col("source")}, "split")
     return keys.groupBy("kind", "key").agg(F.count_distinct("split").alias("s")).where("s > 1").groupBy("kind").agg(F.count("*").alias("keys"))
 
 

@@ -160,19 +160,24 @@ def paired_model_delta(spark, sf):
     return metrics.paired_delta(metrics.paired(_two(spark, sf), "o_orderkey", "model", "m1", "m2", ["o_orderstatus"]), ["o_orderstatus"])
 
 
-@query("cluster_bootstrap", f"""WITH {_pair_sql()}, c AS (SELECT o_custkey, count(*) AS n, sum(b - a) AS d FROM w GROUP BY 1),
-    r AS (SELECT i, n, d, list_sum(list_transform({metrics.POISSON}, lambda t: CASE WHEN ('0x' || substr(sha256('boot:' || i || ':' || o_custkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= t THEN 1 ELSE 0 END)) AS k FROM c, range(200) t(i)),
-    m AS (SELECT i, sum(k * d)::DOUBLE / sum(k * n) AS mean FROM r GROUP BY 1) SELECT count(*) AS resamples, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
+def boot_sql(cluster: str, mean: str) -> str:
+    """Means ``m`` of 2,000 resamples of the pairs ``w``: a digest of a cluster and j gives the draws 8 j to 8 j + 7."""
+    return f"""c AS (SELECT {cluster} AS c, count(*) AS n, sum(b - a) AS d FROM w GROUP BY 1),
+    h AS (SELECT j, n, d, sha256('boot:' || j || ':' || c) AS h FROM c, range(250) t(j)), u AS (SELECT j * 8 + x AS i, n, d, ('0x' || substr(h, (8 * x + 1)::INT, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM h, range(8) y(x)),
+    r AS (SELECT i, n, d, {' + '.join(f'CASE WHEN u >= {p!r} THEN 1 ELSE 0 END' for p in metrics.POISSON)} AS k FROM u), m AS (SELECT i, {mean} AS mean FROM r GROUP BY 1)"""
+
+
+@query("cluster_bootstrap", f"""WITH {_pair_sql()}, {boot_sql('o_custkey', 'sum(k * d)::DOUBLE / sum(k * n)')} SELECT count(*) AS resamples, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
 def cluster_bootstrap(spark, sf):
     wide = metrics.paired(_two(spark, sf), "o_orderkey", "model", "m1", "m2", ["o_custkey"])
-    return metrics.interval(metrics.cluster_bootstrap(wide, "o_custkey", 200))
+    return metrics.interval(metrics.cluster_bootstrap(wide, "o_custkey"))
 
 
-@query("order_balanced_logits", f"""WITH k AS (SELECT o_orderkey, unnest({_PR}) AS key FROM orders WHERE o_orderkey % 10 = 0),
+@query("order_balanced_logits", f"""WITH k AS (SELECT o_orderkey, unnest({_PR}) AS key FROM orders),
     m AS (SELECT o_orderkey, key, list_avg(list_transform(range(5), lambda r: ('0x' || substr(sha256('rot' || r || o_orderkey || key), 1, 4))::INT / 65535.0::DOUBLE)) AS mean FROM k),
     x AS (SELECT *, exp(mean - max(mean) OVER (PARTITION BY o_orderkey)) AS e FROM m) SELECT o_orderkey, key, round(mean, 6) AS mean, round(e / sum(e) OVER (PARTITION BY o_orderkey), 6) AS p FROM x""")
 def order_balanced_logits(spark, sf):
-    o = orders(spark, sf).where("o_orderkey % 10 = 0").select("o_orderkey", F.explode(priorities()).alias("key"))
+    o = orders(spark, sf).select("o_orderkey", F.explode(priorities()).alias("key"))
     long = o.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("score", synthetic_score(F.lit("rot"), "r", "o_orderkey", "key"))
     return decide.order_balanced(long, ["o_orderkey"], "key", "score")
 
@@ -262,12 +267,15 @@ def weighted_loss(spark, sf):
 
 # Codes, vectors and boxes.
 
-_CODE = "list_sum(list_transform(range(1, 21), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT"
+# Bit i of the code is the sign of the sum of the dimensions i, i + 20, i + 40 and so on, so all 64 count.
+_CODE = "list_sum(list_transform(range(1, 21), lambda i: CASE WHEN embedding[i]::DOUBLE + embedding[i + 20]::DOUBLE + embedding[i + 40]::DOUBLE + coalesce(embedding[i + 60], 0)::DOUBLE > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT"
 _PAIRS = f"c AS (SELECT vec_id, {_CODE} AS code FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.code, y.code))::INT AS distance FROM c x JOIN c y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.code, y.code)) <= 2)"
 
 
 def _codes(spark, sf) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", neardup.sign_code(F.col("embedding"), 20).alias("code"))
+    at = lambda i: F.coalesce(F.get("embedding", i).cast("double"), F.lit(0.0))
+    folded = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: at(i) + at(i + 20) + at(i + 40) + at(i + 60))
+    return table(spark, sf, "embeddings").select("vec_id", neardup.sign_code(folded, 20).alias("code"))
 
 
 @query("hamming_near_dup_pairs", f"WITH {_PAIRS} SELECT a, b, distance FROM p")

@@ -19,6 +19,7 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _PR = "['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW']"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _NORM = "lower(trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')))"
+_MAIL = "[A-Za-z0-9.]+@[a-z0-9]+[.][a-z.]+"
 _B8 = "(('0x' || substr(sha256({}), 1, 8))::BIGINT % {})"
 _LADDER = "CASE WHEN {0} < 60 THEN 'train' WHEN {0} < 70 THEN 'dev' WHEN {0} < 85 THEN 'calibration' ELSE 'test' END"
 _PRIO = "CASE split WHEN 'train' THEN 0 WHEN 'dev' THEN 1 WHEN 'calibration' THEN 2 ELSE 3 END"
@@ -43,6 +44,11 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").withColumn("split", splits.hashed("source", "doc_id")).withColumn("content", F.sha2(normalised("text"), 256))
 
 
+def first_mail() -> Column:
+    """The first mail address of a text as a second key; null without one, and nulls are no keys."""
+    return F.nullif(F.regexp_extract("text", _MAIL, 0), F.lit(""))
+
+
 def priorities() -> Column:
     return F.array(*map(F.lit, PRIORITIES))
 
@@ -114,11 +120,11 @@ def decision_fingerprint(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", typed.fingerprint("o_orderstatus", "o_orderpriority", "o_custkey").alias("fingerprint"))
 
 
-@query("train_holdout_multikey_anti", f"""WITH {_DOCS}, h AS (SELECT DISTINCT content FROM d WHERE split <> 'train'), g AS (SELECT DISTINCT substr(text, 1, 40) AS head FROM d WHERE split <> 'train')
-    SELECT split, count(*) AS n FROM d WHERE split <> 'train' OR (content NOT IN (SELECT content FROM h) AND substr(text, 1, 40) NOT IN (SELECT head FROM g)) GROUP BY split""")
+@query("train_holdout_multikey_anti", f"""WITH {_DOCS}, h AS (SELECT DISTINCT content FROM d WHERE split <> 'train'), m AS (SELECT *, nullif(regexp_extract(text, '{_MAIL}'), '') AS mail FROM d), g AS (SELECT DISTINCT mail FROM m WHERE split <> 'train' AND mail IS NOT NULL)
+    SELECT split, count(*) AS n FROM m WHERE split <> 'train' OR (content NOT IN (SELECT content FROM h) AND (mail IS NULL OR mail NOT IN (SELECT mail FROM g))) GROUP BY split""")
 def train_holdout_multikey_anti(spark, sf):
-    d = docs(spark, sf).select("doc_id", "split", "content", F.substring("text", 1, 40).alias("head"))
-    return leakage.multi_key_anti(d, "doc_id", {"content": F.col("content"), "head": F.col("head")}).groupBy("split").agg(F.count("*").alias("n"))
+    d = docs(spark, sf).select("doc_id", "split", "content", first_mail().alias("mail"))
+    return leakage.multi_key_anti(d, "doc_id", {"content": F.col("content"), "mail": F.col("mail")}).groupBy("split").agg(F.count("*").alias("n"))
 
 
 @query("protected_benchmark_anti", f"""WITH {_DOCS}, l AS (SELECT DISTINCT doc_id, sha256(lower(trim(x))) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d)),
@@ -155,10 +161,14 @@ def cross_split_groups(spark, sf):
     return leakage.cross_split_groups(docs(spark, sf).select("content", "split"), "content")
 
 
-@query("conflicting_labels", """SELECT substr(text, 1, 5) AS head, count(DISTINCT quality) AS labels, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) > 1""")
+@query("conflicting_labels", f"""WITH {_DOCS}, j AS (SELECT content, quality * 2 + toxic AS label FROM d JOIN labels USING (doc_id) UNION ALL SELECT content, 9 FROM d WHERE source = 'src7')
+    SELECT content, count(DISTINCT label) AS labels, count(*) AS n FROM j GROUP BY 1 HAVING count(DISTINCT label) > 1""")
 def conflicting_labels(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 5).alias("head")).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    return leakage.conflicting(d, "head", "quality")
+    """Labels of the table, and those of a second annotator who calls all of one source bad, on the digest of whole texts."""
+    d = docs(spark, sf).select("doc_id", "source", "content")
+    first = d.join(table(spark, sf, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("label")), "doc_id").select("content", "label")
+    second = d.where("source = 'src7'").select("content", F.lit(9).alias("label"))
+    return leakage.conflicting(first.unionByName(second), "content", "label")
 
 
 @query("label_bijection_audit", """SELECT 'p_brand->p_type' AS side, p_brand AS value, count(DISTINCT p_type) AS targets FROM part GROUP BY 2 HAVING targets > 1
@@ -200,11 +210,12 @@ def group_disjoint(spark, sf):
     return leakage.keys_disjoint(table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")), "k")
 
 
-@query("symmetric_difference", """WITH a AS (SELECT DISTINCT user_id AS k FROM events WHERE event_id < 300), b AS (SELECT DISTINCT user_id AS k FROM events WHERE event_id BETWEEN 200 AND 500)
+@query("symmetric_difference", """WITH a AS (SELECT DISTINCT user_id * 1000 + event_id % 1000 AS k FROM events WHERE event_type IN ('click', 'view')), b AS (SELECT DISTINCT user_id * 1000 + event_id % 1000 AS k FROM events WHERE event_type <> 'view')
     SELECT k, 'left' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'right' FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def symmetric_difference(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("k"), "event_id")
-    return leakage.symmetric_difference(e.where("event_id < 300").select("k").distinct(), e.where("event_id BETWEEN 200 AND 500").select("k").distinct())
+    """Keys of users and items that one kind of events has and the other lacks."""
+    e = table(spark, sf, "events").select((F.col("user_id") * 1000 + F.col("event_id") % 1000).alias("k"), "event_type")
+    return leakage.symmetric_difference(e.where("event_type IN ('click', 'view')").select("k").distinct(), e.where("event_type <> 'view'").select("k").distinct())
 
 
 @query("subset_replacement", """SELECT status, count(*) AS n, sum(k)::BIGINT AS keys FROM (SELECT o_orderstatus AS status, o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'P', o_orderkey FROM orders WHERE o_orderpriority = '5-LOW') GROUP BY 1""")
@@ -214,9 +225,9 @@ def subset_replacement(spark, sf):
     return leakage.replace_subset(o, full, F.col("status") == "P").groupBy("status").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
 
 
-@query("array_overlap_anti", """WITH u AS (SELECT user_id, list(DISTINCT (event_id % 97)) AS items FROM events WHERE event_id % 20 = 0 GROUP BY 1) SELECT user_id FROM u WHERE NOT list_has_any(items, [1, 2, 3, 5])""")
+@query("array_overlap_anti", """WITH u AS (SELECT user_id, list(DISTINCT (event_id % 997)) AS items FROM events GROUP BY 1) SELECT user_id FROM u WHERE NOT list_has_any(items, [1, 2, 3, 5])""")
 def array_overlap_anti(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 20 = 0").select("user_id", (F.col("event_id") % 97).alias("m"))
+    e = table(spark, sf, "events").select("user_id", (F.col("event_id") % 997).alias("m"))
     u = e.groupBy("user_id").agg(F.collect_set("m").alias("items"))
     protected = spark.createDataFrame([(1,), (2,), (3,), (5,)], "m long")
     return leakage.array_overlap(u, "user_id", F.col("items"), protected, "m").select("user_id")
@@ -268,9 +279,9 @@ def option_rotation(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.array_join(typed.rotate_by_hash(priorities(), hash8(digest("o_orderkey"))), "|").alias("options"))
 
 
-@query("option_rotations_all", f"""SELECT o_orderkey, k::INT AS shift, array_to_string(list_concat({_PR}[k + 1:5], {_PR}[1:k]), '|') AS options FROM orders, range(5) t(k) WHERE o_orderkey % 10 = 0""")
+@query("option_rotations_all", f"""SELECT o_orderkey, k::INT AS shift, array_to_string(list_concat({_PR}[k + 1:5], {_PR}[1:k]), '|') AS options FROM orders, range(5) t(k)""")
 def option_rotations_all(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", priorities().alias("v"))
+    o = table(spark, sf, "orders").select("o_orderkey", priorities().alias("v"))
     return typed.all_rotations(o, "v").select("o_orderkey", "shift", F.array_join("rotated", "|").alias("options"))
 
 
@@ -387,9 +398,10 @@ def midpoint_sample(spark, sf):
     return n.select("user_id", F.explode(sampling.midpoint_index(F.col("n"), 6)).alias("place"))
 
 
-@query("spread_blocks", "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 0 AND 49 OR o_orderkey BETWEEN 317 AND 366 OR o_orderkey BETWEEN 633 AND 682 OR o_orderkey BETWEEN 950 AND 999")
+@query("spread_blocks", """WITH n AS (SELECT count(*) AS n FROM orders), s AS (SELECT round_even(i * (n - 50) / 3.0, 0)::BIGINT AS s FROM n, range(4) t(i)) SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM s WHERE o_orderkey BETWEEN s AND s + 49)""")
 def spread_blocks(spark, sf):
-    return sampling.spread_blocks(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1000, 4, 50)
+    o = table(spark, sf, "orders").select("o_orderkey")
+    return sampling.spread_blocks(o, "o_orderkey", o.count(), 4, 50)
 
 
 @query("held_out_per_language", """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('held:' || doc_id)) AS rn FROM documents) SELECT doc_id, lang FROM r WHERE rn <= 64""")
@@ -424,14 +436,15 @@ def action_history_last5(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(F.collect_list("event_type").over(w), " > ").alias("history"))
 
 
-@query("distractor_self_join", """WITH d AS (SELECT doc_id, source, substr(text, 1, 60) AS head FROM documents), p AS (SELECT head, min(source) AS source, sha256('pool:' || head) AS h FROM d GROUP BY head ORDER BY h LIMIT 64),
-    c AS (SELECT d.doc_id, p.head, row_number() OVER (PARTITION BY d.doc_id ORDER BY sha256(d.doc_id || ':' || p.head)) AS rank FROM d JOIN p ON d.source <> p.source AND d.head <> p.head)
-    SELECT doc_id, rank::INT AS rank, sha256(head) AS distractor FROM c WHERE rank <= 3""")
+@query("distractor_self_join", f"""WITH {_DOCS}, t AS (SELECT content, min(source) AS low, max(source) AS high, ('0x' || substr(sha256('pool:' || content), 1, 8))::BIGINT AS h FROM d GROUP BY content), n AS (SELECT greatest(1, (count(*) + 63) // 64) AS n FROM t),
+    r AS (SELECT doc_id, source, content, ('0x' || substr(sha256('pool:' || doc_id), 1, 8))::BIGINT % n AS b, n FROM d, n),
+    c AS (SELECT doc_id, t.content AS distractor, row_number() OVER (PARTITION BY doc_id ORDER BY (t.h % n - b + n) % n, sha256(doc_id || ':' || t.content)) AS rank FROM r JOIN t ON r.content <> t.content AND NOT (r.source = low AND r.source = high))
+    SELECT doc_id, rank::INT AS rank, distractor FROM c WHERE rank <= 3""")
 def distractor_self_join(spark, sf):
+    """Whole texts of other sources, by their digests."""
     from gristmill.operators.distractors import from_other_groups
 
-    d = table(spark, sf, "documents").select("doc_id", "source", F.substring("text", 1, 60).alias("head"))
-    return from_other_groups(d, "doc_id", "source", "head", 3, pool=64).select("doc_id", "rank", F.sha2("head", 256).alias("distractor"))
+    return from_other_groups(docs(spark, sf).select("doc_id", "source", "content"), "doc_id", "source", "content", 3).withColumnRenamed("content", "distractor")
 
 
 @query("label_vocabulary_distractors", """WITH v AS (SELECT DISTINCT p_type AS label FROM part), p AS (SELECT v.label, w.label AS other, len(list_intersect(string_split(v.label, ' '), string_split(w.label, ' '))) AS shared FROM v JOIN v w ON v.label <> w.label),
@@ -442,12 +455,13 @@ def label_vocabulary_distractors(spark, sf):
     return from_vocabulary(table(spark, sf, "part").select(F.col("p_type").alias("label")), "label", 3)
 
 
-@query("prefix_range_lookup", """WITH p AS (SELECT DISTINCT substr(url, 1, 22) AS prefix FROM pages WHERE page_id % 5 = 0) SELECT page_id, prefix FROM pages JOIN p ON starts_with(url, prefix)""")
+@query("prefix_range_lookup", """WITH p AS (SELECT DISTINCT substr(regexp_extract(url, '^[a-z]+://[^/]+/'), 1, 8 + (page_id % 16)::INT) AS prefix FROM pages) SELECT page_id, prefix FROM pages JOIN p ON starts_with(url, prefix)""")
 def prefix_range_lookup(spark, sf):
     from gristmill.operators.neardup import prefix_join
 
     pages = table(spark, sf, "pages").select("page_id", "url")
-    prefixes = pages.where("page_id % 5 = 0").select(F.substring("url", 1, 22).alias("prefix")).distinct()
+    host = F.regexp_extract("url", "^[a-z]+://[^/]+/", 0)
+    prefixes = pages.select(F.substring(host, F.lit(1), (8 + F.col("page_id") % 16).cast("int")).alias("prefix")).distinct()
     return prefix_join(pages, "url", prefixes, "prefix", head=16).select("page_id", "prefix")
 
 
