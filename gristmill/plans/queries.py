@@ -315,16 +315,6 @@ def json_props(spark, sf):
     return e.where(F.col("k").between(10, 60))
 
 
-@query("tool_call_parse", """WITH c AS (SELECT user_id, list(DISTINCT event_type ORDER BY event_type) AS tools, max_by(event_type, struct_pack(a := ts, b := event_id)) AS called FROM events GROUP BY 1)
-    SELECT user_id, len(tools) AS n_tools, called, list_position(tools, called) - 1 AS gold FROM c WHERE len(tools) >= 2 AND list_contains(tools, called)""")
-def tool_call_parse(spark, sf):
-    calls = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("tools"), F.max_by("event_type", F.struct("ts", "event_id")).alias("called"))
-    listed = calls.withColumn("tools_json", F.to_json(F.transform("tools", lambda t: F.struct(t.alias("name")))))
-    names = F.array_distinct(F.transform(F.from_json("tools_json", "array<struct<name:string>>"), lambda t: t["name"]))
-    good = listed.withColumn("names", names).where((F.size("names") >= 2) & F.array_contains("names", F.col("called")))
-    return good.select("user_id", F.size("names").cast("long").alias("n_tools"), "called", (F.array_position("names", F.col("called")) - 1).alias("gold"))
-
-
 @query("single_sentence_match", """SELECT doc_id, m[1] AS code FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]{3}-[0-9]{4}') AS m FROM documents) WHERE len(m) = 1""")
 def single_sentence_match(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", validation.single_match(F.col("text"), r"[0-9]{3}-[0-9]{4}").alias("code"))
