@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.lineage import stable
-from gristmill.operators.skew import spread_join
+from gristmill.operators.skew import hot_limit
 
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
+def _lowest(edges: DataFrame, total: int) -> DataFrame:
+    """``edges`` with ``m``, the smallest ``b`` of each ``a``; edges of a hub stay where they are."""
+    hubs = stable(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).where(F.col("n") > hot_limit(total)).drop("n"))
+    low = F.min("b").over(Window.partitionBy("a"))
+    if hubs.isEmpty():
+        return edges.withColumn("m", low)
+    rest = edges.join(F.broadcast(hubs.select("a")), "a", "left_anti")
+    return edges.join(F.broadcast(hubs), "a").unionByName(rest.withColumn("m", low))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``node, component`` of every node that an edge touches; the component is its smallest node.
 
     Alternates large-star and small-star contraction, so rounds grow with the logarithm of a component's
-    diameter. A hub's neighbours are never gathered: its smallest one is found by partial aggregation and comes
-    back to the edges by ``spread_join``. Each round is checkpointed in the shared folder. Nodes may be of any ordered type; self-loops count as nodes, null ends are ignored.
+    diameter. A hub's neighbours are never gathered: its smallest one is found by partial aggregation and broadcast
+    to the edges, as there are few hubs. Each round is checkpointed in the shared folder. Nodes may be of any ordered type; self-loops count as nodes, null ends are ignored.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     alone = stable(pairs.where("a = b").select("a").distinct())
@@ -30,11 +40,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
         last = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = stable(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
-        large = stable(spread_join(both, low, "a", "n", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = stable(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        # A node has few edges to smaller ones now unless many components meet in it, so the same join serves.
-        small = spread_join(large, low, "a", "n", mark[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        large = stable(_lowest(both, 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
+        # Of a node's edges the one to its smallest neighbour stays, the others go from the neighbour to that one.
+        small = _lowest(large, mark[0]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = stable(small.distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 HOT_KEYS, LEAST_ROWS = 512, 128
 
 
+def hot_limit(total: int) -> int:
+    """Rows of a key, of ``total`` rows, beyond which it is hot; ``HOT_KEYS`` keys at most are."""
+    return max(LEAST_ROWS, total // HOT_KEYS)
+
+
 def spread_join(rows: DataFrame, side: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """``rows.join(side, key)`` without a task that gets all rows of a hot key.
 
     ``side`` has one row per key, whose ``count`` says how many of the ``total`` rows have it (and leaves the
-    result). Keys with more than ``total / HOT_KEYS`` rows, of which there are ``HOT_KEYS`` at most, are broadcast,
-    so that their rows stay where they are; the others are shuffled. Both inputs are read more than once, so they
-    should be stored or checkpointed. Null keys match nothing.
+    result). Hot keys are broadcast, so that their rows stay where they are; the others are shuffled. Both inputs are
+    read more than once, so they should be stored or checkpointed. Null keys match nothing.
     """
-    limit = max(LEAST_ROWS, total // HOT_KEYS)
-    hot = F.broadcast(side.where(F.col(count) > limit).drop(count))
-    cold = rows.join(F.broadcast(side.where(F.col(count) > limit).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(cold.join(side.where(F.col(count) <= limit).drop(count), key))
+    many = side.where(F.col(count) > hot_limit(total)).drop(count)
+    if many.isEmpty():
+        return rows.join(side.drop(count), key)
+    cold = rows.join(F.broadcast(many.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(many), key).unionByName(cold.join(side.where(F.col(count) <= hot_limit(total)).drop(count), key))
