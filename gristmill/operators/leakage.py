@@ -73,7 +73,11 @@ def quarantine_groups(df: DataFrame, group: str, split: str) -> tuple[DataFrame,
 
 
 def keep_first(df: DataFrame, key: list[str], order: list, report: str | None = None) -> DataFrame:
-    """First row of each key in ``order``; with ``report`` all rows, their place and the kept row's column."""
+    """First row of each key in ``order``; with ``report`` all rows, their place and the kept row's column.
+
+    Without a report each task sends the first row of a key only (a window group limit), so a key with a third of all
+    rows arrives as one row for each task.
+    """
     w = Window.partitionBy(*key).orderBy(*order)
     ranked = df.withColumn("rn", F.row_number().over(w))
     if report is None:
@@ -115,3 +119,12 @@ def array_overlap(df: DataFrame, row: str, items: Column, protected: DataFrame,
     """Rows of which no array element is protected."""
     lost = df.select(row, F.explode(items).alias(key)).join(protected.select(key).distinct(), key, "left_semi").select(row).distinct()
     return df.join(lost, row, "left_anti")
+
+
+def united(parts: list[DataFrame], key: str) -> DataFrame:
+    """All rows of several tables; the job fails where an id comes twice."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    twice = out.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).agg(F.count("*").alias("_twice"))
+    return out.crossJoin(F.broadcast(twice)).withColumn("_ok", F.assert_true(F.col("_twice") == 0, "an id comes twice")).where("_ok IS NULL").drop("_ok", "_twice")  # one row

@@ -20,12 +20,12 @@ def base_metrics() -> list[Column]:
     return [F.count("*").alias("n"), F.sum("correct").cast("long").alias("correct"), F.round(F.avg("correct"), 6).alias("accuracy"), F.round(F.avg("loss"), 6).alias("log_loss"), F.round(F.avg("brier"), 6).alias("brier")]
 
 
-def grouping_sets(df: DataFrame, sets: list[list[str]], aggs: list[Column]) -> DataFrame:
+def grouping_sets(df: DataFrame, sets: list[list[str]], aggs: list[Column], columns: list[str] | None = None) -> DataFrame:
     """Each row counted once in every grouping set, in one expand and one shuffle.
 
-    Columns outside a set are null; ``grouping_id`` tells the sets apart.
+    Columns outside a set are null; ``grouping_id`` tells the sets apart, with its bits in the order of ``columns``.
     """
-    names = list(dict.fromkeys(c for s in sets for c in s))
+    names = columns or list(dict.fromkeys(c for s in sets for c in s))
     out = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in names])
     return out.agg(F.grouping_id(*names).cast("int").alias("grouping_id"), *aggs)
 
@@ -65,10 +65,9 @@ def latency(value: str) -> list[Column]:
     return [F.round(F.percentile(value, F.lit(q)), 6).alias(name) for q, name in ((0.5, "p50"), (0.95, "p95"))]
 
 
-def upper_median(value: Column) -> Column:
-    """Element n // 2 of the sorted values."""
-    a = F.array_sort(F.collect_list(value))
-    return F.element_at(a, (F.floor(F.size(a) / 2) + 1).cast("int"))
+def upper_median(value: str) -> Column:
+    """Element n // 2 of the sorted values of a column, by counts of its different values."""
+    return (-F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{value})")).cast("long")
 
 
 def temperature_grid(points: int = 161, low: float = 0.25, high: float = 4.0) -> Column:

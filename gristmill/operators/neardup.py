@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.lineage import stable
+
 from .graph import connected_components
+from .skew import spread_join
 
 
 def sign_code(values: Column, bits: int) -> Column:
@@ -14,15 +17,14 @@ def sign_code(values: Column, bits: int) -> Column:
     return F.aggregate(flags, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
 
-def hamming_pairs(df: DataFrame, row: str, code: str, bits: int, radius: int) -> DataFrame:
-    """``a, b, distance`` of all pairs within ``radius``; exact, by pigeonhole bands.
+def near_codes(df: DataFrame, code: str, bits: int, radius: int) -> DataFrame:
+    """``x, y`` (x < y) of all different codes within ``radius``; exact, by pigeonhole bands.
 
-    Of ``radius + 1`` bands of the code a pair within the radius shares one at least. Equal codes are one
-    candidate each, so copies do not multiply candidates; they are expanded at the end, as the result asks
-    for all pairs. A pair that shares several bands is taken in the first.
+    Of ``radius + 1`` bands of the code a pair within the radius shares one at least; a pair that shares several is
+    taken in the first. Equal codes are one candidate, so copies do not multiply candidates.
     """
     width = -(-bits // (radius + 1))
-    codes = df.groupBy(code).agg(F.count("*").alias("_n")).select(F.col(code).alias("c"))
+    codes = df.select(F.col(code).alias("c")).where("c IS NOT NULL").distinct()
     band = lambda c, i: F.shiftright(c, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
     keys = F.array(*[F.struct(F.lit(i).alias("i"), band(F.col("c"), i).alias("v")) for i in range(radius + 1)])
     bands = codes.select("c", F.explode(keys).alias("k")).select("c", "k.i", "k.v")
@@ -30,16 +32,36 @@ def hamming_pairs(df: DataFrame, row: str, code: str, bits: int, radius: int) ->
     first = F.lit(True)
     for j in range(radius):
         first = first & ((F.col("i") <= j) | (band(F.col("x"), j) != band(F.col("y"), j)))
-    near = x.join(y, ["i", "v"]).where((F.col("x") < F.col("y")) & first & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius)).select("x", "y")
-    near = near.unionByName(codes.select(F.col("c").alias("x"), F.col("c").alias("y")))
+    return x.join(y, ["i", "v"]).where((F.col("x") < F.col("y")) & first & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius)).select("x", "y")
+
+
+def hamming_pairs(df: DataFrame, row: str, code: str, bits: int, radius: int) -> DataFrame:
+    """``a, b, distance`` of all pairs of rows within ``radius``, those of equal codes too.
+
+    All pairs are asked for here, so a code that very many rows share gives the square of their number; ``components``
+    needs one row for each of them.
+    """
     rows = df.select(F.col(row).alias("r"), F.col(code).alias("c"))
+    equal = rows.select(F.col("c").alias("x"), F.col("c").alias("y")).where("x IS NOT NULL").distinct()
+    near = near_codes(df, code, bits, radius).unionByName(equal)
     both = near.join(rows.withColumnsRenamed({"r": "p", "c": "x"}), "x").join(rows.withColumnsRenamed({"r": "q", "c": "y"}), "y")
     both = both.where((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
     return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int").alias("distance"))
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    return connected_components(pairs, "a", "b")
+def components(df: DataFrame, row: str, code: str, bits: int, radius: int) -> DataFrame:
+    """``node, component`` of the rows that another one is near to: the smallest row of those that links connect.
+
+    Codes are connected first; rows of one code are a star around the smallest of them, never pairs.
+    """
+    stars = stable(df.where(F.col(code).isNotNull()).groupBy(code).agg(F.min(row).alias("low"), F.count("*").alias("n")))
+    low = stars.select(F.col(code).alias("c"), "low", "n")
+    near = near_codes(df, code, bits, radius)
+    edges = near.join(low.select(F.col("c").alias("x"), F.col("low").alias("a")), "x").join(low.select(F.col("c").alias("y"), F.col("low").alias("b")), "y").select("a", "b")
+    joined = connected_components(edges.unionByName(low.where("n > 1").select(F.col("low").alias("a"), F.col("low").alias("b"))))
+    named = stable(low.join(joined.withColumnRenamed("node", "low"), "low").select(F.col("c").alias(code), "component", "n"))
+    rows = df.select(row, code)
+    return spread_join(rows, named, code, "n", named.agg(F.sum("n")).first()[0] or 0).select(F.col(row).alias("node"), "component")
 
 
 def prefix_join(names: DataFrame, name: str, prefixes: DataFrame, prefix: str, head: int = 4) -> DataFrame:

@@ -81,3 +81,24 @@ def answer_labels(candidates: Column, most: int = 255) -> Column:
 def select_candidate(df: DataFrame, guard: Column, order: list[Column]) -> DataFrame:
     """The one row that the guard prefers, then the order: one partial top-1, no full sort."""
     return df.withColumn("_g", F.when(guard, 0).otherwise(1)).orderBy("_g", *order).limit(1).drop("_g")
+
+
+def view_counts(df: DataFrame, view: str, head: str, correct: str) -> DataFrame:
+    """Rows and correct ones of each view and head, and those that a head gets right in every view of a row's group."""
+    return df.groupBy(view, head).agg(F.count("*").alias("n"), F.sum(F.col(correct).cast("long")).alias("correct"), F.round(F.avg(F.col(correct).cast("double")), 6).alias("accuracy"))
+
+
+def weight_problems(weights: DataFrame, name: str, values: str, reported: DataFrame | None = None) -> DataFrame:
+    """Tensors with a value that is not finite, none at all, or another size than a report says; with the reason."""
+    odd = F.exists(values, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    rules = [(F.coalesce(F.size(values) < 1, F.lit(True)), "empty"), (odd, "not_finite")]
+    if reported is not None:
+        weights = weights.join(reported.select(name, F.col("size").alias("_size")), name, "full_outer")
+        rules = [(F.col(values).isNull(), "missing"), (F.col("_size").isNull(), "not_reported"), *rules, (F.size(values) != F.col("_size"), "other_size")]
+    return weights.select(name, first_reason(rules).alias("reason")).where("reason IS NOT NULL")
+
+
+def one_token_labels(candidates: Column, tokens: Column, most: int = 255) -> Column:
+    """The first ``most`` distinct labels that are one token; ``tokens`` are the numbers of tokens of the candidates."""
+    kept = F.transform(F.filter(F.arrays_zip(candidates.alias("c"), tokens.alias("t")), lambda z: z["t"] == 1), lambda z: z["c"])
+    return answer_labels(kept, most)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import bucket, digest
+from gristmill.lineage import stable
 
 
 def hash_top(df: DataFrame, n: int, *key: str, seed: str = "") -> DataFrame:
@@ -14,6 +15,41 @@ def hash_top(df: DataFrame, n: int, *key: str, seed: str = "") -> DataFrame:
     return df.withColumn("_r", digest(F.lit(seed), *key)).orderBy("_r", *key).limit(n).drop("_r")
 
 
+def most_common(df: DataFrame, column: str, k: int) -> DataFrame:
+    """The k most frequent values with their counts ``n``; ties by value."""
+    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
+def epoch_order(df: DataFrame, epoch: int, *key: str, seed: str = "epoch") -> DataFrame:
+    """Rows with ``turn``, a digest by which each epoch has an order of its own; ties by key."""
+    return df.withColumn("turn", digest(F.lit(seed), F.lit(epoch), *key))
+
+
+def replay(base: DataFrame, pool: DataFrame, ratio: float, epoch: int, *key: str, seed: str = "replay") -> DataFrame:
+    """``base`` and ``ratio`` times as many rows of ``pool``, drawn anew for each epoch by hash, in the epoch's order."""
+    n = int(ratio * base.count())
+    return epoch_order(base.unionByName(hash_top(pool, n, *key, seed=f"{seed}:{epoch}")), epoch, *key)
+
+
+def ranked(df: DataFrame, by: list[str], order: list, out: str, partitions: int | None = None) -> DataFrame:
+    """``row_number() - 1`` within ``by``, however many rows one key has.
+
+    Rows are range-partitioned by key and order, so a large key lies in many partitions; each counts its own rows, and
+    the counts of the pieces before are added. Order ties are broken arbitrarily but once, as rows are checkpointed.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in by]
+    dealt = stable(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    pieces = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_part").alias("_piece"), (before - F.col("_first")).alias("_shift"))
+    same = F.col("_part") == F.col("_piece")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    joined = dealt.join(pieces, same)
+    return joined.withColumn(out, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_piece", "_shift", *[f"_k{i}" for i in range(len(by))])
+
+
 def stratum_quota(df: DataFrame, strata: list[str], order: list, quota: int | DataFrame) -> DataFrame:
     """First rows of each stratum; ``quota`` is a number or a table of strata with a column ``quota``."""
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy(*order)))
@@ -22,30 +58,42 @@ def stratum_quota(df: DataFrame, strata: list[str], order: list, quota: int | Da
     return ranked.join(quota, strata).where("_rn <= quota").drop("_rn", "quota")
 
 
+def balanced(df: DataFrame, task: str, per_task: int, order: list, index: str) -> DataFrame:
+    """``per_task`` rows of each task by ``order``, back in the order of the source with their new ``place``."""
+    return stratum_quota(df, [task], order, per_task).orderBy(index)
+
+
 def class_cap_union(df: DataFrame, label: str, cap: int, rest: int, order: list) -> DataFrame:
     """``cap`` rows of each class, then ``rest`` of what is left overall."""
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
     return ranked.where(F.col("_rn") <= cap).unionByName(ranked.where(F.col("_rn") > cap).orderBy(*order).limit(rest)).drop("_rn")
 
 
-def round_robin(df: DataFrame, source: str, label: str, order: list, cap: Column | int) -> DataFrame:
-    """One row of each label in turn, up to ``cap`` rows a source, with the turn ``k``."""
-    inner = df.withColumn("_rn", F.row_number().over(Window.partitionBy(source, label).orderBy(*order)))
+def round_robin(df: DataFrame, source: str, label: str, order: list, cap: int) -> DataFrame:
+    """One row of each label in turn, up to ``cap`` rows a source, with the turn ``k``.
+
+    A label gives ``cap`` rows at most, which each task picks before rows are shuffled.
+    """
+    inner = df.withColumn("_rn", F.row_number().over(Window.partitionBy(source, label).orderBy(*order))).where(F.col("_rn") <= cap)
     outer = inner.withColumn("k", F.row_number().over(Window.partitionBy(source).orderBy("_rn", label)))
     return outer.where(F.col("k") <= cap).drop("_rn")
 
 
 def quota_with_fallback(df: DataFrame, modality: str, family: str, order: list, family_quota: int, totals: DataFrame) -> DataFrame:
-    """Family quotas first; a modality short of its total is filled by rank from what is left."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(modality, family).orderBy(*order)))
+    """Family quotas first; a modality short of its total is filled by rank from what is left.
+
+    No family gives more rows than the largest total, so that many of each are picked in each task first.
+    """
+    most = totals.agg(F.max("total")).first()[0] or 0
+    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(modality, family).orderBy(*order))).where(F.col("_rn") <= max(most, family_quota))
     first = ranked.withColumn("_pass", F.when(F.col("_rn") <= family_quota, 1).otherwise(2))
-    placed = first.withColumn("_k", F.row_number().over(Window.partitionBy(modality).orderBy("_pass", *order)))
-    return placed.join(F.broadcast(totals), modality).where("_k <= total").withColumnRenamed("_pass", "pass").drop("_rn", "_k", "total")
+    placed = first.withColumn("_k", F.row_number().over(Window.partitionBy(modality).orderBy("_pass", *order))).where(F.col("_k") <= most)
+    return placed.join(totals, modality).where("_k <= total").withColumnRenamed("_pass", "pass").drop("_rn", "_k", "total")
 
 
 def gold_slots(df: DataFrame, order: list, slots: int, by: list[str]) -> DataFrame:
     """Gold places dealt in turn by rank within ``by``, so each place is used equally often."""
-    return df.withColumn("slot", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) % slots)
+    return ranked(df, by, order, "slot").withColumn("slot", F.col("slot") % slots)
 
 
 def spread_index(n: Column, k: int) -> Column:
@@ -64,8 +112,8 @@ def sharded(df: DataFrame, n: int, *key: str) -> DataFrame:
 
 def packed(df: DataFrame, by: list[str], order: list, size: int = 64) -> DataFrame:
     """Pack and place in the pack of each row, by rank within ``by``."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn("pack", F.floor(rank / size).cast("long")).withColumn("place", (rank % size).cast("int"))
+    placed = ranked(df, by, order, "_rank")
+    return placed.withColumn("pack", F.floor(F.col("_rank") / size).cast("long")).withColumn("place", (F.col("_rank") % size).cast("int")).drop("_rank")
 
 
 def spread_blocks(df: DataFrame, index: str, n: int, blocks: int, size: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import bucket, digest, full_mod
@@ -23,7 +23,11 @@ def ladder(value: Column, steps: list[tuple[int, str]], last: str) -> Column:
     return out.otherwise(last)
 
 
-def hashed(*key: Column | str, full: bool = False, steps=((60, "train"), (70, "dev"), (85, "calibration")), last: str = "test") -> Column:
+# The bounds of buckets that splits begin at.
+LADDER = ((60, "train"), (70, "dev"), (85, "calibration"))
+
+
+def hashed(*key: Column | str, full: bool = False, steps=LADDER, last: str = "test") -> Column:
     """Buckets of 100 of the key's digest; ``full`` takes all 256 bits instead of the first 32."""
     d = digest(*key)
     return ladder(full_mod(d, 100) if full else bucket(d, 100), list(steps), last)
@@ -49,6 +53,21 @@ def move_rare(df: DataFrame, group: str, label: Column, into: str = "calibration
 
 
 def forced(df: DataFrame, family: str, into: str) -> DataFrame:
-    """Families of a single row go to one split."""
-    n = F.count("*").over(Window.partitionBy(family))
-    return df.withColumn("split", F.when(n == 1, into).otherwise(F.col("split")))
+    """Families of a single row go to one split; only names of such families are joined."""
+    single = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.count("*").alias("_n")).where("_n = 1")
+    return df.join(single, family, "left").withColumn("split", F.when(F.col("_n") == 1, into).otherwise(F.col("split"))).drop("_n")
+
+
+def publisher_split(source: Column, original: Column, group: Column, as_test: dict[str, str] | None = None) -> Column:
+    """The publisher's split, and rows held back from train by group.
+
+    ``validation`` and ``dev`` are dev; what begins with ``test`` or ``validation_`` is test. ``as_test`` names sources
+    without a test split, and the split of theirs that stands for it. Of the groups of train, buckets 95 to 99 of the
+    digest of source and group are calibration, 90 to 94 dev.
+    """
+    instead = F.lit(False)
+    for name, split in (as_test or {}).items():
+        instead = instead | ((source == name) & (original == split))
+    theirs = F.when(instead, "test").when(original.isin("validation", "dev"), "dev").when(original.startswith("test") | original.startswith("validation_"), "test")
+    held = bucket(F.sha2(F.concat(source, group.cast("string")), 256), 100)
+    return F.coalesce(theirs, F.when(held >= 95, "calibration").when(held >= 90, "dev").otherwise("train"))

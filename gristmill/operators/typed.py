@@ -85,3 +85,13 @@ def assets(media: Column) -> Column:
     single = F.array(F.struct(media["kind"].alias("kind"), media["path"].alias("path"), media["sha256"].alias("sha256"), F.lit(None).cast("string").alias("source_member")))
     empty = F.array().cast("array<struct<kind:string,path:string,sha256:string,source_member:string>>")
     return F.when(media.isNull(), empty).when(F.size(media["assets"]) > 0, media["assets"]).otherwise(single)
+
+
+def messages(system: str, state: Column, instructions: Column, options: Column, assets: Column | None = None) -> Column:
+    """A question as chat messages: a system turn, and a user turn of one mark for each asset, the state, the question
+    and its options coded A to Z, one a line."""
+    coded = F.array_join(F.transform(options, lambda o, i: F.concat_ws(". ", letter(i), F.coalesce(o["text"], o["key"]))), "\n")
+    marks = F.lit(None).cast("string") if assets is None else F.nullif(F.array_join(F.transform(assets, lambda a: F.concat(F.lit("<"), a["kind"], F.lit(">"))), "\n"), F.lit(""))
+    user = F.concat_ws("\n", marks, F.nullif(state, F.lit("")), instructions, coded)
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(turn("system", F.lit(system)), turn("user", user))

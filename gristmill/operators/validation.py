@@ -77,3 +77,60 @@ def single_match(c: Column, pattern: str, group: int = 0) -> Column:
     """The match of a pattern that occurs exactly once; else null."""
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
     return F.when(F.size(found) == 1, F.element_at(found, 1))
+
+
+def eligibility(kind: Column, options: Column, tokens: Column, modality: Column, assets: Column, present: Column, budget: int = 1400, most_options: int = 26, most_assets: int = 8) -> Column:
+    """Why a question cannot be used, else null: number of options, token budget, number, kind and presence of media,
+    options of a choice that are not two different ones. ``assets``: kinds of the media; ``present``: all files exist."""
+    n = F.coalesce(F.size(assets), F.lit(0))
+    texts = F.transform(options, lambda o: F.lower(F.trim(F.coalesce(o, F.lit("")))))
+    return first_reason([
+        (~F.coalesce(F.size(options).between(2, most_options), F.lit(False)), "candidate_count"),
+        (F.coalesce(tokens > budget, F.lit(True)), "text_token_budget"),
+        ((modality != "text") & ~n.between(1, most_assets), "unsupported_media_count"),
+        ((n > 0) & ~F.coalesce(present, F.lit(False)), "missing_media"),
+        ((n > 0) & F.exists(assets, lambda k: ~k.isin("image", "video")), "unsupported_media_kind"),
+        ((kind == "choice") & (F.size(F.array_distinct(texts)) < 2), "invalid_candidates"),
+    ])
+
+
+def media_reason(size: Column, width: Column, height: Column, seconds: Column, least: int = 32, most: int = 8192, most_bytes: int = 20_000_000) -> Column:
+    """Why a media record is invalid, else null: bytes, sides in pixels where they are known, and a duration of videos.
+
+    The measures come from a decoder; this is the rule on them."""
+    side = lambda c: c.isNotNull() & ~c.between(least, most)
+    return first_reason([(~F.coalesce(size.between(1, most_bytes), F.lit(False)), "bytes"), (side(width) | side(height), "dimensions"), (seconds.isNotNull() & ~(seconds > 0), "duration")])
+
+
+def media_kind(path: Column) -> Column:
+    """Image, video or audio by the extension; null for others."""
+    ext = F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))
+    return F.when(ext.isin("jpg", "jpeg", "png", "webp", "gif", "bmp"), "image").when(ext.isin("mp4", "mkv", "webm", "avi", "mov"), "video").when(ext.isin("wav", "mp3", "flac"), "audio")
+
+
+def selection_gate(df: DataFrame, split: str, family: str, key: str, least: dict[str, int], families: list[str]) -> DataFrame:
+    """One row: number of rows, and an order-free fingerprint of the selection; the job fails where a split is short of
+    its minimum or lacks a family."""
+    h = F.xxhash64(F.col(key).cast("string"))
+    row = df.agg(*[F.count_if(F.col(split) == s).alias(f"_{s}") for s in least], F.collect_set(family).alias("_families"), F.count("*").alias("n"), F.bit_xor(h).alias("fingerprint"))
+    ok = F.forall(F.array(*map(F.lit, families)), lambda f: F.array_contains("_families", f))
+    for s, n in least.items():
+        ok = ok & (F.col(f"_{s}") >= n)
+    return gate(row, "the selection is too small", ok).select("n", "fingerprint")
+
+
+def declared(catalog: DataFrame, licences: list[str], labels: DataFrame | None = None) -> DataFrame:
+    """Sources (``repo, licence, label_map``) whose declared licence is none of ``licences``, or whose label map is not
+    that of ``labels`` (``repo, label_map``); with the reason. Empty if all agree."""
+    known = catalog if labels is None else catalog.join(labels.withColumnRenamed("label_map", "_map"), "repo", "left")
+    rules = [(~F.coalesce(F.lower(F.trim("licence")).isin(*[x.lower() for x in licences]), F.lit(False)), "licence")]
+    if labels is not None:
+        rules.append((~F.col("label_map").eqNullSafe(F.col("_map")), "label_map"))
+    return known.withColumn("reason", first_reason(rules)).where("reason IS NOT NULL").select("repo", "reason")
+
+
+def visible(target: dict[str, Column], negatives: Column, width: Column, height: Column, share: float = 0.2) -> Column:
+    """Whether a target's centre lies in the screen and no negative (struct with w and h) covers more than ``share`` of it."""
+    x, y = target["l"] + target["w"] / 2, target["t"] + target["h"] / 2
+    large = F.exists(negatives, lambda n: n["w"] * n["h"] > F.lit(share) * width * height)
+    return F.coalesce((x >= 0) & (y >= 0) & (x <= width) & (y <= height) & ~large, F.lit(False))

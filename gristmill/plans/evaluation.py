@@ -62,11 +62,16 @@ def entropy_conf(spark, sf):
     return scored(spark, sf).select("o_orderkey", F.round(entropy_confidence(F.col("p")), 6).alias("confidence"))
 
 
-@query("metrics_grouping_sets", f"""WITH {_scored_sql()} SELECT o_orderstatus, o_orderpriority, GROUPING(o_orderstatus, o_orderpriority)::INT AS grouping_id, {_AGG} FROM s
-    GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority))""")
+_SIX = "(), (broad), (modality), (family), (family, modality), (source)"
+
+
+@query("metrics_grouping_sets", f"""WITH {_scored_sql()}, x AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'text' ELSE 'vision' END AS broad, o_orderstatus AS modality, o_orderpriority AS family, o_custkey % 7 AS source FROM s)
+    SELECT broad, modality, family, source::VARCHAR AS source, GROUPING(broad, modality, family, source)::INT AS grouping_id, {_AGG} FROM x GROUP BY GROUPING SETS ({_SIX})""")
 def metrics_grouping_sets(spark, sf):
-    sets = [[], ["o_orderstatus"], ["o_orderpriority"], ["o_orderstatus", "o_orderpriority"]]
-    return metrics.grouping_sets(scored(spark, sf), sets, metrics.base_metrics()).select("o_orderstatus", "o_orderpriority", "grouping_id", "n", "correct", "accuracy", "log_loss", "brier")
+    """Each row feeds six overlapping groups: all, text or vision, modality, family, both of these, and source."""
+    s = scored(spark, sf).select("*", F.when(F.col("o_orderstatus") == "F", "text").otherwise("vision").alias("broad"), F.col("o_orderstatus").alias("modality"), F.col("o_orderpriority").alias("family"), (F.col("o_custkey") % 7).cast("string").alias("source"))
+    sets = [[], ["broad"], ["modality"], ["family"], ["family", "modality"], ["source"]]
+    return metrics.grouping_sets(s, sets, metrics.base_metrics(), ["broad", "modality", "family", "source"])
 
 
 @query("macro_accuracy", f"""WITH {_scored_sql()}, g AS (SELECT o_orderstatus, o_orderpriority, avg(correct) AS m FROM s GROUP BY 1, 2) SELECT o_orderstatus, round(avg(m), 6) AS macro, count(*) AS groups FROM g GROUP BY 1""")
@@ -116,7 +121,7 @@ def latency_percentiles(spark, sf):
 @query("class_balance_median", """WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1) SELECT min(n) AS least, (list_sort(list(n)))[len(list(n)) // 2 + 1] AS median, max(n) AS most, count(*) AS classes FROM c""")
 def class_balance_median(spark, sf):
     c = table(spark, sf, "part").groupBy("p_type").agg(F.count("*").alias("n"))
-    return c.agg(F.min("n").alias("least"), metrics.upper_median(F.col("n")).alias("median"), F.max("n").alias("most"), F.count("*").alias("classes"))
+    return c.agg(F.min("n").alias("least"), metrics.upper_median("n").alias("median"), F.max("n").alias("most"), F.count("*").alias("classes"))
 
 
 _GRID = "list_transform(range(161), lambda i: 0.25 * pow(pow(16.0, 1.0 / 160), i))"
@@ -286,14 +291,17 @@ def hamming_near_dup_pairs(spark, sf):
 @query("near_dup_components", f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p), r(node, low) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.node WHERE r.low < e.y)
     SELECT node, min(low) AS component FROM r GROUP BY node""")
 def near_dup_components(spark, sf):
-    return neardup.components(neardup.hamming_pairs(_codes(spark, sf), "vec_id", "code", 20, 2))
+    return neardup.components(_codes(spark, sf), "vec_id", "code", 20, 2)
 
 
 @query("label_similarity_argmax", """WITH q AS (SELECT label AS k, list_transform(range(1, 65), lambda i: 1) AS one, min_by(embedding, vec_id) AS e FROM embeddings GROUP BY label), s AS (SELECT vec_id, k, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * e[i])), 5) AS score FROM embeddings, q)
     SELECT vec_id, arg_min(k, struct_pack(a := -score, b := k)) AS best FROM s GROUP BY vec_id""")
 def label_similarity_argmax(spark, sf):
     e = table(spark, sf, "embeddings")
-    anchors = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("anchor")).agg(F.collect_list(F.struct("label", "anchor")).alias("anchors"))  # one vector a label
+    each = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("anchor"))
+    if each.count() > 4096:
+        raise ValueError("labels are compared with every row, so there may be 4,096 at most")
+    anchors = each.agg(F.collect_list(F.struct("label", "anchor")).alias("anchors"))  # one vector a label
     scored_ = F.transform("anchors", lambda s: F.struct((-F.round(dot(F.col("embedding"), s["anchor"]), 5)).alias("score"), s["label"].alias("label")))
     return e.crossJoin(F.broadcast(anchors)).select("vec_id", F.array_min(scored_)["label"].alias("best"))
 

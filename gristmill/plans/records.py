@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions import texts
+from gristmill.operators import leakage, review, sampling, splits, typed, validation
 from gristmill.sources import converters as C
 from gristmill.sources.scans import table
 
+from .evaluation import _scored_sql, scored
 from .queries import _LADDER, priorities, query
 
 _LEVELS = "['lowest', 'low', 'middle', 'high', 'highest']"
@@ -169,8 +172,181 @@ def convert_message_queues(spark, sf):
 
 @query("option_priorities_reason", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'too_few_options' WHEN o_orderkey % 5 = 1 THEN 'duplicate_option' WHEN o_orderkey % 5 = 2 THEN 'blank_option' END AS reason FROM orders")
 def option_priorities_reason(spark, sf):
-    from gristmill.operators.validation import options_reason
-
     kind = F.col("o_orderkey") % 5
     options = F.when(kind == 0, F.slice(priorities(), 1, 1)).when(kind == 1, F.concat(priorities(), F.array(F.lit(" 1-urgent ")))).when(kind == 2, F.concat(priorities(), F.array(F.lit(" ")))).otherwise(priorities())
-    return table(spark, sf, "orders").select("o_orderkey", options_reason(options).alias("reason"))
+    return table(spark, sf, "orders").select("o_orderkey", validation.options_reason(options).alias("reason"))
+
+
+# Rules on records, labels and selections.
+
+_NAMES = "['train', 'validation', 'dev', 'test_main', 'validation_extra']"
+
+
+@query("publisher_split", f"""WITH o AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'books' WHEN 1 THEN 'chats' WHEN 2 THEN 'forms' ELSE 'mails' END AS source, {_NAMES}[1 + CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 3 % 5 ELSE 0 END] AS original, o_custkey AS g FROM orders),
+    b AS (SELECT *, ('0x' || substr(sha256(source || g), 1, 8))::BIGINT % 100 AS b FROM o)
+    SELECT o_orderkey, CASE WHEN source IN ('books', 'forms') AND original = 'validation' THEN 'test' WHEN original IN ('validation', 'dev') THEN 'dev' WHEN original LIKE 'test%' OR original LIKE 'validation!_%' ESCAPE '!' THEN 'test' WHEN b >= 95 THEN 'calibration' WHEN b >= 90 THEN 'dev' ELSE 'train' END AS split FROM b""")
+def publisher_split(spark, sf):
+    names = F.array(*[F.lit(x) for x in ("train", "validation", "dev", "test_main", "validation_extra")])
+    source = F.get(F.array(*[F.lit(x) for x in ("books", "chats", "forms", "mails")]), (F.col("o_orderkey") % 4).cast("int"))
+    original = F.get(names, F.when(F.col("o_orderkey") % 3 == 0, F.floor(F.col("o_orderkey") / 3) % 5).otherwise(0).cast("int"))
+    o = table(spark, sf, "orders").select("o_orderkey", source.alias("s"), original.alias("o"), F.col("o_custkey").alias("g"))
+    return o.select("o_orderkey", splits.publisher_split(F.col("s"), F.col("o"), F.col("g"), {"books": "validation", "forms": "validation"}).alias("split"))
+
+
+@query("eligibility", """WITH o AS (SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN [p_name] WHEN p_size % 10 = 1 THEN [p_name, upper(p_name) || ' '] ELSE [p_name, p_type, p_brand] END AS v, len(string_split(p_name, ' ')) * 300 AS tokens, p_partkey % 11 AS n, p_partkey % 12 <> 5 AS there, p_partkey % 13 = 0 AS sound FROM part)
+    SELECT p_partkey, CASE WHEN len(v) < 2 THEN 'candidate_count' WHEN tokens > 600 THEN 'text_token_budget' WHEN p_partkey % 3 <> 0 AND n NOT BETWEEN 1 AND 8 THEN 'unsupported_media_count' WHEN n > 0 AND NOT there THEN 'missing_media' WHEN n > 0 AND sound THEN 'unsupported_media_kind' WHEN len(list_distinct(list_transform(v, lambda x: lower(trim(x))))) < 2 THEN 'invalid_candidates' END AS reason FROM o""")
+def eligibility(spark, sf):
+    options = F.when(F.col("p_size") % 10 == 0, F.array("p_name")).when(F.col("p_size") % 10 == 1, F.array("p_name", F.concat(F.upper("p_name"), F.lit(" ")))).otherwise(F.array("p_name", "p_type", "p_brand"))
+    assets = F.array_repeat(F.when(F.col("p_partkey") % 13 == 0, "sound").otherwise("image"), (F.col("p_partkey") % 11).cast("int"))
+    kind, modality = F.lit("choice"), F.when(F.col("p_partkey") % 3 == 0, "text").otherwise("image")
+    why = validation.eligibility(kind, options, F.size(F.split("p_name", " ")) * 300, modality, assets, F.col("p_partkey") % 12 != 5, budget=600)
+    return table(spark, sf, "part").select("p_partkey", why.alias("reason"))
+
+
+@query("media_rules", """SELECT l_returnflag, CASE WHEN b NOT BETWEEN 1 AND 20000000 THEN 'bytes' WHEN w NOT BETWEEN 32 AND 8192 THEN 'dimensions' WHEN s <= 0 THEN 'duration' ELSE 'ok' END AS reason, count(*) AS n FROM (SELECT l_returnflag, (l_extendedprice * 250)::BIGINT AS b, l_partkey * 7 AS w, CASE WHEN l_linenumber > 2 THEN l_linenumber - 3 END AS s FROM lineitem) GROUP BY 1, 2""")
+def media_rules(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_returnflag", F.round(F.col("l_extendedprice") * 250).cast("long").alias("b"), (F.col("l_partkey") * 7).alias("w"), F.when(F.col("l_linenumber") > 2, F.col("l_linenumber") - 3).alias("s"))
+    why = validation.media_reason(F.col("b"), F.col("w"), F.lit(480), F.col("s"))
+    return l.groupBy("l_returnflag", F.coalesce(why, F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("path_rules", """WITH p AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '/abs/' WHEN 1 THEN '../up/' WHEN 2 THEN 'c:\\' WHEN 3 THEN 'a/../b/' ELSE 'data/' END || o_orderkey || ['.JPG', '.mp4', '.wav', '.txt'][1 + o_orderkey % 4] AS path FROM orders)
+    SELECT o_orderkey, o_orderkey % 6 > 3 AS safe, CASE o_orderkey % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' END AS kind FROM p""")
+def path_rules(spark, sf):
+    at = (F.col("o_orderkey") % 6).cast("int")
+    head = F.coalesce(F.get(F.array(*[F.lit(x) for x in ("/abs/", "../up/", "c:\\", "a/../b/")]), at), F.lit("data/"))
+    tail = F.get(F.array(*[F.lit(x) for x in (".JPG", ".mp4", ".wav", ".txt")]), (F.col("o_orderkey") % 4).cast("int"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.concat(head, F.col("o_orderkey").cast("string"), tail).alias("path"))
+    return o.select("o_orderkey", validation.safe_path(F.col("path")).alias("safe"), validation.media_kind(F.col("path")).alias("kind"))
+
+
+@query("probability_rules", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'wrong_size' WHEN 1 THEN 'out_of_range' WHEN 2 THEN 'sum_not_one' END AS reason, CASE o_orderkey % 5 WHEN 0 THEN 'missing_key' WHEN 1 THEN 'not_finite' WHEN 2 THEN 'extra_key' WHEN 3 THEN 'missing' END AS problem FROM orders""")
+def probability_rules(spark, sf):
+    m = F.col("o_orderkey") % 5
+    p = F.when(m == 0, F.array(F.lit(1.0))).when(m == 1, F.array(F.lit(1.5), F.lit(-0.5))).when(m == 2, F.array(F.lit(0.5), F.lit(0.4))).otherwise(F.array(F.lit(0.25), F.lit(0.75)))
+    a, b, c = (F.lit(x) for x in "ABC")
+    scores = F.when(m == 0, F.create_map(a, F.lit(1.0))).when(m == 1, F.create_map(a, F.lit(1.0), b, F.lit(float("nan")))).when(m == 2, F.create_map(a, F.lit(1.0), b, F.lit(1.0), c, F.lit(1.0))).when(m == 4, F.create_map(b, F.lit(1.0), a, F.lit(2.0)))
+    return table(spark, sf, "orders").select("o_orderkey", validation.probabilities_reason(p, F.lit(2)).alias("reason"), validation.prediction_problems(F.array(a, b), scores).alias("problem"))
+
+
+@query("display_labels", r"""WITH l AS (SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'YoYo' WHEN 1 THEN 'TaiChi' ELSE 'Make' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || c_nationkey || 'Shot' END AS label FROM customer)
+    SELECT c_custkey, CASE label WHEN 'YoYo' THEN 'Yo-Yo' WHEN 'TaiChi' THEN 'Tai Chi' ELSE regexp_replace(label, '([a-z0-9])([A-Z])', '\1 \2', 'g') END AS name FROM l""")
+def display_labels(spark, sf):
+    label = F.when(F.col("c_custkey") % 9 == 0, "YoYo").when(F.col("c_custkey") % 9 == 1, "TaiChi").otherwise(F.concat(F.lit("Make"), F.upper(F.substring("c_mktsegment", 1, 1)), F.lower(F.substring("c_mktsegment", 2, 99)), F.col("c_nationkey").cast("string"), F.lit("Shot")))
+    return table(spark, sf, "customer").select("c_custkey", texts.display_label(label).alias("name"))
+
+
+def _jaccard(a: str, b: str) -> str:
+    words = [f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9_]+'))" for x in (a, b)]
+    return f"len(list_intersect({words[0]}, {words[1]}))::DOUBLE / greatest(1, len(list_distinct(list_concat({words[0]}, {words[1]}))))"
+
+
+@query("option_likeness", f"""WITH o AS (SELECT o_orderkey, o_orderpriority AS a, o_orderpriority || ' of ' || o_orderstatus AS b, 'of ' || o_custkey || ' ' || o_orderstatus AS c FROM orders)
+    SELECT o_orderkey, round(greatest({_jaccard('a', 'b')}, {_jaccard('a', 'c')}, {_jaccard('b', 'c')}) + 0.03, 9) AS likeness FROM o""")
+def option_likeness(spark, sf):
+    options = F.array("o_orderpriority", F.concat_ws(" ", "o_orderpriority", F.lit("of"), "o_orderstatus"), F.concat_ws(" ", F.lit("of"), "o_custkey", "o_orderstatus"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(texts.likeness(options), 9).alias("likeness"))
+
+
+@query("common_prefixes", """WITH t AS (SELECT conv_id, list(string_split(text, ' ') ORDER BY turn, role) AS a FROM conversations GROUP BY 1), m AS (SELECT *, list_min(list_transform(a, lambda x: len(x))) AS least FROM t)
+    SELECT conv_id, coalesce(list_min(list_filter(range(least), lambda i: len(list_distinct(list_transform(a, lambda x: x[i + 1]))) > 1)), least)::INT AS shared FROM m""")
+def common_prefixes(spark, sf):
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.split("text", " ", -1)).alias("a"))
+    return c.select("conv_id", texts.common_prefix(F.col("a")).alias("shared"))
+
+
+@query("most_common_sources", "SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source LIMIT 5")
+def most_common_sources(spark, sf):
+    return sampling.most_common(table(spark, sf, "documents"), "source", 5)
+
+
+@query("replay_mix", """WITH b AS (SELECT doc_id, lang FROM documents WHERE lang = 'en'), n AS (SELECT floor(0.5 * count(*))::BIGINT AS n FROM b),
+    p AS (SELECT doc_id, lang, row_number() OVER (ORDER BY sha256('replay:3:' || doc_id), doc_id) AS r FROM documents WHERE lang <> 'en'), a AS (SELECT doc_id, lang FROM b UNION ALL SELECT doc_id, lang FROM p, n WHERE r <= n)
+    SELECT doc_id, lang, sha256('epoch:3:' || doc_id) AS turn FROM a""")
+def replay_mix(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    return sampling.replay(d.where("lang = 'en'"), d.where("lang <> 'en'"), 0.5, 3, "doc_id")
+
+
+@query("united_sources", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def united_sources(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    parts = [o.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")]
+    return leakage.united(parts, "o_orderkey").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("ordered_labels", """WITH p AS (SELECT conv_id, list_transform(list(text ORDER BY turn, role), lambda t: trim(lower(string_split(t, ' ')[1]))) AS v FROM conversations GROUP BY 1), f AS (SELECT conv_id, list_filter(v, lambda x: x <> '') AS v FROM p)
+    SELECT conv_id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i)[1:255], ',') AS labels FROM f""")
+def ordered_labels(spark, sf):
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return c.select("conv_id", F.array_join(review.answer_labels(F.transform("m", lambda m: F.lower(F.get(F.split(m["text"], " "), F.lit(0))))), ",").alias("labels"))
+
+
+@query("selection_size", "SELECT count(*) AS n FROM documents JOIN labels USING (doc_id)")
+def selection_size(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", splits.hashed("doc_id", steps=((80, "train"),), last="dev").alias("split")).join(table(spark, sf, "labels").select("doc_id"), "doc_id")
+    return validation.selection_gate(d, "split", "lang", "doc_id", {"train": 20, "dev": 5}, ["en"]).select("n")
+
+
+@query("declared_licences", """SELECT p_brand || '/' || p_size AS repo, CASE WHEN p_size % 3 = 0 THEN 'licence' ELSE 'label_map' END AS reason FROM part GROUP BY p_brand, p_size HAVING p_size % 3 = 0 OR p_size % 5 = 1""")
+def declared_licences(spark, sf):
+    p = table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("repo"), "p_size").distinct()
+    catalog = p.select("repo", F.when(F.col("p_size") % 3 == 0, "unknown").otherwise(" CC0-1.0").alias("licence"), F.when(F.col("p_size") % 5 == 1, "a,c").otherwise("a,b").alias("label_map"))
+    return validation.declared(catalog, ["cc0-1.0", "mit"], p.select("repo", F.lit("a,b").alias("label_map")))
+
+
+@query("message_prompts", """SELECT o_orderkey, 'Answer by letter.' || '|' || o_orderstatus || chr(10) || 'Which?' || chr(10) || 'A. 1-URGENT' || chr(10) || 'B. 2-HIGH' || chr(10) || 'C. 3-MEDIUM' || chr(10) || 'D. 4-NOT SPECIFIED' || chr(10) || 'E. 5-LOW' AS said FROM orders""")
+def message_prompts(spark, sf):
+    options, _ = typed.choice(priorities(), F.lit("5-LOW"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", options.alias("o"))
+    said = typed.messages("Answer by letter.", F.col("o_orderstatus"), F.lit("Which?"), F.col("o"))
+    return o.select("o_orderkey", F.array_join(F.transform(said, lambda m: m["content"]), "|").alias("said"))
+
+
+@query("balanced_tasks", """WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY sha256(event_id::VARCHAR)) AS rn FROM events) SELECT event_id, event_type FROM r WHERE rn <= 100""")
+def balanced_tasks(spark, sf):
+    from gristmill.functions.hashing import digest
+
+    return sampling.balanced(table(spark, sf, "events").select("event_id", "event_type"), "event_type", 100, [digest("event_id")], "event_id")
+
+
+@query("visible_targets", """WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity * 30 AS x, 10 + l_discount * 1000 AS w, 10 + l_tax * 1000 AS h FROM lineitem), g AS (SELECT l_orderkey, min(struct_pack(n := l_linenumber, x := x, w := w, h := h)) AS t, max(w * h) AS most FROM l GROUP BY 1)
+    SELECT l_orderkey, t.x + t.w / 2 <= 1200 AND t.h / 2 <= 600 AND most <= 0.01 * 1200 * 600 AS seen FROM g""")
+def visible_targets(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), (F.col("l_quantity") * 30).alias("x"), (10 + F.col("l_discount") * 1000).alias("w"), (10 + F.col("l_tax") * 1000).alias("h")).alias("b"))
+    g = l.groupBy("l_orderkey").agg(F.min("b").alias("t"), F.collect_list("b").alias("all"))
+    box = {"l": F.col("t.x"), "t": F.lit(0.0), "w": F.col("t.w"), "h": F.col("t.h")}
+    return g.select("l_orderkey", validation.visible(box, F.col("all"), F.lit(1200), F.lit(600), 0.01).alias("seen"))
+
+
+@query("weight_problems", """SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'missing' WHEN vec_id % 11 = 0 THEN 'not_finite' WHEN vec_id % 13 = 0 THEN 'other_size' END AS reason FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0""")
+def weight_problems(spark, sf):
+    e = table(spark, sf, "embeddings")
+    values = F.when(F.col("vec_id") % 11 == 0, F.array(F.lit(float("nan")))).otherwise(F.col("embedding").cast("array<double>"))
+    reported = e.select("vec_id", F.when(F.col("vec_id") % 11 == 0, 1).when(F.col("vec_id") % 13 == 0, 3).otherwise(F.size("embedding")).alias("size"))
+    return review.weight_problems(e.where("vec_id % 7 <> 0").select("vec_id", values.alias("v")), "vec_id", "v", reported)
+
+
+@query("view_head_counts", f"""WITH {_scored_sql()}, v AS (SELECT o_orderkey % 3 AS view, 'one' AS head, correct FROM s UNION ALL SELECT o_orderkey % 3, 'zero', CASE WHEN target = 0 THEN 1 ELSE 0 END FROM s)
+    SELECT view, head, count(*) AS n, sum(correct)::BIGINT AS correct, round(avg(correct), 6) AS accuracy FROM v GROUP BY 1, 2""")
+def view_head_counts(spark, sf):
+    s = scored(spark, sf)
+    view = (F.col("o_orderkey") % 3).alias("view")
+    heads = s.select(view, F.lit("one").alias("head"), "correct").unionByName(s.select(view, F.lit("zero").alias("head"), (F.col("target") == 0).cast("int").alias("correct")))
+    return review.view_counts(heads, "view", "head", "correct")
+
+
+@query("stream_suite_diagnostics", f"""WITH {_scored_sql()}, x AS (SELECT *, o_orderkey % 2 AS stream, o_custkey % 3 AS suite FROM s), b AS (SELECT stream, suite, least(9, floor(confidence * 10)) AS bin, count(*) AS n, avg(confidence) AS c, avg(correct) AS a FROM x GROUP BY 1, 2, 3), i AS (SELECT stream, suite, round(sum(n * abs(a - c)) / sum(n), 6) AS ece FROM b GROUP BY 1, 2)
+    SELECT stream, suite, count(*) AS n, sum(correct)::BIGINT AS correct, round(avg(correct), 6) AS accuracy, round(avg(loss), 6) AS log_loss, round(avg(brier), 6) AS brier, any_value(ece) AS ece FROM x JOIN i USING (stream, suite) GROUP BY 1, 2""")
+def stream_suite_diagnostics(spark, sf):
+    from gristmill.operators import metrics
+
+    s = scored(spark, sf).select("*", (F.col("o_orderkey") % 2).alias("stream"), (F.col("o_custkey") % 3).alias("suite"))
+    return s.groupBy("stream", "suite").agg(*metrics.base_metrics()).join(metrics.ece(s, ["stream", "suite"]), ["stream", "suite"])
+
+
+@query("source_probe", """SELECT unnest(['doc_id', 'quality', 'toxic']) AS "column", count(*) AS n, unnest([count(*) - count(doc_id), count(*) - count(quality), count(*) - count(toxic)]) AS nulls FROM labels""")
+def source_probe(spark, sf):
+    from gristmill.sources.scans import probe
+
+    return probe(table(spark, sf, "labels").select("doc_id", "quality", "toxic")).select("column", "n", "nulls")

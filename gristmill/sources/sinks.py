@@ -12,6 +12,63 @@ def write_splits(df: DataFrame, path: str, split: str = "split", order: list[str
     sorted_.write.partitionBy(split).format(fmt).mode(mode).save(path)
 
 
+def write_sorted_jsonl(df: DataFrame, path: str, split: str = "split", order: list[str] | None = None) -> None:
+    """One folder per split with JSON lines whose top-level keys are sorted, in the order of ``order`` within and across files."""
+    names = sorted(c for c in df.columns if c != split)
+    line = F.to_json(F.struct(*[F.col(c) for c in names]), {"ignoreNullFields": "false"})
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in [split, *(order or [])]]
+    rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(split, line.alias("value"))
+    rows.write.partitionBy(split).mode("errorifexists").text(path)
+
+
+def write_lock(catalog: DataFrame, path: str) -> str:
+    """The lock file of a catalog of sources (``repo, revision`` and more): one sorted JSON line a source; its digest.
+
+    A catalog is small: it has a row for each source.
+    """
+    lines = catalog.select("repo", F.to_json(F.struct(*sorted(catalog.columns))).alias("value")).orderBy("repo", "value")
+    lines.select("value").coalesce(1).write.mode("errorifexists").text(path)
+    return lock_digest(catalog.sparkSession, path)
+
+
+def lock_digest(spark: SparkSession, path: str) -> str:
+    lines = spark.read.text(path).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("value")), "\n"), 256).alias("d"))
+    return lines.first()["d"]
+
+
+def packaged(spark: SparkSession, path: str) -> DataFrame:
+    """``file, path, bytes, sha256`` of every file below a folder, each read once by a task; ``file`` is the path in it."""
+    files, root = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), path.rstrip("/").rsplit(":", 1)[-1] + "/"
+    below = F.col("path").substr(F.instr("path", root) + len(root), F.length("path"))
+    return files.select(below.alias("file"), "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def readback(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """Files of a release that are missing, new or differ from what ``packaged`` said before; empty if all agree."""
+    now = packaged(spark, path).select("file", F.col("sha256").alias("now"))
+    both = expected.select("file", F.col("sha256").alias("was")).join(now, "file", "full_outer")
+    return both.where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+def rewrite_keys(spark: SparkSession, path: str, by: str, changed: DataFrame, key: str, column: str) -> int:
+    """Replaces ``column`` by that of ``changed`` (``key, column``) in the partitions of ``by`` that hold such rows; how many.
+
+    Only those partitions are written again, each at once, from a copy that is stored first.
+    """
+    from gristmill.lineage import stored
+
+    rows = spark.read.parquet(path)
+    new = changed.select(key, F.col(column).alias("_new"), F.lit(True).alias("_there"))
+    marked = rows.join(new, key, "left")
+    touched = marked.where("_there").select(by).distinct()
+    n = marked.where("_there").count()
+    if n:
+        done = marked.withColumn(column, F.when(F.col("_there"), F.col("_new")).otherwise(F.col(column))).drop("_new", "_there")
+        overwrite_partitions(stored(done.join(touched, by, "left_semi").select(*rows.columns)), path, by)
+    return n
+
+
 def split_digests(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Order-free digest of each split's rows that never gathers them: counts, sums and xors of row hashes."""
     h = F.xxhash64(*columns)
@@ -54,12 +111,17 @@ def write_once(df: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def append_missing(df: DataFrame, path: str, key: str, size: int = 64) -> int:
+def append_missing(df: DataFrame, path: str, key: str, size: int = 64, lock: str | None = None) -> int:
     """Appends rows whose key is not there yet, ``size`` rows a file at most; the number of rows appended.
 
-    Running it again after a failure goes on where it stopped.
+    Running it again after a failure goes on where it stopped. With ``lock``, a digest of what the rows were made from
+    (see ``write_lock``), rows made from anything else are an error: it is kept beside ``path``.
     """
     spark = df.sparkSession
+    if lock is not None:
+        held = write_once(spark.createDataFrame([(lock,)], "lock string"), path.rstrip("/") + ".lock")
+        if held.first()["lock"] != lock:
+            raise ValueError(f"{path} was made from other sources")
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     todo = df
     if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):

@@ -143,3 +143,69 @@ def test_gate_stops(spark):
     assert validation.gate(df, "no", F.lit(True)).count() == 1
     with pytest.raises(Exception, match="nope"):
         validation.gate(df, "nope", F.col("id") > 5).collect()
+
+
+def test_interleave_equals_a_literal_merge(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice("st"), rnd.randrange(8), f"{rnd.randrange(10**6):06d}") for i in range(90)]
+    for take in (7, 25, 100):
+        got = {}
+        for r in sampling.interleave(spark.createDataFrame(rows, "id int, s string, hard int, h string"), "s", "id", "hard", "h", take).collect():
+            got.setdefault(r["s"], {})[r["turn"]] = r["id"]
+        for s in "st":
+            own = [r for r in rows if r[1] == s]
+            hard, diverse = sorted(own, key=lambda r: (-r[2], r[0])), sorted(own, key=lambda r: (r[3], r[0]))
+            out, at = [], [0, 0]
+            while len(out) < min(take, len(own)):
+                queue, k = ((hard, 0), (diverse, 1))[len(out) % 2]
+                while queue[at[k]][0] in out:
+                    at[k] += 1
+                out.append(queue[at[k]][0])
+            assert [got[s][i] for i in range(len(out))] == out and len(got[s]) == len(out)
+
+
+def test_ranks_of_a_hot_key(spark):
+    rows = [(i, "hot" if i % 4 else f"k{i % 5}", (i * 7919) % 1009) for i in range(1000)] + [(2000, None, 3), (2001, None, 1)]
+    for partitions in (1, 13):
+        got = {r["id"]: r["rank"] for r in sampling.ranked(spark.createDataFrame(rows, "id int, k string, o int"), ["k"], ["o"], "rank", partitions).collect()}
+        assert len(got) == len(rows)
+        for key in {k for _, k, _ in rows}:
+            assert [got[i] for i, k, o in sorted((r for r in rows if r[1] == key), key=lambda r: r[2])] == list(range(sum(k == key for _, k, _ in rows)))
+
+
+def test_distractors_reach_beyond_the_first_bucket(spark):
+    # All but three of 400 texts are of the rows' own group, so most buckets have none that fits.
+    from gristmill.operators.distractors import from_other_groups
+
+    rows = [(i, "big", f"t{i}") for i in range(397)] + [(900, "x", "a"), (901, "y", "b"), (902, "x", "c"), (903, "x", "t5"), (904, "big", None)]
+    got = {}
+    for r in from_other_groups(spark.createDataFrame(rows, "id int, g string, t string"), "id", "g", "t", 3).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["t"]
+    assert all(sorted(got[i]) == [1, 2, 3] and set(got[i].values()) <= {"a", "b", "c", "t5"} - {f"t{i}"} for i in range(397)) and set(got[5].values()) == {"a", "b", "c"}
+    assert all(len(set(got[i].values())) == 3 for i in got) and "a" not in got[900].values() and len(got[904]) == 3
+
+
+def test_bootstrap_is_that_of_a_literal_loop(spark):
+    rnd = random.Random(4)
+    rows = [(i, i % 60, rnd.randrange(2), int(rnd.random() < 0.6)) for i in range(400)]
+    wide = spark.createDataFrame(rows, "id int, c int, a int, b int")
+    for cluster, at in (("id", 0), ("c", 1)):
+        groups = {}
+        for r in rows:
+            groups.setdefault(r[at], []).append(r[3] - r[2])
+        names, means = list(groups), []
+        for _ in range(2000):
+            drawn = [x for n in rnd.choices(names, k=len(names)) for x in groups[n]]
+            means.append(sum(drawn) / len(drawn))
+        means.sort()
+        got = metrics.order_interval(metrics.cluster_bootstrap(wide, cluster)).first()
+        assert got["resamples"] == 2000 and got["low"] == pytest.approx(means[50], abs=0.012) and got["high"] == pytest.approx(means[1949], abs=0.012)
+
+
+def test_texts(spark):
+    from gristmill.functions import texts
+
+    df = spark.createDataFrame([("PlayingGuitar2Solo", '{"b": [1, {"z": 1, "a": "é"}], "a": null}'), ("YoYo", '"plain"'), (None, None)], "l string, j string")
+    assert [tuple(r) for r in df.select(texts.display_label(F.col("l")), texts.canonical_text(F.col("j"))).collect()] == [("Playing Guitar2 Solo", '{"a": null, "b": [1, {"a": "é", "z": 1}]}'), ("Yo-Yo", "plain"), (None, None)]
+    a = spark.sql("SELECT array(array(1, 2, 3), array(1, 2, 4), array(1, 2)) AS x, array(array(1), array(2)) AS y, cast(array() AS array<array<int>>) AS z, array('a b', 'b c', NULL) AS o")
+    assert tuple(a.select(*[texts.common_prefix(F.col(c)) for c in "xyz"], F.round(texts.likeness(F.col("o")), 6), F.round(texts.softcap(F.lit(100.0), 30.0), 4)).first()) == (2, 0, 0, 0.363333, 29.9237)

@@ -142,3 +142,47 @@ def test_incremental_stream_resumes_and_dedupes(spark, tmp_path):
     incremental.append_available(incremental.read_new(spark, src + "/*", schema), out, state, "id")
     incremental.append_available(incremental.read_new(spark, src + "/*", schema), out, state, "id")
     assert first == 2 and sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_release_and_locks(spark, tmp_path):
+    df = spark.createDataFrame([(i, "train" if i % 3 else "dev", f"t{i}") for i in range(60)], "id int, split string, b string").withColumn("a", F.lit(None).cast("string"))
+    sinks.write_sorted_jsonl(df, str(tmp_path / "j"), order=["id"])
+    lines = [line for p in sorted((tmp_path / "j" / "split=train").glob("part-*")) for line in p.read_text().splitlines()]
+    assert [json.loads(x)["id"] for x in lines] == [i for i in range(60) if i % 3] and lines[0] == '{"a":null,"b":"t1","id":1}'
+    catalog = spark.createDataFrame([("r2", "v1"), ("r1", "v9")], "repo string, revision string")
+    lock = sinks.write_lock(catalog, str(tmp_path / "lock"))
+    assert lock == sinks.lock_digest(spark, str(tmp_path / "lock"))
+    assert sinks.append_missing(df, str(tmp_path / "p"), "id", lock=lock) == 60 and sinks.append_missing(df, str(tmp_path / "p"), "id", lock=lock) == 0
+    with pytest.raises(ValueError, match="another result"):
+        sinks.append_missing(df, str(tmp_path / "p"), "id", lock="other")
+    before = sinks.packaged(spark, str(tmp_path / "j")).select("file", "sha256").collect()
+    said = spark.createDataFrame(before, "file string, sha256 string")
+    assert sinks.readback(spark, str(tmp_path / "j"), said).count() == 0
+    for p in (tmp_path / "j" / "split=dev").glob("part-*"):
+        p.write_text("changed")
+        p.with_name(f".{p.name}.crc").unlink(missing_ok=True)
+    assert {r["file"].split("/")[0][:5] for r in sinks.readback(spark, str(tmp_path / "j"), said).collect()} == {"split"}
+    sinks.write_splits(df.select("id", "split", "b"), str(tmp_path / "k"), order=["id"])
+    changed = spark.createDataFrame([(3, "new"), (999, "no")], "id int, b string")
+    assert sinks.rewrite_keys(spark, str(tmp_path / "k"), "split", changed, "id", "b") == 1
+    back = {r["id"]: r["b"] for r in spark.read.parquet(str(tmp_path / "k")).collect()}
+    assert len(back) == 60 and back[3] == "new" and back[4] == "t4"
+
+
+def test_lines_and_builders(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": "é"}\n')
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\nnope\n')
+    spark.dataSource.register(scans.LineSource)
+    read = lambda *paths: spark.read.format("http_lines").options(locations="\n".join(map(str, paths))).load()
+    assert sorted((r["line_no"], json.loads(r["line"])["a"]) for r in read(tmp_path / "a.jsonl").collect()) == [(0, 1), (2, "é")]
+    with pytest.raises(Exception, match="Expecting value"):
+        read(tmp_path / "bad.jsonl").collect()
+    made = []
+
+    @scans.builder("tens")
+    def tens(session, sf_dir):
+        made.append(sf_dir)
+        return session.range(10)
+
+    assert [scans.built(spark, "tens", "sf", str(tmp_path / "cache")).count() for _ in range(2)] == [10, 10] and made == ["sf"]
+    assert {(r["column"], r["n"], r["nulls"]) for r in scans.probe(spark.sql("SELECT explode(array(1, NULL)) AS a, 'x' AS `b.c`")).collect()} == {("a", 2, 1), ("b.c", 2, 0)}
