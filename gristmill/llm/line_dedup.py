@@ -158,7 +158,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     first (``unpack``).
 
     Defined cases: null or empty text is one empty line; rows that repeat an id count as one document and
-    each is cut; null ids are one document, smaller than all others; an empty table gives no rows.
+    each is cut; null ids are one document, smaller than all others; texts of any length and number of lines count
+    whole; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     lines = stable(rows.mapInArrow(_lines(min_chars), "hash binary, doc_id long, mark long, total int, places binary"))

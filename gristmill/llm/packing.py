@@ -336,8 +336,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
 
     Each document's ids end with ``end_id``; only longer ones are cut, into pieces of ``capacity``.
 
-    Defined cases: a null or empty text is the end id alone; repeated rows are packed each; an empty table
-    gives no rows; other columns are ignored; texts of any length are cut whole.
+    Defined cases: a null or empty text is the end id alone; rows that repeat are packed each; pieces of equal length
+    are exchangeable, and which of them gets which place is fixed by their order in the tasks; an empty table gives no
+    rows; other columns are ignored; texts of any length are cut whole.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = stable(slim.mapInArrow(_pieces(path, capacity, end_id), "doc_id long, piece int, start long, length int, ids_crc32 long, part int, rank long"))

@@ -109,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, c
     """Fits on at most ``per_class`` labelled documents of each class that are not held out.
 
     Which ones is fixed by a hash of the id. Ids with labels of both classes are left out, as are null labels
-    and null ids; labels without a document are ignored.
+    and null ids; labels without a document are ignored; a null text is empty; of rows that repeat each counts. With
+    fewer than two texts of a class, or none, the score is the share of good labels (0.5 without any).
     """
     usable = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id")))
     agreed = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_top")).where("quality = _top").drop("_top")
