@@ -48,13 +48,20 @@ def typed_answers(spark, sf):
     return decide.answers(s, "kind", "keys", "p").select("o_orderkey", "kind", "choice", "value")
 
 
-@query("typed_requests")
+_W = "CASE WHEN o_orderkey % 3 = 0 THEN [1.0::DOUBLE / 3, 2.0::DOUBLE / 3] ELSE list_transform(range(1, 6), lambda i: i / 15.0::DOUBLE) END"
+
+
+@query("typed_requests", f"""WITH p AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS two, {_W} AS p FROM orders)
+    SELECT o_orderkey::VARCHAR AS id, 'q' AS name, CASE WHEN two THEN 'noul' ELSE 'choice' END AS kind, CASE WHEN NOT two THEN '5-LOW' END AS choice, CASE WHEN two THEN round(p[2], 6) END AS value,
+        round(1 + list_sum(list_transform(p, lambda x: x * ln(x))) / ln(len(p)), 6) AS confidence, len(p)::INT AS n, round(p[1], 6) AS p_first, round(p[len(p)], 6) AS p_last FROM p""")
 def typed_requests(spark, sf):
     """The pandas scorer path: the weight of option i is i + 1."""
     o = table(spark, sf, "orders")
     options = F.transform(priorities(), lambda p: F.struct(p.alias("key"), F.lit(None).cast("string").alias("text")))
     requests = o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("state"), F.lit("q").alias("name"), F.when(F.col("o_orderkey") % 3 == 0, "noul").otherwise("choice").alias("kind"), F.lit("Which?").alias("instructions"), options.alias("options"))
-    return decide.evaluate(requests, lambda state, question, options: [i + 1 for i in range(len(options))])
+    done = decide.evaluate(requests, lambda state, question, options: [i + 1 for i in range(len(options))])
+    p = F.col("probabilities")
+    return done.select("id", "name", "kind", "choice", "value", "confidence", F.size(p).alias("n"), F.round(F.element_at(p, 1), 6).alias("p_first"), F.round(F.element_at(p, -1), 6).alias("p_last"))
 
 
 @query("entropy_confidence", f"""WITH {_scored_sql()} SELECT o_orderkey, round(greatest(0, least(1, 1 + list_sum(list_transform(p, lambda x: x * ln(x))) / ln(5))), 6) AS confidence FROM s""")
