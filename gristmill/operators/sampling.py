@@ -129,17 +129,16 @@ def spread_blocks(df: DataFrame, index: str, n: int, blocks: int, size: int) ->
 def interleave(df: DataFrame, stratum: str, row: str, hard: str, diverse: str, take: int) -> DataFrame:
     """Within each stratum, rows by the hard and by the diverse rank in turn, each row once; ``turn`` counts.
 
-    The merge skips rows already taken, so it is stateful: a stratum is bounded first to the ``take`` best of
-    both ranks, which no more than ``take`` turns can reach, so a group never exceeds ``2 * take`` rows.
+    The merge skips rows already taken, so it is stateful. No more than the ``take`` best of either rank can be met, and
+    each task picks these before rows are shuffled, so a group never exceeds ``2 * take`` rows.
     """
-    w = Window.partitionBy(stratum)
-    ranked = df.select(row, stratum, hard, diverse).withColumn("_h", F.row_number().over(w.orderBy(F.desc(hard), row))).withColumn("_d", F.row_number().over(w.orderBy(diverse, row)))
-    bounded = ranked.where(f"_h <= {take} OR _d <= {take}")
+    rank = lambda q, *order: df.select(stratum, row, F.lit(q).alias("q"), F.row_number().over(Window.partitionBy(stratum).orderBy(*order)).alias("at")).where(F.col("at") <= take)
+    bounded = rank(0, F.desc(hard), row).unionByName(rank(1, diverse, row))
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
-        queues = [g.sort_values("_h")[row].tolist(), g.sort_values("_d")[row].tolist()]
+        queues = [g[g["q"] == q].sort_values("at")[row].tolist() for q in (0, 1)]
         at, seen, out = [0, 0], set(), []
-        while len(out) < min(take, len(g)):
+        while len(out) < min(take, len(queues[0])):
             q = len(out) % 2
             while queues[q][at[q]] in seen:
                 at[q] += 1

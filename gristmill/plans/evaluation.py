@@ -150,7 +150,7 @@ def temperature_fit(spark, sf):
 def calibration_report(spark, sf):
     s = scored(spark, sf)
     t = metrics.fit_temperature(s.where("o_orderkey % 4 = 0"), ["o_orderstatus"], "z", "target", 5)
-    rest = s.where("o_orderkey % 4 <> 0").join(F.broadcast(t.select("o_orderstatus", "temperature")), "o_orderstatus")  # one row a group
+    rest = s.where("o_orderkey % 4 <> 0").join(t.select("o_orderstatus", "temperature"), "o_orderstatus")
     from gristmill.functions.vectors import log_loss
 
     return rest.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("before"), F.round(F.avg(log_loss(softmax(F.col("z"), F.col("temperature")), F.col("target"))), 6).alias("after"))
@@ -274,7 +274,7 @@ def weighted_loss(spark, sf):
 
     s = scored(spark, sf).select("o_orderstatus", "loss")
     w = sqrt_inverse_weights(table(spark, sf, "orders").select("o_orderstatus"), "o_orderstatus")
-    return s.join(F.broadcast(w), "o_orderstatus").agg(F.round(F.sum(F.col("weight") * F.col("loss")) / F.sum("weight"), 6).alias("loss"))
+    return s.join(w, "o_orderstatus").agg(F.round(F.sum(F.col("weight") * F.col("loss")) / F.sum("weight"), 6).alias("loss"))
 
 
 # Codes, vectors and boxes.

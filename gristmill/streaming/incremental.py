@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +69,19 @@ class Progress(StreamingQueryListener):
 
     def onQueryTerminated(self, event):
         pass
+
+
+def wait_for(ready: Callable[[], bool], timeout: float, every: float = 1.0) -> float:
+    """Polls until ``ready`` holds; the seconds it took. ``TimeoutError`` where it does not within ``timeout`` seconds."""
+    began = time.monotonic()
+    while not ready():
+        if time.monotonic() - began > timeout:
+            raise TimeoutError(f"not ready after {timeout} s")
+        time.sleep(every)
+    return time.monotonic() - began
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a Spark job has completed its output there."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)

@@ -133,6 +133,15 @@ def test_sinks(spark, tmp_path):
     assert "| id |" in sinks.metrics_markdown(df.select("id").limit(2))
 
 
+def test_waiting_for_output(spark, tmp_path):
+    out = str(tmp_path / "w")
+    assert not incremental.written(spark, out)
+    with pytest.raises(TimeoutError):
+        incremental.wait_for(lambda: incremental.written(spark, out), 0.05, 0.02)
+    spark.range(3).write.parquet(out)
+    assert incremental.wait_for(lambda: incremental.written(spark, out), 5) < 5
+
+
 def test_incremental_stream_resumes_and_dedupes(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     schema = "id int, v string"
