@@ -90,8 +90,8 @@ def macro_accuracy(spark, sf):
     SELECT round((round(a.m, 6) + round(b.m, 6) + round(c.m, 6)) / 3, 5) AS objective FROM a, b, c""")
 def balanced_objective(spark, sf):
     s = scored(spark, sf).withColumn("c7", F.col("o_custkey") % 7)
-    parts = [metrics.macro(s, g).select("macro") for g in ("o_orderstatus", "o_orderpriority", "c7")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.round(F.sum("macro") / 3, 5).alias("objective"))
+    means = metrics.grouping_sets(s, [["o_orderstatus"], ["o_orderpriority"], ["c7"]], [F.avg("correct").alias("m")])
+    return means.groupBy("grouping_id").agg(F.round(F.avg("m"), 6).alias("macro")).agg(F.round(F.sum("macro") / 3, 5).alias("objective"))
 
 
 @query("brier_logloss_rps", f"""WITH {_scored_sql()}, r AS (SELECT *, list_sum(list_transform(range(1, 5), lambda i: pow(list_sum(p[1:i]) - CASE WHEN i - 1 >= target THEN 1 ELSE 0 END, 2))) / 4 AS rps, abs(list_sum(list_transform(range(1, 6), lambda i: p[i] * (i - 1))) - target) AS mae FROM s)
