@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from gristmill.functions.hashing import digest, hash8
 from gristmill.functions.vectors import argmax, brier, expectation, log_loss, ranked_probability, softmax
 
+# Fixed values, which results must match: least probability in a loss, normal quantile of an interval, temperatures tried.
+CLIP, Z95 = 1e-12, 1.96
+GRID_POINTS, GRID_LOW, GRID_HIGH = 161, 0.25, 4.0
 
-def scored(df: DataFrame, z: str, target: str, temperature: float = 1.0, clip: float = 1e-12) -> DataFrame:
+
+def scored(df: DataFrame, z: str, target: str, temperature: float = 1.0, clip: float = CLIP) -> DataFrame:
     """Adds ``p, pick, correct, confidence, loss, brier`` to rows of logits and a zero-based target."""
     out = df.withColumn("p", softmax(F.col(z), temperature))
     t = F.col(target).cast("int")
@@ -54,7 +58,7 @@ def ece(df: DataFrame, by: list[str], bins: int = 10, confidence: str = "confide
     return inner.groupBy(*by).agg(F.round(F.sum(F.col("_n") * F.abs(F.col("_a") - F.col("_c"))) / F.sum("_n"), 6).alias("ece"))
 
 
-def wilson(n: Column, k: Column, z: float = 1.96) -> tuple[Column, Column]:
+def wilson(n: Column, k: Column, z: float = Z95) -> tuple[Column, Column]:
     p = F.try_divide(k, n)
     mid, half, scale = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
     return (mid - half) / scale, (mid + half) / scale
@@ -70,12 +74,12 @@ def upper_median(value: str) -> Column:
     return (-F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{value})")).cast("long")
 
 
-def temperature_grid(points: int = 161, low: float = 0.25, high: float = 4.0) -> Column:
+def temperature_grid(points: int = GRID_POINTS, low: float = GRID_LOW, high: float = GRID_HIGH) -> Column:
     step = (high / low) ** (1 / (points - 1))
     return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) * F.pow(F.lit(step), i.cast("double")))
 
 
-def fit_temperature(df: DataFrame, by: list[str], z: str, target: str, most: int, points: int = 161, clip: float = 1e-12) -> DataFrame:
+def fit_temperature(df: DataFrame, by: list[str], z: str, target: str, most: int, points: int = GRID_POINTS, clip: float = CLIP) -> DataFrame:
     """The first grid point of least mean negative log-likelihood, for each group; up to ``most`` options.
 
     The grid is expanded after all else and folded back by a partial aggregate, so the shuffle carries one
