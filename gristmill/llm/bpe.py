@@ -104,7 +104,7 @@ class Encoder:
         letters, plain, apart = [], [], []
         for w in words:
             t = w.decode()
-            if self.bare is not None and t.isalpha() and (t.isascii() or (t == t.lower() and unicodedata.is_normalized("NFC", t))):
+            if self.bare is not None and t.isalpha() and t == t.lower() and (t.isascii() or unicodedata.is_normalized("NFC", t)):
                 letters.append(w)
             else:
                 (apart if _MARK in w or b"<|" in w else plain).append(w)

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gristmill.llm import exact_dedup, line_dedup, ngram_join, packing, pii, quality, secrets
+from gristmill.llm import bpe, exact_dedup, line_dedup, ngram_join, packing, pii, quality, secrets
 from gristmill.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -326,6 +326,69 @@ def test_quality_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > 0.95
 
 
+def test_quality_fit_under_repeated_rows(spark):
+    """9,000 copies of one bad row leave a model with dictionaries that still tells the classes apart."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    bad = labels.where("quality = 0").where(~quality.held_out(F.col("doc_id"))).orderBy("doc_id").first()["doc_id"]
+    copies = docs.where(F.col("doc_id") == bad).withColumn("text", F.lit("zz")).crossJoin(spark.range(9000).drop("id"))
+    model = quality.fit(docs.where(F.col("doc_id") != bad).unionByName(copies), labels)
+    assert model.good is not None and model.bad is not None
+    assert np.abs(model.weights[1:]).max() > 0.1
+    assert quality.fit(docs, labels, per_class=50, chars=None).good is not None
+
+
+def test_quality_scores_by_hand(spark):
+    """Every score of the query again, from the model's parts and plain compression, one text at a time."""
+    import zstandard
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    found = {r["doc_id"]: r["score"] for r in QUERIES["op10_quality"](spark, sf).collect()}
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        n = len(raw) + 16
+        a, b = (len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d)).compress(raw)) for d in (model.good, model.bad))
+        x = np.array([(b - a) / (a + b), (b - a) / n, math.log(n), a / n, math.log(a / n)])
+        z = model.weights[0] + float(((x - model.mean) / model.scale) @ model.weights[1:])
+        assert abs(found[r["doc_id"]] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-6
+
+
+def _marked_texts(n: int) -> list[str]:
+    rng = np.random.default_rng(5)
+    parts = ["<|", "|>", "<|endoftext|>", "<|im_start|>", "<|im_end|>", "THIS", "Foo", "bar", "List.map", "É", "ß", "STRASSE", "user", " ", "  ", "\n", "\t", "\u00a0", "x1Y2", "Don't", "日本", "-", ".", "<", "|"]
+    return ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(n)]
+
+
+def test_bpe_beside_special_marks():
+    """Capitals beside "<|" go through the normaliser like all others: 5,000 texts against the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, encoder, texts = Tokenizer.from_file(path), bpe.Encoder(path), _marked_texts(5000)
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    raw = [t.encode() for t in texts]
+    assert encoder.encode_many(raw) == want
+    assert bpe.Encoder(path).encode_chunked(raw) == want
+
+
+def test_queries_beside_special_marks(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [*_marked_texts(300), "<|im_start|>User asks THIS: let y = List.map f <| Foo Bar"]
+    docs, tok = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Tokenizer.from_file(path)
+    ids = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for r in bpe.code_report(docs, path).collect():
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids[r["doc_id"]], dtype="<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(tok.decode(ids[r["doc_id"]], skip_special_tokens=False).encode()).hexdigest()
+    for r in packing.pack(docs, path).collect():
+        assert r["ids_crc32"] == zlib.crc32(np.array([*ids[r["doc_id"]], 0][r["start"] : r["start"] + r["length"]], dtype="<u4").tobytes())
+
+
 def test_bpe_query(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
