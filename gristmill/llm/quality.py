@@ -14,14 +14,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import fresh
 
-#: Labelled documents of each class that the fit may take, and code points of each (a window at a hashed place).
-#: The bound holds at every corpus size; the driver holds at most 2 x 2,000 x 16,000 code points.
+#: Labelled texts of each class that the fit may take, and code points of each (a window at a hashed place).
+#: Both are parameters of ``fit`` and hold at every corpus size, so the driver holds at most 2 x 2,000 x 16,000 code
+#: points. ``chars=None`` lifts the second, for labelled texts that fit into the driver whole.
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 2000, 16_000
 DICT_BYTES, PIECE_BYTES, LEVEL = 110_000, 1000, 3
 
@@ -105,12 +106,13 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS) -> Model:
-    """Fits on at most ``per_class`` labelled documents of each class that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, chars: int | None = SAMPLE_CHARS) -> Model:
+    """Fits on at most ``per_class`` labelled texts of each class that are not held out.
 
     Which ones is fixed by a hash of the id. Ids with labels of both classes are left out, as are null labels
-    and null ids; labels without a document are ignored; a null text is empty; of rows that repeat each counts. With
-    fewer than two texts of a class, or none, the score is the share of good labels (0.5 without any).
+    and null ids; labels without a document are ignored; a null text is empty; rows that repeat an id and its text count
+    once, and each class has its own bound, so repeated rows never push the other class out. With fewer than two texts
+    of a class, or none, the score is the share of good labels (0.5 without any).
     """
     usable = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id")))
     agreed = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_top")).where("quality = _top").drop("_top")
@@ -118,10 +120,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, c
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = agreed.where("quality = 1").orderBy(*by_hash).limit(per_class).unionByName(agreed.where("quality = 0").orderBy(*by_hash).limit(per_class))
     text = F.coalesce(F.col("text"), F.lit(""))
-    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
-    window = F.substring(text, (F.pmod(F.xxhash64("doc_id"), room) + 1).cast("int"), F.lit(chars))
+    if chars is not None:
+        room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+        text = F.substring(text, (F.pmod(F.xxhash64("doc_id"), room) + 1).cast("int"), F.lit(chars))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = slim.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", window.alias("text")).orderBy("quality", *by_hash, "text").limit(4 * per_class).collect()
+    found = slim.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", text.alias("text")).distinct()
+    at = F.row_number().over(Window.partitionBy("quality").orderBy(*by_hash, "text"))
+    rows = found.withColumn("at", at).where(F.col("at") <= per_class).orderBy("quality", "at").collect()
     good, bad = ([r["text"].encode() for r in rows if r["quality"] == q] for q in (1, 0))
     return fit_texts(good, bad, counts.get(1, 0), counts.get(0, 0))
 
