@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, exact_dedup, line_dedup, ngram_join, packing, pii, quality, secrets, substring_dedup
+from . import bm25, bpe, exact_dedup, line_dedup, ngram_join, packing, pii, quality, secrets, substring_dedup, transactions
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions.reassembly(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -71,10 +75,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op11_transactions": op11_transactions,
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _crc_steps(value: int) -> int:
+    """Four steps of the reflected CRC-32 division."""
+    for _ in range(4):
+        value = (value >> 1) ^ (0xEDB88320 * (value & 1))
+    return value
+
+
+def _crc32(text: str) -> str:
+    """SQL of the CRC-32 of a string's UTF-8 bytes, by half bytes, the low half first."""
+    halves = f"list_transform(string_split(regexp_replace(hex(encode({text})), '(.)(.)', '\\2\\1', 'g'), ''), lambda d: (ascii(d) - CASE WHEN d >= 'A' THEN 55 ELSE 48 END)::BIGINT)"
+    steps = f"[{', '.join(str(_crc_steps(i)) for i in range(16))}]::BIGINT[]"
+    return f"xor(list_reduce({halves}, lambda c, n: xor(c >> 4, list_extract({steps}, 1 + xor(c & 15, n))), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_NORM} AS norm FROM documents),
@@ -95,4 +116,33 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM j GROUP BY doc_id
     """,
+    "op11_transactions": f"""
+        WITH h AS (
+            SELECT d.doc_id, d.source, d.text, {_crc32("d.doc_id::VARCHAR")} AS h,
+                   d.text IS NULL OR d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS gone
+            FROM documents d),
+        r AS (SELECT *, h % 17 AS m, CASE WHEN h % 17 >= 7 THEN (h // 100) % 30000 END AS key FROM h),
+        -- The next control record decides: a rollback undoes; past a savepoint only the transaction's end counts.
+        n AS (SELECT *, first_value(CASE WHEN m < 7 THEN m END IGNORE NULLS) OVER after AS next_m,
+                     first_value(CASE WHEN m < 7 THEN doc_id END IGNORE NULLS) OVER after AS next_id,
+                     first_value(CASE WHEN m < 3 THEN m END IGNORE NULLS) OVER after AS end_m,
+                     first_value(CASE WHEN m < 3 THEN doc_id END IGNORE NULLS) OVER after AS end_id
+              FROM r WINDOW after AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+        c AS (SELECT doc_id AS end_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 + 1 AS epoch, row_number() OVER (ORDER BY doc_id) AS seq FROM r WHERE m < 2),
+        a AS (SELECT key, epoch, doc_id, text, gone,
+                     row_number() OVER (PARTITION BY key, epoch ORDER BY seq DESC, doc_id DESC) AS back
+              FROM n JOIN c USING (end_id) WHERE m >= 7 AND next_m NOT IN (5, 6)),
+        v AS (SELECT key, epoch, CASE WHEN NOT gone THEN {_crc32("key || ':' || text")} END AS value FROM a WHERE back = 1),
+        w AS (SELECT epoch, (value IS NOT NULL)::BIGINT AS has, coalesce(value, 0) AS value,
+                     lag((value IS NOT NULL)::BIGINT, 1, 0) OVER per_key AS had, coalesce(lag(value) OVER per_key, 0) AS old
+              FROM v WINDOW per_key AS (PARTITION BY key ORDER BY epoch)),
+        e AS (SELECT epoch, sum(n) AS n, sum(total) AS total FROM (
+                  SELECT epoch, has - had AS n, value - old AS total FROM w UNION ALL SELECT DISTINCT epoch, 0, 0 FROM c) GROUP BY epoch)
+        SELECT 'state' AS kind, epoch::BIGINT AS id, (sum(n) OVER upto)::BIGINT AS n, (sum(total) OVER upto)::BIGINT AS value
+        FROM e WINDOW upto AS (ORDER BY epoch)
+        UNION ALL
+        SELECT CASE WHEN next_m IN (5, 6) THEN 'rollback' ELSE 'abort' END, doc_id,
+               CASE WHEN next_m IN (5, 6) THEN next_id ELSE end_id END, key
+        FROM n WHERE m >= 7 AND (next_m IN (5, 6) OR coalesce(end_m, 2) = 2)
+    """,
 }
