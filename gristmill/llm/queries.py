@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, exact_dedup, line_dedup, ngram_join, packing, pii, quality, secrets, substring_dedup, transactions
+from . import bm25, bpe, exact_dedup, fingerprints, line_dedup, ngram_join, packing, pii, quality, secrets, substring_dedup, transactions
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op11_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions.reassembly(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
     "op11_transactions": op11_transactions,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
