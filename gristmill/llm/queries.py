@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, exact_dedup, fingerprints, line_dedup, ngram_join, packing, pii, quality, secrets, substring_dedup, transactions
+from . import bm25, bpe, divergence, exact_dedup, fingerprints, line_dedup, ngram_join, packing, pii, quality, secrets, substring_dedup, transactions
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op11_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions.reassembly(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_report(table(spark, sf_dir, "documents"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
     "op11_transactions": op11_transactions,
+    "op12_divergence": op12_divergence,
     "op13_fingerprints": op13_fingerprints,
 }
 
@@ -150,4 +155,28 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN next_m IN (5, 6) THEN next_id ELSE end_id END, key
         FROM n WHERE m >= 7 AND (next_m IN (5, 6) OR coalesce(end_m, 2) = 2)
     """,
+    "op12_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        t AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs FROM t GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+        l AS (SELECT lang, sum(n) AS total, count(*) AS v FROM k GROUP BY lang),
+        g AS (SELECT d.lang, d.source, coalesce(any_value(s.total), 0) AS total
+              FROM (SELECT DISTINCT lang, source FROM d) d
+              LEFT JOIN (SELECT lang, source, sum(c.n) AS total FROM c JOIN k USING (lang, term) GROUP BY ALL) s USING (lang, source) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n,
+                     1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) AS p,
+                     1 + (1000000000 * (k.n + 5)) // (l.total + 5 * l.v) AS q
+              FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+                 FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value,
+               (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+        FROM r QUALIFY part = 'pair' OR rank <= 50
+    """,
 }
