@@ -205,7 +205,10 @@ def _span(location: str, first: int, size: int) -> bytes:
     if not location.startswith(("http://", "https://")):
         with open(location, "rb") as f:
             f.seek(first)
-            return f.read(size)
+            data = f.read(size)
+        if len(data) != size:
+            raise OSError(f"{location} has {len(data)} of {size} bytes at {first}")
+        return data
     from urllib.request import Request, urlopen
 
     with urlopen(Request(location, headers={"Range": f"bytes={first}-{first + size - 1}"}), timeout=60) as f:
