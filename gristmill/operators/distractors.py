@@ -8,37 +8,62 @@ from pyspark.sql import functions as F
 from gristmill.functions.hashing import digest, hash8
 from gristmill.lineage import stable
 
-#: Texts of one bucket on average.
+#: Texts of one bucket on average, and of the pool that rows fall back on, for each group.
 BUCKET = 64
 
 
+def _fallback(texts: DataFrame, text: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Groups that need a pool of their own, and ``_own, _pt``: for each of them, and for null all others, the first ``size`` texts by hash that are not its alone.
+
+    A text is of one group alone, or of several. The first ``size`` texts of all serve every group that has none of them
+    alone; there are at most ``size`` groups that have, and for these it takes the first ``size`` texts of none of them
+    and of each. So the pool has at most ``size * (size + 2)`` texts, whatever the table, and is found by top-k.
+    """
+    by_hash = [digest(F.lit("pool"), text), F.col(text)]
+    alone = F.when(F.col("_low").eqNullSafe(F.col("_high")), F.struct(F.col("_low").alias("g")))
+    rows = texts.select(text, alone.alias("_alone"))
+    first = stable(rows.orderBy(*by_hash).limit(size))
+    owners = first.where("_alone IS NOT NULL").select("_alone").distinct()
+    of_owner = rows.join(F.broadcast(owners), "_alone", "left_semi")  # at most ``size`` groups
+    each = of_owner.withColumn("_i", F.row_number().over(Window.partitionBy("_alone").orderBy(*by_hash))).where(F.col("_i") <= size).drop("_i")
+    of_none = rows.join(F.broadcast(owners), "_alone", "left_anti").orderBy(*by_hash).limit(size)
+    pool = first.unionByName(each.select(*rows.columns)).unionByName(of_none.select(*rows.columns)).distinct()
+    groups = owners.select(F.col("_alone").alias("_own")).unionByName(owners.sparkSession.createDataFrame([(None,)], f"_own {dict(owners.dtypes)['_alone']}"))
+    met = pool.join(F.broadcast(groups), ~F.coalesce(F.col("_alone") == F.col("_own"), F.lit(False)), "inner")
+    rank = F.row_number().over(Window.partitionBy("_own").orderBy(*by_hash))
+    return stable(owners), stable(met.withColumn("_i", rank).where(F.col("_i") <= size).select("_own", F.col(text).alias("_pt")))
+
+
 def from_other_groups(df: DataFrame, row: str, group: str, text: str, k: int) -> DataFrame:
-    """``row, rank, text``: k different texts of other groups for each row, exactly, without pairs of all.
+    """``row, rank, text``: k different texts of other groups for each row, without pairs of all and without rounds.
 
-    Texts are dealt into buckets by hash, and a row begins at the bucket of its own hash: its candidates are ranked
-    by the distance of their bucket, then by a digest of row and text. Nearly all rows find k in their first bucket;
-    those that do not, as their group has most of its texts, go on with the next one, up to all. A text that other
-    groups have too is one of theirs; a row's own text is none. ``row`` must be a key.
+    Texts are dealt into buckets by hash; a row's candidates are those of the bucket of its own hash, ranked by a digest
+    of row and text. A row that finds fewer than k there, as its group has most of the bucket, goes on with a pool of
+    64 texts that is the same for all rows of its group: the first by hash that other groups have, ranked likewise. So one
+    join with buckets of bounded size and one with a small pool do, however the texts are dealt over groups, and a row gets
+    fewer than k only if there are no more. A text that other groups have too is one of theirs; a row's own text is
+    none. ``row`` must be a key; a null group is a group.
     """
-    texts = stable(df.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(group).alias("_low"), F.max(group).alias("_high")))
-    n = max(1, -(-texts.count() // BUCKET))
+    texts = stable(df.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(F.struct(F.col(group).alias("g"))).alias("_low"), F.max(F.struct(F.col(group).alias("g"))).alias("_high")).select(text, F.col("_low.g").alias("_low"), F.col("_high.g").alias("_high")))
+    n, size = max(1, -(-texts.count() // BUCKET)), max(BUCKET, 3 * k)
     spread = lambda c: (hash8(digest(F.lit("pool"), c)) % n).cast("int")
     pools = texts.select(spread(text).alias("_b"), F.col(text).alias("_t"), "_low", "_high")
-    rows = stable(df.select(row, F.col(group).alias("_g"), F.col(text).alias("_own"), spread(row).alias("_at"), F.lit(0).alias("_have")))
-    out = None
-    for step in range(n):
-        near = rows.join(pools, (F.col("_at") + step) % n == F.col("_b")).where(~(F.col("_own").eqNullSafe(F.col("_t")) | (F.col("_g").eqNullSafe(F.col("_low")) & F.col("_g").eqNullSafe(F.col("_high")))))
-        best = near.withColumn("_i", F.row_number().over(Window.partitionBy(row).orderBy(digest(row, "_t")))).where(F.col("_i") + F.col("_have") <= k)
-        found = stable(best.select(row, (F.col("_i") + F.col("_have")).alias("rank"), F.col("_t").alias(text)))
-        out = found if out is None else out.unionByName(found)
-        if step == n - 1:
-            break
-        got = found.groupBy(row).agg(F.count("*").alias("_new"))
-        rows = rows.join(got, row, "left").withColumn("_have", F.col("_have") + F.coalesce("_new", F.lit(0))).drop("_new").where(F.col("_have") < k)
-        rows = stable(rows)
-        if rows.isEmpty():
-            break
-    return out
+    rows = df.select(row, F.col(group).alias("_g"), F.col(text).alias("_own"), spread(row).alias("_at"))
+    foreign = ~(F.col("_own").eqNullSafe(F.col("_t")) | (F.col("_g").eqNullSafe(F.col("_low")) & F.col("_g").eqNullSafe(F.col("_high"))))
+    rank = lambda: F.row_number().over(Window.partitionBy(row).orderBy(digest(row, "_t")))
+    near = rows.join(pools, F.col("_at") == F.col("_b")).where(foreign).withColumn("rank", rank()).where(F.col("rank") <= k)
+    near = stable(near.select(row, "rank", F.col("_t").alias(text)))
+    few = rows.join(near.groupBy(row).agg(F.count("*").alias("_have")), row, "left").withColumn("_have", F.coalesce("_have", F.lit(0))).where(F.col("_have") < k)
+    few = stable(few)
+    if few.isEmpty():
+        return near
+    owners, pool = _fallback(texts, text, size)
+    mine = F.struct(F.col("_g").alias("g"))
+    keyed = few.withColumnRenamed("_own", "_text").join(F.broadcast(owners.select(F.col("_alone").alias("_pool"))), mine == F.col("_pool"), "left")
+    # The pool's rows and its groups are bounded by its size, so they are broadcast.
+    met = keyed.join(F.broadcast(pool), F.col("_pool").eqNullSafe(F.col("_own"))).where(~F.col("_text").eqNullSafe(F.col("_pt")) & (spread("_pt") != F.col("_at")))
+    more = met.withColumn("_i", F.row_number().over(Window.partitionBy(row).orderBy(digest(row, "_pt"))) + F.col("_have")).where(F.col("_i") <= k)
+    return near.unionByName(more.select(row, F.col("_i").cast("int").alias("rank"), F.col("_pt").alias(text)))
 
 
 def from_vocabulary(df: DataFrame, label: str, k: int) -> DataFrame:

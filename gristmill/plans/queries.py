@@ -426,10 +426,20 @@ def action_history_last5(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(F.collect_list("event_type").over(w), " > ").alias("history"))
 
 
-@query("distractor_self_join", f"""WITH {_DOCS}, t AS (SELECT content, min(source) AS low, max(source) AS high, ('0x' || substr(sha256('pool:' || content), 1, 8))::BIGINT AS h FROM d GROUP BY content), n AS (SELECT greatest(1, (count(*) + 63) // 64) AS n FROM t),
+@query(
+    "distractor_self_join",
+    f"""WITH {_DOCS}, t AS (SELECT content, min(source) AS low, max(source) AS high, sha256('pool:' || content) AS h FROM d GROUP BY content),
+    n AS (SELECT greatest(1, (count(*) + 63) // 64) AS n FROM t),
     r AS (SELECT doc_id, source, content, ('0x' || substr(sha256('pool:' || doc_id), 1, 8))::BIGINT % n AS b, n FROM d, n),
-    c AS (SELECT doc_id, t.content AS distractor, row_number() OVER (PARTITION BY doc_id ORDER BY (t.h % n - b + n) % n, sha256(doc_id || ':' || t.content)) AS rank FROM r JOIN t ON r.content <> t.content AND NOT (r.source = low AND r.source = high))
-    SELECT doc_id, rank::INT AS rank, distractor FROM c WHERE rank <= 3""")
+    -- For each source the texts that others have, by hash: the first 64 are its pool.
+    e AS (SELECT s.source, t.content, t.h, row_number() OVER (PARTITION BY s.source ORDER BY t.h, t.content) AS place
+          FROM (SELECT DISTINCT source FROM d) s JOIN t ON NOT (s.source = low AND s.source = high)),
+    c AS (SELECT doc_id, e.content AS distractor, row_number() OVER (PARTITION BY doc_id
+              ORDER BY ('0x' || substr(e.h, 1, 8))::BIGINT % n <> b, sha256(doc_id || ':' || e.content)) AS rank
+          FROM r JOIN e ON r.source = e.source AND r.content <> e.content
+          WHERE ('0x' || substr(e.h, 1, 8))::BIGINT % n = b OR place <= 64)
+    SELECT doc_id, rank::INT AS rank, distractor FROM c WHERE rank <= 3""",
+)
 def distractor_self_join(spark, sf):
     """Whole texts of other sources, by their digests."""
     from gristmill.operators.distractors import from_other_groups
