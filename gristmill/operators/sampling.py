@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import bucket, digest
 from gristmill.lineage import stable
+from gristmill.operators.skew import spread_join
 
 
 def hash_top(df: DataFrame, n: int, *key: str, seed: str = "") -> DataFrame:
@@ -50,12 +51,46 @@ def ranked(df: DataFrame, by: list[str], order: list, out: str, partitions: int
     return joined.withColumn(out, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_piece", "_shift", *[f"_k{i}" for i in range(len(by))])
 
 
+#: Largest rank by which Spark lets each task drop rows before a window's shuffle (its default threshold).
+GROUP_LIMIT = 1000
+
+
+def by_cut(df: DataFrame, strata: list[str], order: list, quota: int | DataFrame, digits: int = 3) -> DataFrame:
+    """The first ``quota`` rows of each stratum by ``order``, which begins with a hex digest; no stratum is ever sorted.
+
+    A histogram of the digest's first ``digits`` digits says which bin holds a stratum's last row. Rows of lower bins are
+    in, and only those of the bin at the cut are ranked: one in 4,096 of a stratum (three digits; more for strata beyond 1e10
+    rows). ``quota`` is a number or a table of strata with a column ``quota``; strata without one give no rows.
+    """
+    key, bin_, first = "_stratum", "_bin", order[0] if isinstance(order[0], Column) else F.col(order[0])
+    number = F.conv(F.substring(first, 1, digits), 16, 10).cast("int")
+    rows = df.withColumn(key, F.struct(*strata)).withColumn(bin_, number)
+    bins = rows.groupBy(key, bin_).agg(F.count("*").alias("_n"))
+    if isinstance(quota, DataFrame):
+        bins = bins.join(quota.select(F.struct(*strata).alias(key), F.col("quota").alias("_quota")), key)
+    else:
+        bins = bins.withColumn("_quota", F.lit(quota))
+    up = Window.partitionBy(key).orderBy(bin_)  # 4,096 rows at most
+    bins = bins.withColumn("_before", F.sum("_n").over(up) - F.col("_n"))
+    reached = F.when(F.col("_before") < F.col("_quota"), F.struct(F.col(bin_).alias("bin"), (F.col("_quota") - F.col("_before")).alias("left")))
+    cuts = stable(bins.groupBy(key).agg(F.max(reached).alias("_cut"), F.sum("_n").alias("_rows")).where("_cut IS NOT NULL"))
+    kept = spread_join(rows, cuts, key, "_rows", cuts.agg(F.sum("_rows")).first()[0] or 0).where(F.col(bin_) <= F.col("_cut.bin"))
+    at_cut = F.when(F.col(bin_) == F.col("_cut.bin"), F.lit(True))
+    place = F.row_number().over(Window.partitionBy(key, bin_).orderBy(*order))
+    last = kept.where(at_cut).withColumn("_place", place).where(F.col("_place") <= F.col("_cut.left")).drop("_place")
+    return kept.where(at_cut.isNull()).unionByName(last).drop(key, bin_, "_cut")
+
+
 def stratum_quota(df: DataFrame, strata: list[str], order: list, quota: int | DataFrame) -> DataFrame:
-    """First rows of each stratum; ``quota`` is a number or a table of strata with a column ``quota``."""
+    """First rows of each stratum; ``quota`` is a number or a table of strata with a column ``quota``.
+
+    Small quotas are filled within each task first; for a table, or more than 1,000 rows, ``order`` must begin with a hex
+    digest (see ``by_cut``).
+    """
+    if not isinstance(quota, int) or quota > GROUP_LIMIT:
+        return by_cut(df, strata, order, quota)
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy(*order)))
-    if isinstance(quota, int):
-        return ranked.where(F.col("_rn") <= quota).drop("_rn")
-    return ranked.join(quota, strata).where("_rn <= quota").drop("_rn", "quota")
+    return ranked.where(F.col("_rn") <= quota).drop("_rn")
 
 
 def balanced(df: DataFrame, task: str, per_task: int, order: list, index: str) -> DataFrame:
@@ -64,8 +99,12 @@ def balanced(df: DataFrame, task: str, per_task: int, order: list, index: str) -
 
 
 def class_cap_union(df: DataFrame, label: str, cap: int, rest: int, order: list) -> DataFrame:
-    """``cap`` rows of each class, then ``rest`` of what is left overall."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    """``cap`` rows of each class, then ``rest`` of what is left overall.
+
+    Of a class no more than ``cap + rest`` rows can be in the result, so no class is sorted beyond that.
+    """
+    place = F.row_number().over(Window.partitionBy(label).orderBy(*order))
+    ranked = stable(stratum_quota(df, [label], order, cap + rest).withColumn("_rn", place))
     return ranked.where(F.col("_rn") <= cap).unionByName(ranked.where(F.col("_rn") > cap).orderBy(*order).limit(rest)).drop("_rn")
 
 
