@@ -15,7 +15,8 @@ def _signature(edges: DataFrame) -> tuple:
 
 def _lowest(edges: DataFrame, total: int) -> DataFrame:
     """``edges`` with ``m``, the smallest ``b`` of each ``a``; edges of a hub stay where they are."""
-    hubs = stable(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).where(F.col("n") > hot_limit(total)).drop("n"))
+    limit = hot_limit(total, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hubs = stable(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).where(F.col("n") > limit).drop("n"))
     low = F.min("b").over(Window.partitionBy("a"))
     if hubs.isEmpty():
         return edges.withColumn("m", low)

@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many keys are called hot and broadcast.
+#: A key is hot beyond this share of the rows, or of a quarter of a partition's mean, and never with fewer rows.
 HOT_KEYS, LEAST_ROWS = 512, 128
 
 
-def hot_limit(total: int) -> int:
-    """Rows of a key, of ``total`` rows, beyond which it is hot; ``HOT_KEYS`` keys at most are."""
-    return max(LEAST_ROWS, total // HOT_KEYS)
+def hot_limit(total: int, partitions: int = 0) -> int:
+    """Rows of a key, of ``total`` rows, beyond which it is hot: at most ``HOT_KEYS``, or four for each partition, are."""
+    return max(LEAST_ROWS, total // max(HOT_KEYS, 4 * partitions))
 
 
 def spread_join(rows: DataFrame, side: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """``rows.join(side, key)`` without a task that gets all rows of a hot key.
 
     ``side`` has one row per key, whose ``count`` says how many of the ``total`` rows have it (and leaves the
-    result). Hot keys are broadcast, so that their rows stay where they are; the others are shuffled. Both inputs are
+    result). Hot keys, a few for each partition at most, are broadcast, so that their rows stay where they are; the others are shuffled. Both inputs are
     read more than once, so they should be stored or checkpointed. Null keys match nothing.
     """
-    many = side.where(F.col(count) > hot_limit(total)).drop(count)
+    limit = hot_limit(total, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    many = side.where(F.col(count) > limit).drop(count)
     if many.isEmpty():
         return rows.join(side.drop(count), key)
     cold = rows.join(F.broadcast(many.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(many), key).unionByName(cold.join(side.where(F.col(count) <= hot_limit(total)).drop(count), key))
+    return rows.join(F.broadcast(many), key).unionByName(cold.join(side.where(F.col(count) <= limit).drop(count), key))
