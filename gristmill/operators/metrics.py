@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.hashing import digest, hash8
 from gristmill.functions.vectors import argmax, brier, expectation, log_loss, ranked_probability, softmax
+from gristmill.lineage import stable
+from gristmill.operators.skew import spread_join
 
 # Fixed values, which results must match: least probability in a loss, normal quantile of an interval, temperatures tried.
 CLIP, Z95 = 1e-12, 1.96
@@ -64,9 +70,43 @@ def wilson(n: Column, k: Column, z: float = Z95) -> tuple[Column, Column]:
     return (mid - half) / scale, (mid + half) / scale
 
 
-def latency(value: str) -> list[Column]:
-    """Exact interpolated percentiles."""
-    return [F.round(F.percentile(value, F.lit(q)), 6).alias(name) for q, name in ((0.5, "p50"), (0.95, "p95"))]
+#: Rows of a group up to which a percentile may hold all its values in one task.
+HELD_VALUES = 100_000
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], held: int = HELD_VALUES) -> DataFrame:
+    """``by``, ``n`` and exact interpolated percentiles by name, to six places; nulls do not count.
+
+    Groups of at most ``held`` values are done by one aggregate. For a larger one a sketch brackets each percentile
+    between two values; how many rows lie below and how often each value inside occurs is counted exactly, and only the
+    bracket's values are put in order: some 6 in ``held`` of a group, so no task holds a group.
+    """
+    number = F.col(value).cast("double")
+    rows = df.select(F.struct(*by).alias("_key"), number.alias("_v"), *by)
+    counts = rows.groupBy("_key").agg(F.count("_v").alias("n"), F.count("*").alias("_rows"), *[F.percentile_approx("_v", [max(p - 3 / held, 0.0), min(p + 3 / held, 1.0)], held).alias(f"_b{i}") for i, p in enumerate(shares.values())])
+    counts = stable(counts)
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    out = lambda cols: [F.col(f"_key.{b}").alias(b) for b in by] + ["n", *cols]
+    large = counts.where(F.col("n") > held)
+    if large.isEmpty():
+        exact = [F.round(F.percentile("_v", F.lit(p)), 6).alias(name) for name, p in shares.items()]
+        return rows.groupBy("_key").agg(F.count("_v").alias("n"), *exact).select(out(shares))
+    within = spread_join(rows.select("_key", "_v"), counts, "_key", "_rows", total)
+    small = within.where(F.col("n") <= held).groupBy("_key").agg(F.count("_v").alias("n"), *[F.round(F.percentile("_v", F.lit(p)), 6).alias(name) for name, p in shares.items()])
+    parts = within.where(F.col("n") > held)
+    below = parts.groupBy("_key").agg(*[F.count_if(F.col("_v") < F.col(f"_b{i}")[0]).alias(f"_below{i}") for i in range(len(shares))])
+    inside = parts.select("_key", "_v", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("_v").between(F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]).alias("in")) for i in range(len(shares))])).alias("_s")).where("_s.in")
+    values = inside.groupBy("_key", "_s.i", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_key", "i").orderBy("_v"))
+    runs = values.withColumn("_upto", upto).join(below.join(large.select("_key", "n"), "_key"), "_key")
+    found = []
+    for i, (name, p) in enumerate(shares.items()):
+        at = (F.col("n") - 1) * F.lit(p)
+        reach = F.when(F.col("i") == i, F.col(f"_below{i}") + F.col("_upto"))
+        pick = lambda place, reach=reach: F.min(F.when(reach > place, F.col("_v")))  # noqa: E731  the value at a place counted from 0
+        low, high = pick(F.floor(at)), pick(F.ceil(at))
+        found.append(F.round(low + (high - low) * F.max(at - F.floor(at)), 6).alias(name))
+    return runs.groupBy("_key").agg(F.first("n").alias("n"), *found).select(out(shares)).unionByName(small.select(out(shares)))
 
 
 def upper_median(value: str) -> Column:
@@ -111,20 +151,32 @@ POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.9994058
 
 
 def cluster_bootstrap(wide: DataFrame, cluster: str, resamples: int = 2000, seed: str = "boot") -> DataFrame:
-    """Mean of b - a in resamples of whole clusters, drawn by hash; one row each.
+    """``i, mean``: the mean of b - a in resamples of whole clusters.
 
-    Clusters are reduced to two numbers first. A resample takes each cluster a Poisson number of times, which
-    a hash of resample and cluster fixes, so clusters need no ranks and no task sees them all. One digest has the
-    draws of eight resamples, which are summed side by side, so a cluster is expanded to an eighth as many rows.
+    Clusters are reduced to two numbers first. A resample takes each cluster a Poisson number of times, so clusters
+    need no ranks and no task sees them all. The number for resamples ``8 j`` to ``8 j + 7`` comes from the eight words
+    of the digest of ``seed:j:cluster``, as shares of 2**32, by the cumulative probabilities of ``POISSON``. A task
+    draws for its clusters as a matrix and hands on one sum for each resample, so what is shuffled does not depend on
+    the number of clusters.
     """
-    per = wide.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(F.col("b") - F.col("a")).alias("d"))
-    drawn = per.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 8) - 1)))).withColumn("h", digest(F.lit(seed), "j", cluster))
-    u = [F.conv(F.substring("h", 8 * x + 1, 8), 16, 10).cast("long") / F.lit(4294967296.0) for x in range(8)]
-    shares = drawn.select("j", "n", "d", *[v.alias(f"u{x}") for x, v in enumerate(u)])
-    k = [sum((F.when(F.col(f"u{x}") >= c, 1).otherwise(0) for c in POISSON), F.lit(0)) for x in range(8)]
-    sums = shares.select("j", "n", "d", *[w.alias(f"k{x}") for x, w in enumerate(k)]).groupBy("j").agg(*[F.sum(F.col(f"k{x}") * F.col(c)).alias(f"{c}{x}") for x in range(8) for c in "dn"])
-    each = F.array(*[F.struct((F.col("j") * 8 + x).alias("i"), F.try_divide(f"d{x}", f"n{x}").alias("mean")) for x in range(8)])
-    return sums.select(F.explode(each).alias("e")).select("e.i", "e.mean").where(F.col("i") < resamples)
+    per = wide.groupBy(cluster).agg(F.count("*").cast("double").alias("n"), F.sum(F.col("b") - F.col("a")).cast("double").alias("d"))
+    words = -(-resamples // 8)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, steps = np.zeros((2, 8 * words)), [f"{seed}:{j}".encode() for j in range(words)]
+        for batch in batches:
+            names = [b"" if c is None else b":" + c.encode() for c in batch.column(0).to_pylist()]
+            numbers = np.array([batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)])
+            for at in range(0, len(names), 256):
+                some = names[at : at + 256]
+                raw = b"".join(sha256(s + n).digest() for n in some for s in steps)
+                counts = np.searchsorted(POISSON, np.frombuffer(raw, dtype=">u4").astype(np.float64) / 4294967296.0, side="right")
+                sums += np.nan_to_num(numbers[:, at : at + 256]) @ counts.reshape(len(some), 8 * words)
+        if sums[0].any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums[0][:resamples]), pa.array(sums[1][:resamples])], ["i", "n", "d"])
+
+    sums = per.select(F.col(cluster).cast("string"), "n", "d").mapInArrow(draw, "i long, n double, d double")
+    return sums.groupBy("i").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).select(F.col("i").cast("int").alias("i"), F.try_divide("d", "n").alias("mean"))
 
 
 def order_interval(samples: DataFrame, value: str = "mean", low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -122,7 +122,7 @@ def wilson_ci(spark, sf):
 
 @query("latency_percentiles", "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def latency_percentiles(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), *metrics.latency("value"))
+    return metrics.quantiles(table(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("class_balance_median", """WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1) SELECT min(n) AS least, (list_sort(list(n)))[len(list(n)) // 2 + 1] AS median, max(n) AS most, count(*) AS classes FROM c""")
