@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.lineage import stable
-from gristmill.operators.skew import hot_limit
+from gristmill.operators.skew import hot_limit, spread_join
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -50,3 +53,68 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return found.unionByName(roots).unionByName(alone.select(F.col("a").alias("node"), F.col("a").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+
+
+@dataclass
+class Forest:
+    """Components that have grown batch by batch. ``nodes``: ``node, component``. ``components``: ``component, split, batch, size``.
+
+    A component's name is its smallest node; ``batch`` is that of its oldest part, whose split it keeps.
+    """
+
+    nodes: DataFrame
+    components: DataFrame
+
+    def save(self, path: str) -> None:
+        """Writes both tables below ``path``, which must be new."""
+        self.nodes.write.parquet(f"{path}/nodes")
+        self.components.write.parquet(f"{path}/components")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Forest:
+        return cls(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/components"))
+
+
+def _named(edges: DataFrame, end: str, nodes: DataFrame) -> DataFrame:
+    """``edges`` with the component of ``end`` in its place, or itself where it is new; hubs stay where they are."""
+    ends = edges.groupBy(end).agg(F.count("*").alias("_c"))
+    known = ends.join(nodes.select(F.col("node").alias(end), F.col("component").alias("_to")), end, "left")
+    side = stable(known.select(end, F.coalesce("_to", end).alias("_to"), "_c"))
+    found = spread_join(edges, side, end, "_c", side.agg(F.sum("_c")).first()[0] or 0)
+    return stable(found.drop(end).withColumnRenamed("_to", end))
+
+
+def grow(forest: Forest | None, edges: DataFrame, batch: int, split_of: Callable[[Column], Column], a: str = "a", b: str = "b") -> tuple[Forest, DataFrame]:
+    """The forest with the edges of a new batch, and ``component, split, lost_component, lost_split`` of what had to change its split.
+
+    Only the roots of trees that the new edges touch are contracted; all other components keep their rows as they are.
+    The components are those of one run over all edges so far. A component made in this batch gets ``split_of`` its
+    name. One that grows, or takes in others, keeps the split of its oldest part (the first batch, then the smallest
+    name), so later batches move as few nodes as can be: those of younger parts with another split, which are reported.
+
+    Batches must come with rising numbers. Nodes may be of any ordered type; self-loops make nodes, null ends are ignored.
+    """
+    pairs = stable(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    kind = pairs.schema["a"].dataType
+    if forest is None:
+        spark = edges.sparkSession
+        forest = Forest(spark.createDataFrame([], "node int, component int").select(F.col("node").cast(kind), F.col("component").cast(kind)),
+                        spark.createDataFrame([], "component int, split string, batch int, size long").withColumn("component", F.col("component").cast(kind)))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    fresh = stable(ends.join(forest.nodes, "node", "left_anti"))
+    roots = stable(connected_components(_named(_named(pairs, "a", forest.nodes), "b", forest.nodes)).withColumnRenamed("node", "_root").withColumnRenamed("component", "_top"))
+    alone = fresh.select(F.col("node").alias("component"), F.lit(None).cast("string").alias("split"), F.lit(batch).alias("batch"), F.lit(1).cast("long").alias("size"))
+    parts = forest.components.unionByName(alone).join(roots, F.col("component") == F.col("_root"), "left").withColumn("_top", F.coalesce("_top", "component")).drop("_root")
+    parts = stable(parts)  # one row for each component before, and each new node
+
+    # Of the parts of a component the oldest with a split decides; new nodes have none yet.
+    oldest = F.min_by("split", F.when(F.col("split").isNotNull(), F.struct("batch", "component")))
+    made = parts.groupBy("_top").agg(oldest.alias("_kept"), F.min("batch").alias("batch"), F.sum("size").alias("size"))
+    made = stable(made.select(F.col("_top").alias("component"), F.coalesce("_kept", split_of(F.col("_top"))).alias("split"), "batch", "size"))
+    lost = parts.where("split IS NOT NULL").select(F.col("component").alias("lost_component"), F.col("split").alias("lost_split"), F.col("_top").alias("component"))
+    conflicts = lost.join(made.select("component", "split"), "component").where("lost_split <> split").select("component", "split", "lost_component", "lost_split")
+
+    moved = parts.select(F.col("component").alias("_old"), "_top", "size")
+    before = forest.nodes.select("node", F.col("component").alias("_old")).unionByName(fresh.select("node", F.col("node").alias("_old")))
+    nodes = spread_join(before, moved, "_old", "size", moved.agg(F.sum("size")).first()[0] or 0)
+    return Forest(stable(nodes.select("node", F.col("_top").alias("component"))), made), conflicts
