@@ -64,13 +64,16 @@ def components(df: DataFrame, row: str, code: str, bits: int, radius: int) -> Da
     return spread_join(rows, named, code, "n", named.agg(F.sum("n")).first()[0] or 0).select(F.col(row).alias("node"), "component")
 
 
-def prefix_join(names: DataFrame, name: str, prefixes: DataFrame, prefix: str, head: int = 4) -> DataFrame:
-    """Names that start with a prefix, joined on the first characters of both, so the join has an equality key.
+def prefix_join(names: DataFrame, name: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """Names beside each of ``prefixes`` that they start with; the columns of both.
 
-    Prefixes shorter than ``head`` characters are few and join by their own length.
+    A name is cut to each length that some prefix has, and what is left must equal the prefix: a join by the whole
+    prefix, so names that share a long beginning do not meet prefixes that they lack. There are as many lengths as the
+    longest prefix has characters at most. The rows of a prefix that very many names have stay where they are. The empty
+    prefix fits all names; nulls fit none. ``prefixes`` should be distinct and are counted with the names first.
     """
-    n = F.least(F.length(prefix), F.lit(head))
-    lengths = prefixes.select(n.alias("_n")).distinct()  # head + 1 values at most
-    keyed = names.crossJoin(F.broadcast(lengths)).withColumn("_key", F.substring(F.col(name), F.lit(1), F.col("_n")))
-    wanted = prefixes.withColumn("_n", n).withColumn("_key", F.substring(F.col(prefix), F.lit(1), F.col("_n")))
-    return keyed.join(wanted, ["_n", "_key"]).where(F.startswith(F.col(name), F.col(prefix))).drop("_n", "_key")
+    lengths = prefixes.where(F.col(prefix).isNotNull()).select(F.length(prefix).alias("_n")).distinct()
+    keyed = names.join(F.broadcast(lengths), F.length(name) >= F.col("_n")).withColumn("_key", F.substring(F.col(name), F.lit(1), F.col("_n"))).drop("_n")
+    counts = keyed.groupBy("_key").agg(F.count("*").alias("_c"))
+    side = stable(prefixes.withColumn("_key", F.col(prefix)).join(counts, "_key"))
+    return spread_join(keyed, side, "_key", "_c", side.agg(F.sum("_c")).first()[0] or 0).drop("_key")

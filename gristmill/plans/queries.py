@@ -462,7 +462,7 @@ def prefix_range_lookup(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
     host = F.regexp_extract("url", "^[a-z]+://[^/]+/", 0)
     prefixes = pages.select(F.substring(host, F.lit(1), (8 + F.col("page_id") % 16).cast("int")).alias("prefix")).distinct()
-    return prefix_join(pages, "url", prefixes, "prefix", head=16).select("page_id", "prefix")
+    return prefix_join(pages, "url", prefixes, "prefix").select("page_id", "prefix")
 
 
 @query("dimension_lookups", """SELECT n_name, r_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
