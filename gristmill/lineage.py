@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made in each open ``scope``, the innermost last.
+_SCOPES: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and the master is local."""
@@ -36,6 +41,34 @@ def stable(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table written to the shared folder; for wide rows, as files are compressed."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/gristmill-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; an open ``scope`` removes what is there at its end."""
+    path = f"{shared_dir(spark).rstrip('/')}/gristmill-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder or file of any file system that Spark knows; whether it was there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What ``stored`` and ``scratch`` make inside is removed at the end, so results must be written before.
+
+    Scopes may lie in each other, each with its own tables; the shared folder is then the same size after any number of runs.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            removed(spark, path)

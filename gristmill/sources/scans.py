@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import http.client
+import inspect
 import io
 import json
 import os
@@ -17,7 +20,7 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 #: The driver's tables.
@@ -164,10 +167,15 @@ class _PagedReader(DataSourceReader):
 
 
 class LineSource(DataSource):
-    """JSON lines streamed from addresses, one partition each: format ``http_lines``.
+    """JSON lines of addresses or paths: format ``http_lines``, as a table or a stream.
 
-    Options: ``locations`` (addresses or paths, one a line), ``retries``. Lines are passed on as they arrive, so a file
-    of any size needs the memory of one line; a blank line is passed over, a malformed one fails the task.
+    Options: ``locations`` (one a line), ``retries`` (in a row without a byte, 3), ``pause`` (seconds before the first retry,
+    doubled each time; 1, and 15 where the server says 429). Lines are passed on as they arrive, so a file of any size
+    needs the memory of one line. A connection that is cut goes on at the byte that it had reached, by a ranged request,
+    so no line is lost or doubled. A blank line is passed over, a malformed one fails the task.
+
+    As a stream, an offset is the number of bytes of whole lines of each location; a batch reads the spans that are new.
+    ``line_no`` counts from the start of a span, and ``at`` is the line's first byte.
     """
 
     @classmethod
@@ -175,29 +183,112 @@ class LineSource(DataSource):
         return "http_lines"
 
     def schema(self) -> str:
-        return "location string, line_no long, line string"
+        return "location string, line_no long, line string, at long"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _LineReader(self.options)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _LineStream(self.options)
+
+
+def _bytes_from(location: str, first: int, end: int | None) -> Iterator[bytes]:
+    """Bytes of a location from ``first`` to before ``end``; an error where the answer ends early."""
+    if not location.startswith(("http://", "https://")):
+        with open(location, "rb") as f:
+            f.seek(first)
+            left = end - first if end is not None else None
+            while left != 0 and (some := f.read(1 << 16 if left is None else min(left, 1 << 16))):
+                left = None if left is None else left - len(some)
+                yield some
+        return
+    from urllib.request import Request, urlopen
+
+    span = f"bytes={first}-{'' if end is None else end - 1}"
+    with urlopen(Request(location, headers={"Range": span} if first or end is not None else {}), timeout=60) as f:
+        size, got = int(f.headers["Content-Length"]), 0
+        if first and f.status != 206:
+            raise ValueError(f"{location} does not answer ranges")
+        while some := f.read(1 << 16):
+            got += len(some)
+            yield some
+        if got != size:
+            raise OSError(f"{location} was cut after {got} of {size} bytes")
+
+
+def _lines_from(location: str, first: int, end: int | None, retries: int, pause: float) -> Iterator[tuple[int, bytes]]:
+    """First byte and content of each line of a span, over as many connections as it takes."""
+    from urllib.error import HTTPError
+
+    held, at, failed = b"", first, 0
+    while True:
+        try:
+            for some in _bytes_from(location, at + len(held), end):
+                failed = 0
+                held += some
+                *whole, held = held.split(b"\n")
+                for line in whole:
+                    yield at, line
+                    at += len(line) + 1
+            break
+        except (OSError, http.client.HTTPException) as e:  # an HTTPError is an OSError
+            code = e.code if isinstance(e, HTTPError) else None
+            if code == 416 and first < at:  # nothing is left after the last byte
+                break
+            failed += 1
+            if failed > retries or code is not None and code not in (429, 500, 502, 503, 504):
+                raise
+            time.sleep(pause * (15 if code == 429 else 1) * 2 ** (failed - 1))
+    if held:
+        yield at, held
+
 
 class _LineReader(DataSourceReader):
     def __init__(self, options):
         self.locations = [x for x in options["locations"].split("\n") if x]
+        self.retries, self.pause = int(options.get("retries", "3")), float(options.get("pause", "1"))
 
     def partitions(self):
-        return [InputPartition(x) for x in self.locations]
+        return [InputPartition((x, 0, None)) for x in self.locations]
 
     def read(self, partition):
-        from urllib.request import urlopen
+        where, first, end = partition.value
+        for i, (at, raw) in enumerate(_lines_from(where, first, end, self.retries, self.pause)):
+            line = raw.decode("utf-8").strip()
+            if line:
+                json.loads(line)
+                yield where, i, line, at
+
+
+class _LineStream(DataSourceStreamReader):
+    def __init__(self, options):
+        self.lines = _LineReader(options)
+
+    def initialOffset(self):
+        return {x: 0 for x in self.lines.locations}
 
-        where = partition.value
-        with urlopen(where, timeout=60) if where.startswith(("http://", "https://")) else open(where, "rb") as f:
-            for i, raw in enumerate(f):
-                line = raw.decode("utf-8").strip()
-                if line:
-                    json.loads(line)
-                    yield where, i, line
+    def latestOffset(self):
+        return {x: _whole_lines(x) for x in self.lines.locations}
+
+    def partitions(self, start, end):
+        return [InputPartition((x, start.get(x, 0), end[x])) for x in self.lines.locations if end[x] > start.get(x, 0)]
+
+    def read(self, partition):
+        return self.lines.read(partition)
+
+
+def _whole_lines(location: str) -> int:
+    """Bytes of a location up to the end of its last whole line, found from its end."""
+    size, back = _length(location), 1 << 16
+    while size:
+        first = max(0, size - back)
+        cut = _span(location, first, size - first).rfind(b"\n")
+        if cut >= 0:
+            return first + cut + 1
+        if not first:
+            break
+        back *= 8
+    return 0
 
 
 def _span(location: str, first: int, size: int) -> bytes:
@@ -384,15 +475,56 @@ def builder(name: str):
     return add
 
 
-def built(spark: SparkSession, name: str, sf_dir: str, cache: str) -> DataFrame:
-    """The rows of a registered builder, made once: later calls read what is stored under ``cache`` for it."""
-    where = f"{cache.rstrip('/')}/{name}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")  # a run that was cut off is made again
+def input_lock(spark: SparkSession, *paths: str) -> str:
+    """Digest of the files below some paths: their names, lengths and times, as the file system lists them."""
+    found = []
+    for path in paths:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = fs.listFiles(root, True) if fs.exists(root) else None
+        while files is not None and files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def stage_key(name: str, lock: str, params: dict) -> str:
+    """What a stage's rows depend on: the builder's name and code, the lock of its inputs, and its parameters."""
+    f = BUILDERS[name]
+    try:
+        code = inspect.getsource(f)
+    except OSError:  # made at a prompt
+        code = f.__code__.co_code.hex() + repr(f.__code__.co_consts)
+    return hashlib.sha256(json.dumps([name, code, lock, params], sort_keys=True, default=str).encode()).hexdigest()[:32]
+
+
+def built(spark: SparkSession, name: str, sf_dir: str, cache: str, lock: str | None = None, **params) -> DataFrame:
+    """The rows of a registered builder, made once for each state of its inputs, parameters and code.
+
+    They are stored under ``cache/name/key``. ``lock`` stands for the state of the inputs (see ``sinks.lock_digest``); by
+    default it is that of the files below ``sf_dir``. If it changes, rows are made again; what is stored for another
+    state is not read, and stays until ``sweep``. A run that was cut off is made again.
+    """
+    key = stage_key(name, input_lock(spark, sf_dir) if lock is None else lock, params)
+    where = f"{cache.rstrip('/')}/{name}/{key}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        BUILDERS[name](spark, sf_dir).write.mode("overwrite").parquet(where)
+        BUILDERS[name](spark, sf_dir, **params).write.mode("overwrite").parquet(where)
     return spark.read.parquet(where)
 
 
+def sweep(spark: SparkSession, cache: str, keep: set[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Removes all stages ``(name, key)`` below ``cache`` but those in ``keep``; what was removed. Run it while no job reads them."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    fs, gone = root.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for stage in fs.listStatus(root) if fs.exists(root) else []:
+        for one in fs.listStatus(stage.getPath()):
+            found = (stage.getPath().getName(), one.getPath().getName())
+            if found not in keep and fs.delete(one.getPath(), True):
+                gone.append(found)
+    return sorted(gone)
+
+
 def probe(df: DataFrame, rows: int = 3) -> DataFrame:
     """``column, type, n, nulls, first`` of a source: its schema, counts, and the first of a few rows as JSON, in one pass."""
     stats = df.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
