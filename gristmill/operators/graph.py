@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from gristmill.lineage import stable
 from gristmill.operators.skew import hot_limit, spread_join
@@ -96,13 +97,15 @@ def grow(forest: Forest | None, edges: DataFrame, batch: int, split_of: Callable
     """
     pairs = stable(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
     kind = pairs.schema["a"].dataType
+    first = forest is None
     if forest is None:
         spark = edges.sparkSession
-        forest = Forest(spark.createDataFrame([], "node int, component int").select(F.col("node").cast(kind), F.col("component").cast(kind)),
-                        spark.createDataFrame([], "component int, split string, batch int, size long").withColumn("component", F.col("component").cast(kind)))
+        none = StructType([StructField("node", kind), StructField("component", kind)])
+        forest = Forest(spark.createDataFrame([], none), spark.createDataFrame([], StructType([StructField("component", kind)]).add("split", "string").add("batch", "integer").add("size", "long")))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     fresh = stable(ends.join(forest.nodes, "node", "left_anti"))
-    roots = stable(connected_components(_named(_named(pairs, "a", forest.nodes), "b", forest.nodes)).withColumnRenamed("node", "_root").withColumnRenamed("component", "_top"))
+    touching = pairs if first else _named(_named(pairs, "a", forest.nodes), "b", forest.nodes)
+    roots = stable(connected_components(touching).toDF("_root", "_top"))
     alone = fresh.select(F.col("node").alias("component"), F.lit(None).cast("string").alias("split"), F.lit(batch).alias("batch"), F.lit(1).cast("long").alias("size"))
     parts = forest.components.unionByName(alone).join(roots, F.col("component") == F.col("_root"), "left").withColumn("_top", F.coalesce("_top", "component")).drop("_root")
     parts = stable(parts)  # one row for each component before, and each new node
