@@ -5,7 +5,8 @@ A sentence ends at a word that ends in a full stop, an exclamation or a question
 sentence is cut alike wherever a passage enters or leaves it. Any ``WINDOW`` words in a row hold a cut, and the cuts
 of a passage depend on the passage alone but for ``WINDOW - 1`` words at either end. A *span* is the run of
 consecutive sentences from each sentence on that has at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words:
-a passage of ``MIN_WORDS + 3 * (WINDOW - 1)`` = 51 words or more always holds a whole one.
+a passage of ``MIN_WORDS + 3 * (WINDOW - 1)`` = 51 words or more always holds a whole one. One more span goes from the
+last of these starts to the end of the text, so that a whole copy of a text leaves none of its words.
 
 All spans of all documents are hashed (96 bits) and range-partitioned by ``(hash, document, position)``; in that
 order every row but the first of its hash is a repeat, so one streamed pass finds them, and a span that a third of
@@ -78,13 +79,19 @@ def sentences(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def spans(texts: list[list[str]], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(text, hash, more bits of it, first sentence, end sentence)`` of every span, by text and first sentence."""
+    """``(text, hash, more bits of it, first sentence, end sentence)`` of every span, by text, first and end sentence.
+
+    A text's spans begin at its first sentences in turn; where the last of them ends before the text, one more from the same
+    sentence on goes to the end.
+    """
     h, at, upto = sentences(texts)
     many = np.diff(np.r_[0, upto])
     text, own = np.repeat(np.arange(len(texts)), many), np.arange(len(at) - 1)
     end = np.maximum(np.searchsorted(at, at[:-1] + min_words), own + min_sentences)
     keep = end <= upto[text]
     text, own, end = text[keep], own[keep], end[keep]
+    last = np.flatnonzero(np.r_[text[1:] != text[:-1], True][: len(text)] & (end < upto[text]))
+    text, own, end = np.insert(text, last + 1, text[last]), np.insert(own, last + 1, own[last]), np.insert(end, last + 1, upto[text[last]])
     powers, inverse = _KEPT if len(h) < 2 * _GO else (_powers(len(h) + 1, _MULT), _powers(len(h) + 1, _INVERSE))
     begin, size = at[own], (at[end] - at[own]).astype(np.uint64)
 
@@ -108,9 +115,10 @@ def _rows(min_sentences: int, min_words: int):
             texts: list[list[str]] = []
 
             def found() -> pa.RecordBatch:
-                text, h, more, first, _ = spans(texts, min_sentences, min_words)
+                text, h, more, _, _ = spans(texts, min_sentences, min_words)
                 row = pa.array(np.array(rows, dtype=np.int64)[text])
-                columns = [pa.array(h.view(np.int64)), pa.array(more), batch.column(0).take(row), batch.column(1).take(row), pa.array(first.astype(np.int32))]
+                place = np.arange(len(text)) - np.searchsorted(text, text)  # of the span in its text
+                columns = [pa.array(h.view(np.int64)), pa.array(more), batch.column(0).take(row), batch.column(1).take(row), pa.array(place.astype(np.int32))]
                 return pa.RecordBatch.from_arrays(columns, ["hash", "more", "doc_id", "mark", "pos"])
 
             load = 0
@@ -168,7 +176,7 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """``doc_id, mark, repeats``: numbers of the first sentences of a document's spans that are repeats.
+    """``doc_id, mark, repeats``: which of a document's spans are repeats, numbered in its order.
 
     The first occurrence of a span is that of the smallest id, then mark, then position. Defined cases: null and
     empty texts and those shorter than a span have none; rows that repeat an id and a text are one document here;
