@@ -108,11 +108,13 @@ def class_cap_union(df: DataFrame, label: str, cap: int, rest: int, order: list)
     return ranked.where(F.col("_rn") <= cap).unionByName(ranked.where(F.col("_rn") > cap).orderBy(*order).limit(rest)).drop("_rn")
 
 
-def round_robin(df: DataFrame, source: str, label: str, order: list, cap: int) -> DataFrame:
+def round_robin(df: DataFrame, source: str, label: str, order: list, cap: int, from_end: bool = False) -> DataFrame:
     """One row of each label in turn, up to ``cap`` rows a source, with the turn ``k``.
 
-    A label gives ``cap`` rows at most, which each task picks before rows are shuffled.
+    Labels give their first rows by ``order``, or with ``from_end`` their last. A label gives ``cap`` rows at most, which
+    each task picks before rows are shuffled.
     """
+    order = [F.desc_nulls_last(c) if isinstance(c, str) else c.desc_nulls_last() for c in order] if from_end else order
     inner = df.withColumn("_rn", F.row_number().over(Window.partitionBy(source, label).orderBy(*order))).where(F.col("_rn") <= cap)
     outer = inner.withColumn("k", F.row_number().over(Window.partitionBy(source).orderBy("_rn", label)))
     return outer.where(F.col("k") <= cap).drop("_rn")

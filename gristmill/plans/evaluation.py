@@ -329,7 +329,27 @@ def nearest_negatives(spark, sf):
     return spatial.nearest_negatives(_boxes(spark, sf), "grp", F.col("element") == 1, 3).select("grp", "element", "rank", "distance")
 
 
-@query("greedy_iou_options")
+def _iou_sql(a: str, b: str) -> str:
+    """Overlap of two boxes as SQL, each given by a prefix of its columns or fields."""
+    w = f"greatest(0.0, least({a}l + {a}w, {b}l + {b}w) - greatest({a}l, {b}l))"
+    h = f"greatest(0.0, least({a}t + {a}h, {b}t + {b}h) - greatest({a}t, {b}t))"
+    return f"coalesce(({w}) * ({h}) / nullif({a}w * {a}h + {b}w * {b}h - ({w}) * ({h}), 0), 0.0)"
+
+
+# A fold: each step takes the next element of a group's queue if it is clear of those taken before.
+@query(
+    "greedy_iou_options",
+    f"""WITH RECURSIVE {_NEG.replace("b.*, tr,", "b.*, tr, tl, tt, tw, th,")},
+    q AS (SELECT grp, {{'element': element, 'l': l, 't': t, 'w': w, 'h': h}} AS e,
+                 row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN role <> tr THEN 1 ELSE 0 END, distance, element) AS i
+          FROM d WHERE {_iou_sql("", "t")} < 0.1),
+    s AS (SELECT grp, 1 AS i, [e] AS taken FROM q WHERE i = 1
+          UNION ALL
+          SELECT grp, q.i, CASE WHEN len(taken) < 3 AND len(list_filter(taken, lambda o: {_iou_sql("q.e.", "o.")} >= 0.1)) = 0 THEN list_append(taken, q.e) ELSE taken END
+          FROM s JOIN q USING (grp) WHERE q.i = s.i + 1),
+    z AS (SELECT grp, taken FROM s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY i DESC) = 1)
+    SELECT grp, unnest(list_transform(taken, lambda o: o.element)) AS element, unnest(range(1, len(taken) + 1)) AS place FROM z""",
+)
 def greedy_iou_options(spark, sf):
     return spatial.greedy_distinct(_boxes(spark, sf), "grp", F.col("element") == 1, 3)
 

@@ -356,6 +356,17 @@ def round_robin_cap(spark, sf):
     return sampling.round_robin(table(spark, sf, "documents").select("doc_id", "source", "lang"), "source", "lang", [digest("doc_id")], 20)
 
 
+@query(
+    "round_robin_from_end",
+    """WITH a AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id DESC) AS rn FROM documents),
+    b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rn, lang) AS k FROM a) SELECT doc_id, source, lang, k::INT AS k FROM b WHERE k <= 30""",
+)
+def round_robin_from_end(spark, sf):
+    """Each source's languages in turn give their longest document that is left: the end of a list by length."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    return sampling.round_robin(d, "source", "lang", ["n_chars", "doc_id"], 30, from_end=True).select("doc_id", "source", "lang", "k")
+
+
 @query("quota_with_fallback", """WITH a AS (SELECT event_id, event_type, user_id % 5 AS fam, row_number() OVER (PARTITION BY event_type, user_id % 5 ORDER BY sha256(event_id::VARCHAR)) AS rn FROM events),
     b AS (SELECT *, CASE WHEN rn <= 20 THEN 1 ELSE 2 END AS pass FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY pass, sha256(event_id::VARCHAR)) AS k FROM b)
     SELECT event_id, event_type, fam, pass::INT AS pass FROM c WHERE k <= 130""")
@@ -365,7 +376,16 @@ def quota_with_fallback(spark, sf):
     return sampling.quota_with_fallback(e, "event_type", "fam", [digest("event_id")], 20, totals).select("event_id", "event_type", "fam", "pass")
 
 
-@query("hard_diverse_interleave")
+# A fold: of each source the first of the hard and of the diverse order in turn that is not taken yet.
+@query(
+    "hard_diverse_interleave",
+    """WITH RECURSIVE o AS (SELECT source, list(doc_id ORDER BY n_chars DESC, doc_id) AS hard, list(doc_id ORDER BY sha256(doc_id::VARCHAR), doc_id) AS diverse FROM documents GROUP BY source),
+    s AS (SELECT source, hard, diverse, 0 AS turn, []::BIGINT[] AS taken FROM o
+          UNION ALL
+          SELECT source, hard, diverse, turn + 1, list_append(taken, list_filter(CASE WHEN turn % 2 = 0 THEN hard ELSE diverse END, lambda x: NOT list_contains(taken, x))[1])
+          FROM s WHERE turn < least(20, len(hard)))
+    SELECT source, taken[-1] AS doc_id, (turn - 1)::BIGINT AS turn FROM s WHERE turn > 0""",
+)
 def hard_diverse_interleave(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars", digest("doc_id").alias("h"))
     return sampling.interleave(d, "source", "doc_id", "n_chars", "h", 20)

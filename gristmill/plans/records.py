@@ -155,7 +155,17 @@ def convert_segment_captions(spark, sf):
     return _brief(C.segment_captions(o, _source("segments")))
 
 
-@query("convert_interface_actions")
+# Which elements are the nearest does not show in the brief rows, but how many there are of another name does.
+@query(
+    "convert_interface_actions",
+    """WITH e AS (SELECT l_orderkey AS key, l_linenumber AS element, l_returnflag AS role, l_returnflag || ' ' || l_partkey AS name, l_quantity AS l FROM lineitem),
+    t AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY element, role, name, l) = 1),
+    n AS (SELECT t.key, t.name, 1 + least(3, count(DISTINCT e.name) FILTER (WHERE e.element <> t.element AND lower(e.name) <> lower(t.name))) AS n
+          FROM t JOIN e USING (key) GROUP BY 1, 2)
+    SELECT key::VARCHAR AS row, CASE WHEN ('0x' || substr(sha256((key % 100)::VARCHAR), 1, 8))::BIGINT % 100 < 20 THEN 'dev' ELSE 'train' END AS split,
+           CASE WHEN n > 1 THEN 'choice' END AS kind, CASE WHEN n > 1 THEN n ELSE 0 END AS n_options,
+           CASE WHEN n > 1 THEN name END AS gold_text, CASE WHEN n < 2 THEN 'no_negatives' END AS reason FROM n""",
+)
 def convert_interface_actions(spark, sf):
     """Lines of an order are the elements of a screen; the first line is the target."""
     element = F.struct(F.col("l_linenumber").alias("element"), F.col("l_returnflag").alias("role"), F.concat_ws(" ", "l_returnflag", "l_partkey").alias("name"), F.col("l_quantity").alias("l"), (F.col("l_linenumber") * 5.0).alias("t"), (1 + F.col("l_discount") * 100).alias("w"), (1 + F.col("l_tax") * 100).alias("h"))
@@ -164,7 +174,21 @@ def convert_interface_actions(spark, sf):
     return _brief(C.interface_actions(raw, _source("screens")))
 
 
-@query("convert_message_queues")
+_AGE = _mod("'age:' || event_id", 240)
+_ABSENT = _mod("'pilot:queues:train:' || q", 5)
+
+
+@query(
+    "convert_message_queues",
+    f"""WITH r AS (SELECT event_id, event_type, row_number() OVER (ORDER BY sha256('pilot:' || event_id), event_id) - 1 AS r FROM events),
+    m AS (SELECT r // 4 AS q, event_type AS intent, {_AGE} + 1 AS age, row_number() OVER (PARTITION BY r // 4 ORDER BY sha256('order:' || event_id)) AS i FROM r WHERE r < 2000),
+    g AS (SELECT q, list(intent ORDER BY i) AS mine FROM m GROUP BY q HAVING count(*) = 4),
+    n AS (SELECT *, lead(mine) OVER (ORDER BY q) AS following FROM g),
+    f AS (SELECT q, mine, list_filter(following, lambda x: NOT list_contains(mine, x))[1] AS foreign_intent FROM n),
+    w AS (SELECT q, CASE WHEN foreign_intent IS NOT NULL AND {_ABSENT} = 0 THEN foreign_intent ELSE mine[1] END AS wanted FROM f),
+    o AS (SELECT w.q, i FROM w LEFT JOIN m ON m.q = w.q AND m.intent = wanted QUALIFY row_number() OVER (PARTITION BY w.q ORDER BY age DESC, i) = 1)
+    SELECT 'train:' || q AS row, 'train' AS split, 'choice' AS kind, 5::BIGINT AS n_options, 'Take ' || coalesce('message_' || i, 'none') AS gold_text, NULL::VARCHAR AS reason FROM o""",
+)
 def convert_message_queues(spark, sf):
     raw = table(spark, sf, "events").select(F.lit("train").alias("split"), F.col("event_id").alias("id"), F.concat_ws(" ", "event_type", "event_id").alias("text"), F.col("event_type").alias("intent"))
     return _brief(C.message_queues(raw, _source("queues"), 500))
