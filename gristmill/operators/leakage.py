@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.lineage import stable
+
+from .sampling import ranked
+from .skew import spread_join
 from .splits import priority
 
 
@@ -14,23 +18,29 @@ def tagged_keys(df: DataFrame, row: str, keys: dict[str, Column], *carry: str) -
     return df.select(row, *carry, F.explode(pairs).alias("_k")).select(row, *carry, "_k.kind", "_k.key").where("key IS NOT NULL")
 
 
+def _at_keys(own: DataFrame, total: int, *aggregates: Column, where: str) -> DataFrame:
+    """Rows of ``tagged_keys`` beside what is aggregated over their key, for keys that meet ``where``; no key's rows gather."""
+    one = own.withColumn("_at", F.struct("kind", "key"))
+    side = stable(one.groupBy("_at").agg(F.count("*").alias("_c"), *aggregates).where(where))
+    return spread_join(one, side, "_at", "_c", total)
+
+
 def owner_split(df: DataFrame, row: str, keys: dict[str, Column]) -> DataFrame:
     """Rows of which no key is owned by a more protected split; one pass, so dropped rows still own.
 
     The keys of a key group meet as pre-aggregated (key, highest priority) rows only.
     """
-    own = tagged_keys(df.withColumn("_p", priority(F.col("split"))), row, keys, "_p")
-    owner = own.groupBy("kind", "key").agg(F.max("_p").alias("_owner"))
-    lost = own.join(owner, ["kind", "key"]).where("_owner > _p").select(row).distinct()
-    return df.join(lost, row, "left_anti")
+    own = stable(tagged_keys(df.withColumn("_p", priority(F.col("split"))), row, keys, "_p"))
+    mixed = _at_keys(own, own.count(), F.max("_p").alias("_owner"), F.min("_p").alias("_least"), where="_owner > _least")
+    return df.join(mixed.where("_owner > _p").select(row).distinct(), row, "left_anti")
 
 
 def multi_key_anti(df: DataFrame, row: str, keys: dict[str, Column], held_out=("dev", "calibration", "test")) -> DataFrame:
     """Train rows that share any key with a held-out row go; held-out rows stay."""
-    own = tagged_keys(df, row, keys, "split")
-    held = own.where(F.col("split").isin(*held_out)).select("kind", "key").distinct()
-    lost = own.where("split = 'train'").join(held, ["kind", "key"], "left_semi").select(row).distinct()
-    return df.join(lost, row, "left_anti")
+    own = stable(tagged_keys(df, row, keys, "split"))
+    train, held = F.col("split") == "train", F.col("split").isin(*held_out)
+    met = _at_keys(own, own.count(), F.bool_or(train).alias("_train"), F.bool_or(held).alias("_held"), where="_train AND _held")
+    return df.join(met.where(train).select(row).distinct(), row, "left_anti")
 
 
 def protected_anti(df: DataFrame, key: str, protected: DataFrame, when: Column | None = None) -> DataFrame:
@@ -67,22 +77,26 @@ def bijection_audit(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def quarantine_groups(df: DataFrame, group: str, split: str) -> tuple[DataFrame, DataFrame]:
     """Rows of groups in one split, and rows of groups in several."""
-    n = df.groupBy(group).agg(F.count_distinct(split).alias("_n"))
-    marked = df.join(n, group)
+    keyed = df.withColumn("_at", F.struct(group))  # so null is a group too
+    n = stable(keyed.groupBy("_at").agg(F.count_distinct(split).alias("_n"), F.count("*").alias("_c")))
+    marked = spread_join(keyed, n, "_at", "_c", n.agg(F.sum("_c")).first()[0] or 0).drop("_at")
     return marked.where("_n <= 1").drop("_n"), marked.where("_n > 1").drop("_n")
 
 
 def keep_first(df: DataFrame, key: list[str], order: list, report: str | None = None) -> DataFrame:
-    """First row of each key in ``order``; with ``report`` all rows, their place and the kept row's column.
+    """First row of each key in ``order``; with ``report`` all rows, their place ``rn`` and the kept row's column as ``kept``.
 
     Without a report each task sends the first row of a key only (a window group limit), so a key with a third of all
-    rows arrives as one row for each task.
+    rows arrives as one row for each task. With one, places come from ranges of keys and order, and the kept row's column
+    goes back to the rows of a hot key where they are. Null keys are a key.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
-    ranked = df.withColumn("rn", F.row_number().over(w))
     if report is None:
-        return ranked.where("rn = 1").drop("rn")
-    return ranked.withColumn("kept", F.first(report).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        first = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+        return df.withColumn("rn", first).where("rn = 1").drop("rn")
+    places = ranked(df, key, [F.col(c) if isinstance(c, str) else c for c in order], "rn").withColumn("rn", (F.col("rn") + 1).cast("int"))
+    placed = stable(places.withColumn("_at", F.struct(*key)))
+    side = stable(placed.groupBy("_at").agg(F.count("*").alias("_c"), F.max_by(report, -F.col("rn")).alias("kept")))
+    return spread_join(placed, side, "_at", "_c", placed.count()).drop("_at")
 
 
 def coverage(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
@@ -96,8 +110,10 @@ def coverage(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 
 def collapse(df: DataFrame, content: str, label: str, order: list) -> DataFrame:
     """Exact duplicates collapse to their first row; contents with conflicting labels go altogether."""
-    bad = conflicting(df, content, label).select(content)
-    return keep_first(df.join(bad, content, "left_anti"), [content], order)
+    keyed = df.withColumn("_at", F.struct(content))  # so null is a content too
+    labels = stable(keyed.groupBy("_at").agg(F.count_distinct(label).alias("_labels"), F.count("*").alias("_c")))
+    agreed = spread_join(keyed, labels, "_at", "_c", labels.agg(F.sum("_c")).first()[0] or 0).where("_labels <= 1").drop("_labels", "_at")
+    return keep_first(agreed, [content], order)
 
 
 def keys_disjoint(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
