@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import digest, hash8
 from gristmill.lineage import stable
+from gristmill.operators.skew import spread_join
 
 #: Texts of one bucket on average, and of the pool that rows fall back on, for each group.
 BUCKET = 64
@@ -67,19 +68,46 @@ def from_other_groups(df: DataFrame, row: str, group: str, text: str, k: int) ->
 
 
 def from_vocabulary(df: DataFrame, label: str, k: int) -> DataFrame:
-    """``label, other, shared, rank``: for each label the k others with most words in common, ties by hash.
+    """``label, other, shared, rank``: for each label the k others with most words in common.
 
-    Labels meet by the words that they share. One that shares words with fewer than k others is filled up by hash.
+    Others that share two words or more come first, most words first, ties by a digest of both. Two such labels share a word
+    that is not the most frequent one of either, so labels meet by these only, and a word that all labels have brings
+    none together. A label with fewer than k goes on with labels that share one word, drawn from the 64 first by hash
+    of each of its words, then with any, drawn by hash. The words of a label are what stands between single blanks.
     """
     v = df.select(label).where(F.col(label).isNotNull()).distinct()
     words = stable(v.select(label, F.explode(F.array_distinct(F.split(label, " "))).alias("_w")))
-    pairs = words.join(words.withColumnRenamed(label, "other"), "_w").where(F.col(label) != F.col("other")).groupBy(label, "other").agg(F.count("*").cast("int").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.desc("shared"), digest(label, "other")))
-    near = stable(pairs.withColumn("rank", rank).where(F.col("rank") <= k))
-    few = v.join(near.groupBy(label).agg(F.count("*").alias("_n")), label, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).where(F.col("_n") < k)
+    sizes = stable(words.groupBy("_w").agg(F.count("*").alias("_c")))
+    total = sizes.agg(F.sum("_c")).first()[0] or 0
+    counted = spread_join(words, sizes.withColumn("_size", F.col("_c")), "_w", "_c", total)
+    sets = counted.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("_size", "_w"))).alias("_all"))  # rare words first
+    sets = stable(sets.select(label, F.col("_all._w").alias("_all")))
+    keyed = sets.select(label, "_all", F.explode(F.slice("_all", 1, F.size("_all") - 1)).alias("_w"))
+    met = keyed.join(keyed.select(F.col(label).alias("other"), F.col("_all").alias("_theirs"), F.col("_w").alias("_v")), F.col("_w") == F.col("_v"))
+    pairs = met.where(F.col(label) != F.col("other")).select(label, "other", F.size(F.array_intersect("_all", "_theirs")).alias("shared")).where("shared > 1").distinct()
+    rank = lambda *first: F.row_number().over(Window.partitionBy(label).orderBy(*first, digest(label, "other")))
+    out = stable(pairs.withColumn("rank", rank(F.desc("shared"))).where(F.col("rank") <= k))
+
+    def short(found: DataFrame) -> DataFrame:
+        return v.join(found.groupBy(label).agg(F.count("*").alias("_n")), label, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).where(F.col("_n") < k)
+
+    def filled(found: DataFrame, some: DataFrame, shared: int) -> DataFrame:
+        more = some.withColumn("_i", rank() + F.col("_n")).where(F.col("_i") <= k)
+        return found.unionByName(more.select(label, "other", F.lit(shared).alias("shared"), F.col("_i").cast("int").alias("rank")))
+
+    few = stable(short(out))
     if few.isEmpty():
-        return near
+        return out
+    place = F.row_number().over(Window.partitionBy("_w").orderBy(digest(F.lit("pool"), label), label))
+    pool = words.withColumn("_i", place).where(F.col("_i") <= BUCKET).groupBy("_w").agg(F.collect_list(label).alias("_pool"))
+    asking = stable(words.join(few, label))
+    side = stable(pool.join(asking.groupBy("_w").agg(F.count("*").alias("_c")), "_w"))
+    one = spread_join(asking, side, "_w", "_c", asking.count()).select(label, "_n", "_w", F.explode("_pool").alias("other")).where(F.col(label) != F.col("other"))
+    mine, theirs = F.split(label, " "), F.split("other", " ")
+    out = stable(filled(out, one.where(F.size(F.array_intersect(mine, theirs)) == 1).select(label, "_n", "other").distinct(), 1))
+    few = stable(short(out))
+    if few.isEmpty():
+        return out
     any_ = from_other_groups(v.withColumn("_g", F.col(label)).withColumn("_t", F.col(label)), label, "_g", "_t", 2 * k)
-    rest = any_.withColumnRenamed("_t", "other").join(few, label).join(near.select(label, "other"), [label, "other"], "left_anti")
-    more = rest.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy("rank")) + F.col("_n")).where(F.col("rank") <= k)
-    return near.unionByName(more.select(label, "other", F.lit(0).alias("shared"), F.col("rank").cast("int").alias("rank")))
+    rest = any_.withColumnRenamed("_t", "other").join(few, label).where(~F.arrays_overlap(F.split(label, " "), F.split("other", " ")))
+    return filled(out, rest.select(label, "_n", "other"), 0)

@@ -61,3 +61,43 @@ def test_numbers_and_wide_k(spark):
     df = spark.range(300).select("id", (F.col("id") % 2).alias("g"), F.concat(F.lit("t"), F.col("id")).alias("t"))
     got = distractors.from_other_groups(df, "id", "g", "t", 70).groupBy("id").count().collect()
     assert len(got) == 300 and {r["count"] for r in got} == {70}
+
+
+def vocabulary_by_hand(labels, k, pool=64):
+    """``label: [(other, shared)]``; the last resort, labels without a common word, is not checked beyond its number."""
+    labels = sorted(set(labels))
+    words = {l: set(l.split(" ")) for l in labels}
+    first = {}
+    for l in sorted(labels, key=lambda l: (sha("pool", l), l)):
+        for w in words[l]:
+            first.setdefault(w, []).append(l)
+    out = {}
+    for l in labels:
+        share = {o: len(words[l] & words[o]) for o in labels if o != l}
+        many = sorted((o for o in share if share[o] > 1), key=lambda o: (-share[o], sha(l, o)))
+        one = sorted({o for w in words[l] for o in first[w][:pool] if o != l and share[o] == 1}, key=lambda o: sha(l, o))
+        out[l] = [(o, share[o]) for o in (many + one)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("common,vocabulary", [(True, 3000), (True, 40), (False, 60)])
+def test_labels_by_shared_words(spark, common, vocabulary):
+    """Also where one word is in every label, which must not bring all pairs together."""
+    rng = random.Random(vocabulary)
+    labels = ["all " * common + " ".join(f"w{x}" for x in rng.sample(range(vocabulary), rng.randrange(1, 4))) for _ in range(700)] + ["", "alone"]
+    df = spark.createDataFrame([(l,) for l in labels] + [(None,)], "label string").repartition(3)
+    got = {}
+    for r in distractors.from_vocabulary(df, "label", 4).collect():
+        got.setdefault(r["label"], []).append((r["rank"], r["other"], r["shared"]))
+    want = vocabulary_by_hand(labels, 4)
+    for l, others in want.items():
+        found = sorted(got[l])
+        assert [i for i, _, _ in found] == [1, 2, 3, 4]
+        assert [(o, n) for _, o, n in found if n] == others
+
+
+def test_a_word_of_all_labels_brings_no_pairs_together(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("all u"), F.col("id"), F.lit(" v"), F.col("id") % 5000).alias("label"))
+    spark.sparkContext.setJobGroup("vocabulary", "")
+    rows = distractors.from_vocabulary(df, "label", 3)
+    assert rows.count() == 60_000 and rows.where("shared < 2").count() == 0  # 4e8 pairs share a word, 60,000 two
