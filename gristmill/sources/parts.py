@@ -54,6 +54,7 @@ class _PartWriter(DataSourceArrowWriter):
         self.path = local(options["path"].rstrip("/"))
         self.expected = tuple(int(options[k]) for k in ("rows", "one", "two"))
         self.stage = f"{self.path}.parts-{uuid.uuid4().hex}"
+        os.makedirs(self.stage)  # by the driver alone, so a task that outlives an abort finds no folder to write to
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part | None:
         writer, name, rows, sums = None, f"part-{uuid.uuid4().hex}.parquet", 0, [0, 0]
@@ -63,7 +64,6 @@ class _PartWriter(DataSourceArrowWriter):
             rows += batch.num_rows
             out = batch.drop_columns([_ONE, _TWO])
             if writer is None:
-                os.makedirs(self.stage, exist_ok=True)
                 writer = pyarrow.parquet.ParquetWriter(f"{self.stage}/{name}", out.schema)
             writer.write_batch(out)
         if writer is None:
@@ -77,7 +77,6 @@ class _PartWriter(DataSourceArrowWriter):
         if found != self.expected:
             self.abort(messages)
             raise ValueError(f"parts do not cover what was expected: {found[0]} rows of {self.expected[0]}" + ", with other keys" * (found[0] == self.expected[0]))
-        os.makedirs(self.stage, exist_ok=True)
         for name in set(os.listdir(self.stage)) - {m.file for m in parts}:
             os.remove(f"{self.stage}/{name}")
         with open(f"{self.stage}/_SUCCESS", "w"):

@@ -79,7 +79,6 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
 
 def test_files_of_attempts_that_were_not_committed_are_removed(tmp_path):
     writer = parts._PartWriter({"path": str(tmp_path / "out"), "rows": "0", "one": "0", "two": "0"})
-    os.makedirs(writer.stage)
     open(f"{writer.stage}/part-twice.parquet", "w").close()
     writer.commit([None, parts._Part("", 0, 0, 0)])
     assert os.listdir(tmp_path) == ["out"] and os.listdir(tmp_path / "out") == ["_SUCCESS"]
