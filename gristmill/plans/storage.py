@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill import lineage
+from gristmill.functions.hashing import digest
 from gristmill.operators import graph, splits, validation
 from gristmill.sources import archives, parts, scans, sinks
 from gristmill.sources.scans import table
@@ -164,6 +165,45 @@ def _source_counts(spark, path):
     return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"))
 
 
+_WORD8 = "('0x' || substr(sha256(doc_id || ':' || text), {}, 8))::BIGINT"
+
+
+@query("documents_manifest", f"SELECT source, count(*) AS n, sum({_WORD8.format(1)})::BIGINT AS sum, bit_xor({_WORD8.format(1)}) AS xor, sum({_WORD8.format(9)})::BIGINT AS sum2, bit_xor({_WORD8.format(9)}) AS xor2 FROM documents GROUP BY 1")
+def documents_manifest(spark, sf):
+    """A manifest of each source's documents that no task has to gather."""
+    return sinks.hash_manifest(table(spark, sf, "documents"), ["source"], digest("doc_id", "text"))
+
+
+@query(
+    "line_options",
+    """WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: lower(trim(x))) AS o FROM documents)
+    SELECT doc_id, CASE WHEN len(o) < 2 THEN 'too_few_options' WHEN len(o) > 10 THEN 'too_many_options' WHEN list_contains(o, '') THEN 'blank_option'
+                        WHEN len(list_distinct(o)) < len(o) THEN 'duplicate_option' END AS reason FROM l""",
+)
+def line_options(spark, sf):
+    """The lines of each document as options of a question: which of them are no valid list."""
+    return table(spark, sf, "documents").select("doc_id", validation.options_reason(F.split("text", "\n")).alias("reason"))
+
+
+_FOUR = "[x::DOUBLE FOR x IN embedding[1:4]]"
+
+
+@query(
+    "vector_probabilities",
+    f"""WITH v AS (SELECT vec_id, {_FOUR} AS x FROM embeddings), s AS (SELECT vec_id, x, list_sum(x) AS s, x[1] * x[1] + x[2] * x[2] + x[3] * x[3] + x[4] * x[4] AS q FROM v),
+    p AS (SELECT vec_id, list_transform(x, lambda e: round(e * e / q, 2)) AS squares, list_transform(x, lambda e: e / s) AS shares FROM s)
+    SELECT vec_id, CASE WHEN abs(list_sum(squares) - 1) > 0.001 THEN 'sum_not_one' END AS rounded,
+           CASE WHEN len(list_filter(shares, lambda e: e < 0 OR e > 1)) > 0 THEN 'out_of_range' END AS signed FROM p""",
+)
+def vector_probabilities(spark, sf):
+    """Squares of four components as probabilities of two digits, which may miss 1, and their signed shares, which may be out of range."""
+    x = F.transform(F.slice("embedding", 1, 4), lambda e: e.cast("double"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, e: a + e)
+    v = table(spark, sf, "embeddings").select("vec_id", x.alias("x")).select("vec_id", "x", total(F.transform("x", lambda e: e * e)).alias("q"), total(F.col("x")).alias("s"))
+    squares, shares = F.transform("x", lambda e: F.round(e * e / F.col("q"), 2)), F.transform("x", lambda e: e / F.col("s"))
+    return v.select("vec_id", validation.probabilities_reason(squares, F.lit(4)).alias("rounded"), validation.probabilities_reason(shares, F.lit(4)).alias("signed"))
+
+
 @query(
     "incremental_components",
     f"""WITH RECURSIVE k AS (SELECT doc_id, 'c' || sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')))) AS key FROM documents
