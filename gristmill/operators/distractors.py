@@ -45,7 +45,9 @@ def from_other_groups(df: DataFrame, row: str, group: str, text: str, k: int) ->
     fewer than k only if there are no more. A text that other groups have too is one of theirs; a row's own text is
     none. ``row`` must be a key; a null group is a group.
     """
-    texts = stable(df.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(F.struct(F.col(group).alias("g"))).alias("_low"), F.max(F.struct(F.col(group).alias("g"))).alias("_high")).select(text, F.col("_low.g").alias("_low"), F.col("_high.g").alias("_high")))
+    one = F.struct(F.col(group).alias("g"))  # so null is a group
+    texts = df.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(one).alias("_low"), F.max(one).alias("_high"))
+    texts = stable(texts.select(text, F.col("_low.g").alias("_low"), F.col("_high.g").alias("_high")))
     n, size = max(1, -(-texts.count() // BUCKET)), max(BUCKET, 3 * k)
     spread = lambda c: (hash8(digest(F.lit("pool"), c)) % n).cast("int")
     pools = texts.select(spread(text).alias("_b"), F.col(text).alias("_t"), "_low", "_high")

@@ -83,8 +83,8 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     """
     number = F.col(value).cast("double")
     rows = df.select(F.struct(*by).alias("_key"), number.alias("_v"), *by)
-    counts = rows.groupBy("_key").agg(F.count("_v").alias("n"), F.count("*").alias("_rows"), *[F.percentile_approx("_v", [max(p - 3 / held, 0.0), min(p + 3 / held, 1.0)], held).alias(f"_b{i}") for i, p in enumerate(shares.values())])
-    counts = stable(counts)
+    brackets = [F.percentile_approx("_v", [max(p - 3 / held, 0.0), min(p + 3 / held, 1.0)], held).alias(f"_b{i}") for i, p in enumerate(shares.values())]
+    counts = stable(rows.groupBy("_key").agg(F.count("_v").alias("n"), F.count("*").alias("_rows"), *brackets))
     total = counts.agg(F.sum("_rows")).first()[0] or 0
     out = lambda cols: [F.col(f"_key.{b}").alias(b) for b in by] + ["n", *cols]
     large = counts.where(F.col("n") > held)
@@ -95,7 +95,8 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     small = within.where(F.col("n") <= held).groupBy("_key").agg(F.count("_v").alias("n"), *[F.round(F.percentile("_v", F.lit(p)), 6).alias(name) for name, p in shares.items()])
     parts = within.where(F.col("n") > held)
     below = parts.groupBy("_key").agg(*[F.count_if(F.col("_v") < F.col(f"_b{i}")[0]).alias(f"_below{i}") for i in range(len(shares))])
-    inside = parts.select("_key", "_v", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("_v").between(F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]).alias("in")) for i in range(len(shares))])).alias("_s")).where("_s.in")
+    held_by = [F.struct(F.lit(i).alias("i"), F.col("_v").between(F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]).alias("in")) for i in range(len(shares))]
+    inside = parts.select("_key", "_v", F.explode(F.array(*held_by)).alias("_s")).where("_s.in")
     values = inside.groupBy("_key", "_s.i", "_v").agg(F.count("*").alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy("_key", "i").orderBy("_v"))
     runs = values.withColumn("_upto", upto).join(below.join(large.select("_key", "n"), "_key"), "_key")

@@ -108,7 +108,11 @@ def quarantined_rows(spark, sf):
     return spark.read.parquet(f"{path}/accepted").select("doc_id", F.lit("accepted").alias("side")).unionByName(rejected)
 
 
-@query("moved_locks", "SELECT n_name AS repo, md5(n_name) AS pinned, md5(n_name || CASE WHEN s THEN '+' ELSE '' END) AS head FROM nation JOIN (SELECT n_nationkey, count(s_suppkey) > avg(count(s_suppkey)) OVER () AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1) USING (n_nationkey) WHERE s")
+@query(
+    "moved_locks",
+    """WITH s AS (SELECT n_nationkey, count(s_suppkey) > avg(count(s_suppkey)) OVER () AS moved FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1)
+    SELECT n_name AS repo, md5(n_name) AS pinned, md5(n_name || '+') AS head FROM nation JOIN s USING (n_nationkey) WHERE moved""",
+)
 def moved_locks(spark, sf):
     """A lock file of nations as sources; those with more suppliers than the mean have a new head."""
     nation, path = table(spark, sf, "nation"), lineage.scratch(spark)
@@ -116,7 +120,8 @@ def moved_locks(spark, sf):
     pins = scans.jsonl(spark, path, "repo string, revision string")
     counts = nation.join(table(spark, sf, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.count("s_suppkey").alias("n"))
     mean = counts.agg(F.avg("n").alias("mean"))  # one row
-    heads = counts.crossJoin(F.broadcast(mean)).select(F.col("n_name").alias("repo"), F.md5(F.concat("n_name", F.when(F.col("n") > F.col("mean"), "+").otherwise(""))).alias("revision"))
+    name = F.concat("n_name", F.when(F.col("n") > F.col("mean"), "+").otherwise(""))
+    heads = counts.crossJoin(F.broadcast(mean)).select(F.col("n_name").alias("repo"), F.md5(name).alias("revision"))
     return scans.locked(pins, heads)
 
 
@@ -145,7 +150,8 @@ def release_readback(spark, sf):
     orders = table(spark, sf, "orders")
     sinks.write_splits(orders.select("o_orderkey", F.col("o_orderstatus").alias("split")), path, "split", ["o_orderkey"])
     before = lineage.stable(sinks.packaged(spark, path))
-    small = orders.groupBy("o_orderstatus").agg(F.count("*").alias("n")).crossJoin(F.broadcast(orders.agg((F.count("*") / F.count_distinct("o_orderstatus")).alias("mean")))).where("n < mean")  # one row
+    mean = orders.agg((F.count("*") / F.count_distinct("o_orderstatus")).alias("mean"))  # one row
+    small = orders.groupBy("o_orderstatus").agg(F.count("*").alias("n")).crossJoin(F.broadcast(mean)).where("n < mean")
     for r in small.select("o_orderstatus").collect():  # a split each
         lineage.removed(spark, f"{path}/split={r[0]}")
     gone = sinks.readback(spark, path, before).where("now IS NULL")
@@ -168,7 +174,11 @@ def _source_counts(spark, path):
 _WORD8 = "('0x' || substr(sha256(doc_id || ':' || text), {}, 8))::BIGINT"
 
 
-@query("documents_manifest", f"SELECT source, count(*) AS n, sum({_WORD8.format(1)})::BIGINT AS sum, bit_xor({_WORD8.format(1)}) AS xor, sum({_WORD8.format(9)})::BIGINT AS sum2, bit_xor({_WORD8.format(9)}) AS xor2 FROM documents GROUP BY 1")
+@query(
+    "documents_manifest",
+    f"""WITH w AS (SELECT source, {_WORD8.format(1)} AS a, {_WORD8.format(9)} AS b FROM documents)
+    SELECT source, count(*) AS n, sum(a)::BIGINT AS sum, bit_xor(a) AS xor, sum(b)::BIGINT AS sum2, bit_xor(b) AS xor2 FROM w GROUP BY 1""",
+)
 def documents_manifest(spark, sf):
     """A manifest of each source's documents that no task has to gather."""
     return sinks.hash_manifest(table(spark, sf, "documents"), ["source"], digest("doc_id", "text"))
@@ -199,7 +209,8 @@ def vector_probabilities(spark, sf):
     """Squares of four components as probabilities of two digits, which may miss 1, and their signed shares, which may be out of range."""
     x = F.transform(F.slice("embedding", 1, 4), lambda e: e.cast("double"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, e: a + e)
-    v = table(spark, sf, "embeddings").select("vec_id", x.alias("x")).select("vec_id", "x", total(F.transform("x", lambda e: e * e)).alias("q"), total(F.col("x")).alias("s"))
+    v = table(spark, sf, "embeddings").select("vec_id", x.alias("x"))
+    v = v.select("vec_id", "x", total(F.transform("x", lambda e: e * e)).alias("q"), total(F.col("x")).alias("s"))
     squares, shares = F.transform("x", lambda e: F.round(e * e / F.col("q"), 2)), F.transform("x", lambda e: e / F.col("s"))
     return v.select("vec_id", validation.probabilities_reason(squares, F.lit(4)).alias("rounded"), validation.probabilities_reason(shares, F.lit(4)).alias("signed"))
 
@@ -218,7 +229,8 @@ def incremental_components(spark, sf):
     key = F.explode(F.array_compact(F.array(F.concat(F.lit("c"), "content"), F.concat(F.lit("m"), "mail"))))
     # Nodes are ordered pairs, so a document is before every key.
     node = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("name"))
-    links = lineage.stable(d.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key")).select("doc_id", node(0, F.lpad(F.col("doc_id").cast("string"), 20, "0")).alias("a"), node(1, F.col("key")).alias("b")))
+    pairs = d.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"))
+    links = lineage.stable(pairs.select("doc_id", node(0, F.lpad(F.col("doc_id").cast("string"), 20, "0")).alias("a"), node(1, F.col("key")).alias("b")))
     forest = None
     for batch in range(3):
         some = links.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == batch)
