@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import synthetic_score
-from gristmill.functions.vectors import entropy_confidence, expectation, softmax
+from gristmill.functions.vectors import argmax, entropy_confidence, expectation, softmax
 
 from .typed import option_keys
 
@@ -56,9 +56,13 @@ def evaluate(requests: DataFrame, scorer: Callable[[str, str, list[str]], list[f
 
 
 def minus_prior(df: DataFrame, z: str, prior: str, weights: list[float]) -> DataFrame:
-    """One row for each weight, with the prior's logits subtracted at that weight and renormalised."""
+    """One row for each weight: ``p`` with the prior's logits subtracted at that weight and renormalised, and ``pick``.
+
+    The pick is the first largest of the logits: some that differ in the last digit have equal exponentials.
+    """
     out = df.withColumn("weight", F.explode(F.array(*map(F.lit, weights))))
-    return out.withColumn("p", softmax(F.zip_with(z, prior, lambda a, b: a - F.col("weight") * b)))
+    less = out.withColumn("_less", F.zip_with(z, prior, lambda a, b: a - F.col("weight") * b))
+    return less.withColumn("pick", argmax(F.col("_less"))).withColumn("p", softmax(F.col("_less"))).drop("_less")
 
 
 def order_balanced(long: DataFrame, row: list[str], key: str, score: str) -> DataFrame:

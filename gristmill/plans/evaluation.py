@@ -200,7 +200,7 @@ def order_balanced_logits(spark, sf):
 def prior_subtraction(spark, sf):
     o = orders(spark, sf).select("o_orderkey", decide.stub_scores("o_orderkey", priorities(), "m1").alias("z"), decide.stub_scores("o_orderkey", priorities(), "prior").alias("q"))
     p = decide.minus_prior(o, "z", "q", [0.0, 0.5, 1.0])
-    return p.select("o_orderkey", "weight", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("pick"), F.round(F.array_max("p"), 6).alias("confidence"))
+    return p.select("o_orderkey", "weight", "pick", F.round(F.array_max("p"), 6).alias("confidence"))
 
 
 @query("run_agreement", f"""WITH z AS (SELECT {_Z.format(pr=_PR, m='m1')} AS x, {_Z.format(pr=_PR, m='m2')} AS y FROM orders),

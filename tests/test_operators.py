@@ -209,3 +209,11 @@ def test_texts(spark):
     assert [tuple(r) for r in df.select(texts.display_label(F.col("l")), texts.canonical_text(F.col("j"))).collect()] == [("Playing Guitar2 Solo", '{"a": null, "b": [1, {"a": "é", "z": 1}]}'), ("Yo-Yo", "plain"), (None, None)]
     a = spark.sql("SELECT array(array(1, 2, 3), array(1, 2, 4), array(1, 2)) AS x, array(array(1), array(2)) AS y, cast(array() AS array<array<int>>) AS z, array('a b', 'b c', NULL) AS o")
     assert tuple(a.select(*[texts.common_prefix(F.col(c)) for c in "xyz"], F.round(texts.likeness(F.col("o")), 6), F.round(texts.softcap(F.lit(100.0), 30.0), 4)).first()) == (2, 0, 0, 0.363333, 29.9237)
+
+
+def test_prior_is_subtracted_before_the_pick(spark):
+    """The second logit is larger by less than its exponential shows."""
+    a, b = 0.1 + 0.2, 0.3
+    df = spark.createDataFrame([([b, a, 0.0], [0.0, 0.0, 0.0])], "z array<double>, q array<double>")
+    row = decide.minus_prior(df, "z", "q", [1.0]).first()
+    assert a > b and row["p"][0] == row["p"][1] and row["pick"] == 1
