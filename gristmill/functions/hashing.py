@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,11 +31,24 @@ def bucket(hexed: Column, n: int) -> Column:
     return F.pmod(hash8(hexed), F.lit(n)).cast("int")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` names it and in whatever branch it stands."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def full_mod(hexed: Column, n: int) -> Column:
-    """The whole 256-bit digest modulo ``n``, by folding digits."""
-    kind = "int" if n <= 1 << 26 else "long"  # 16 * n must fit
-    digits = F.transform(F.split(hexed, ""), lambda c: F.conv(c, 16, 10).cast(kind))
-    return F.aggregate(digits, F.lit(0).cast(kind), lambda acc, d: ((acc * 16 + d) % n).cast(kind))
+    """The whole 256-bit digest (64 hex digits) modulo ``n``, by folding as many digits at a time as a long holds beside ``n``."""
+    width = (63 - n.bit_length()) // 4
+    kind = "int" if n <= 1 << 26 else "long"
+
+    def folded(h: Column) -> Column:
+        acc = F.lit(0).cast("long")
+        for at in range(0, 64, width):
+            some = min(width, 64 - at)
+            acc = (acc * F.lit(16**some).cast("long") + F.conv(F.substring(h, at + 1, some), 16, 10).cast("long")) % F.lit(n).cast("long")
+        return acc.cast(kind)
+
+    return once(hexed, folded)
 
 
 def normalised(c: Column | str, unicode: bool = False) -> Column:

@@ -30,7 +30,9 @@ LADDER = ((60, "train"), (70, "dev"), (85, "calibration"))
 def hashed(*key: Column | str, full: bool = False, steps=LADDER, last: str = "test") -> Column:
     """Buckets of 100 of the key's digest; ``full`` takes all 256 bits instead of the first 32."""
     d = digest(*key)
-    return ladder(full_mod(d, 100) if full else bucket(d, 100), list(steps), last)
+    # A name for each bucket: a ladder would compute the bucket for each of its steps.
+    names = F.array(*[F.lit(next((name for bound, name in steps if i < bound), last)) for i in range(100)])
+    return F.get(names, full_mod(d, 100) if full else bucket(d, 100))
 
 
 def official_first(official: Column, fallback: Column, mapping: dict[str, str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.hashing import digest
+from gristmill.functions.hashing import digest, once
 from gristmill.functions.vectors import rotate
 
 from .schema import DECISION
@@ -55,12 +55,12 @@ def prefixed(options: Column) -> Column:
 def hash_order(values: Column, *salt: Column | str) -> Column:
     """Values by the digest of salt and value: a shuffle that any engine repeats."""
     keyed = F.transform(values, lambda v: F.struct(digest(*salt, v).alias("h"), v.alias("v")))
-    return F.transform(F.array_sort(keyed), lambda s: s["v"])
+    return F.transform(F.sort_array(keyed), lambda s: s["v"])
 
 
 def rotate_by_hash(values: Column, hashed: Column) -> Column:
     """Values rotated by a hash modulo their number."""
-    return rotate(values, F.pmod(hashed, F.greatest(F.size(values), F.lit(1)).cast("long")).cast("int"))
+    return once(values, lambda v: once(F.pmod(hashed, F.greatest(F.size(v), F.lit(1)).cast("long")).cast("int"), lambda k: rotate(v, k)))
 
 
 def all_rotations(df: DataFrame, values: str, out: str = "rotated", shift: str = "shift") -> DataFrame:
