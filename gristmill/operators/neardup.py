@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,10 @@ from .graph import connected_components
 from .skew import spread_join
 
 
+#: Differences within a radius up to which the codes that are near to one are listed instead of met in bands.
+LISTED = 1024
+
+
 def sign_code(values: Column, bits: int) -> Column:
     """Bit i is set where value i is positive; up to 63 bits."""
     flags = F.transform(F.slice(values, 1, bits), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
@@ -18,13 +25,20 @@ def sign_code(values: Column, bits: int) -> Column:
 
 
 def near_codes(df: DataFrame, code: str, bits: int, radius: int) -> DataFrame:
-    """``x, y`` (x < y) of all different codes within ``radius``; exact, by pigeonhole bands.
+    """``x, y`` (x < y) of all different codes within ``radius``, of ``bits`` bits each; exact.
 
-    Of ``radius + 1`` bands of the code a pair within the radius shares one at least; a pair that shares several is
+    Where few differences are within the radius (210 for 2 of 20 bits), each code lists the larger codes that are near to
+    it, and those that occur are kept: the work is a fixed number for each code, however full the codes are. Else codes
+    meet in pigeonhole bands: of ``radius + 1`` bands of the code a pair within the radius shares one at least; a pair that shares several is
     taken in the first. Equal codes are one candidate, so copies do not multiply candidates.
     """
-    width = -(-bits // (radius + 1))
     codes = df.select(F.col(code).alias("c")).where("c IS NOT NULL").distinct()
+    if sum(comb(bits, r) for r in range(1, radius + 1)) <= LISTED:
+        flips = [sum(1 << i for i in some) for r in range(1, radius + 1) for some in combinations(range(bits), r)]
+        listed = codes.select(F.col("c").alias("x"), F.explode(F.array(*[F.lit(m).cast("long") for m in flips])).alias("m"))
+        larger = listed.select("x", F.col("x").bitwiseXOR(F.col("m")).alias("y")).where("y > x")
+        return larger.join(codes.select(F.col("c").alias("y")), "y", "left_semi").select("x", "y")
+    width = -(-bits // (radius + 1))
     band = lambda c, i: F.shiftright(c, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
     keys = F.array(*[F.struct(F.lit(i).alias("i"), band(F.col("c"), i).alias("v")) for i in range(radius + 1)])
     bands = codes.select("c", F.explode(keys).alias("k")).select("c", "k.i", "k.v")

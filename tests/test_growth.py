@@ -18,3 +18,14 @@ def test_a_digest_is_computed_once(spark):
         assert all(r["m"] == int(r["h"], 16) % n for r in rows)
     ladder = splits.ladder(hashing.full_mod(hashing.digest("id"), 100), list(splits.LADDER), "test")
     assert df.select("split").collect() == spark.range(40).select(ladder.alias("split")).collect()
+
+
+def test_near_codes_are_listed(spark):
+    """A thousand codes that share their low bands: each lists 210 neighbours, none meets a thousand."""
+    from gristmill.operators import neardup
+
+    codes = spark.range(1000).select((F.col("id") * 1024).alias("c"))
+    got = neardup.near_codes(codes, "c", 20, 2)
+    values = [i * 1024 for i in range(1000)]
+    assert {tuple(r) for r in got.collect()} == {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 2}
+    assert "Generate explode" in plan(got) and "bit_count" not in plan(got)
