@@ -189,9 +189,9 @@ def cluster_bootstrap(spark, sf):
     m AS (SELECT o_orderkey, key, list_avg(list_transform(range(5), lambda r: ('0x' || substr(sha256('rot' || r || o_orderkey || key), 1, 4))::INT / 65535.0::DOUBLE)) AS mean FROM k),
     x AS (SELECT *, exp(mean - max(mean) OVER (PARTITION BY o_orderkey)) AS e FROM m) SELECT o_orderkey, key, round(mean, 6) AS mean, round(e / sum(e) OVER (PARTITION BY o_orderkey), 6) AS p FROM x""")
 def order_balanced_logits(spark, sf):
-    o = orders(spark, sf).select("o_orderkey", F.explode(priorities()).alias("key"))
-    long = o.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("score", synthetic_score(F.lit("rot"), "r", "o_orderkey", "key"))
-    return decide.order_balanced(long, ["o_orderkey"], "key", "score")
+    """An order's scores under all five rotations of its options stay in its row."""
+    scores = F.transform(priorities(), lambda k: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda r: synthetic_score(F.lit("rot"), r, "o_orderkey", k)))
+    return decide.order_balanced_arrays(orders(spark, sf).select("o_orderkey"), ["o_orderkey"], priorities(), scores, "key")
 
 
 @query("prior_subtraction", f"""WITH z AS (SELECT o_orderkey, {_Z.format(pr=_PR, m='m1')} AS z, {_Z.format(pr=_PR, m='prior')} AS q FROM orders), w AS (SELECT *, unnest([0.0, 0.5, 1.0])::DOUBLE AS weight FROM z),
