@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import digest, hash8
 from gristmill.lineage import stable
-from gristmill.operators.skew import spread_join
+from gristmill.operators.skew import broadcast_small, spread_join
 
 #: Texts of one bucket on average, and of the pool that rows fall back on, for each group.
 BUCKET = 64
@@ -35,38 +35,53 @@ def _fallback(texts: DataFrame, text: str, size: int) -> tuple[DataFrame, DataFr
     return stable(owners), stable(met.withColumn("_i", rank).where(F.col("_i") <= size).select("_own", F.col(text).alias("_pt")))
 
 
-def from_other_groups(df: DataFrame, row: str, group: str, text: str, k: int) -> DataFrame:
-    """``row, rank, text``: k different texts of other groups for each row, without pairs of all and without rounds.
+def with_others(df: DataFrame, row: str, group: str, text: str, k: int, out: str, where: Column | None = None) -> DataFrame:
+    """``df`` with an array ``out`` of k different texts of other groups beside each row, without pairs of all and without rounds.
 
     Texts are dealt into buckets by hash; a row's candidates are those of the bucket of its own hash, ranked by a digest
     of row and text. A row that finds fewer than k there, as its group has most of the bucket, goes on with a pool of
     64 texts that is the same for all rows of its group: the first by hash that other groups have, ranked likewise. So one
     join with buckets of bounded size and one with a small pool do, however the texts are dealt over groups, and a row gets
     fewer than k only if there are no more. A text that other groups have too is one of theirs; a row's own text is
-    none. ``row`` must be a key; a null group is a group.
+    none. ``row`` must be a key; a null group is a group. Rows outside ``where`` get an empty array and give no text.
+
+    A bucket is one array that is ranked inside the row, so rows meet no candidates by a shuffle: only texts are
+    shuffled, and rows where the buckets are too large to be broadcast.
     """
+    where = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     one = F.struct(F.col(group).alias("g"))  # so null is a group
-    texts = df.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(one).alias("_low"), F.max(one).alias("_high"))
+    texts = df.where(where & F.col(text).isNotNull()).groupBy(text).agg(F.min(one).alias("_low"), F.max(one).alias("_high"))
     texts = stable(texts.select(text, F.col("_low.g").alias("_low"), F.col("_high.g").alias("_high")))
     n, size = max(1, -(-texts.count() // BUCKET)), max(BUCKET, 3 * k)
     spread = lambda c: (hash8(digest(F.lit("pool"), c)) % n).cast("int")
-    pools = texts.select(spread(text).alias("_b"), F.col(text).alias("_t"), "_low", "_high")
-    rows = df.select(row, F.col(group).alias("_g"), F.col(text).alias("_own"), spread(row).alias("_at"))
-    foreign = ~(F.col("_own").eqNullSafe(F.col("_t")) | (F.col("_g").eqNullSafe(F.col("_low")) & F.col("_g").eqNullSafe(F.col("_high"))))
-    rank = lambda: F.row_number().over(Window.partitionBy(row).orderBy(digest(row, "_t")))
-    near = rows.join(pools, F.col("_at") == F.col("_b")).where(foreign).withColumn("rank", rank()).where(F.col("rank") <= k)
-    near = stable(near.select(row, "rank", F.col("_t").alias(text)))
-    few = rows.join(near.groupBy(row).agg(F.count("*").alias("_have")), row, "left").withColumn("_have", F.coalesce("_have", F.lit(0))).where(F.col("_have") < k)
-    few = stable(few)
-    if few.isEmpty():
-        return near
+    candidate = F.struct(F.col(text).alias("t"), F.col("_low").alias("low"), F.col("_high").alias("high"))
+    buckets = stable(texts.groupBy(spread(text).alias("_b")).agg(F.collect_list(candidate).alias("_bucket")))  # ``BUCKET`` on average
     owners, pool = _fallback(texts, text, size)
-    mine = F.struct(F.col("_g").alias("g"))
-    keyed = few.withColumnRenamed("_own", "_text").join(F.broadcast(owners.select(F.col("_alone").alias("_pool"))), mine == F.col("_pool"), "left")
+    pools = pool.groupBy("_own").agg(F.collect_list(F.struct(F.col("_pt").alias("t"), spread("_pt").alias("b"))).alias("_pool"))
+
+    def ranked(texts_: Column, most: Column) -> Column:
+        """By ``digest(row, text)``: 64 hex digits before each text are sorted as one string."""
+        keyed = F.transform(texts_, lambda s: F.concat(F.sha2(F.concat("_start", s["t"].cast("string")), 256), s["t"].cast("string")))
+        return F.transform(F.slice(F.sort_array(keyed), F.lit(1), most), lambda x: F.substring(x, 65, 1 << 30).cast(kind))
+
+    kind, start = dict(df.dtypes)[text], F.concat_ws(":", F.col(row).cast("string"), F.lit(""))
+    own = lambda s: F.col(text).eqNullSafe(s["t"])
+    home = lambda s: F.col(group).eqNullSafe(s["low"]) & F.col(group).eqNullSafe(s["high"])
+    met = df.withColumns({"_for": where, "_at": spread(row), "_start": start}).join(broadcast_small(buckets), (F.col("_at") == F.col("_b")) & F.col("_for"), "left")
+    near = ranked(F.filter("_bucket", lambda s: ~(own(s) | home(s))), F.lit(k))
+    met = met.withColumn("_near", F.coalesce(near, F.array().cast(f"array<{kind}>"))).drop("_b", "_bucket")
+    few = F.col("_for") & (F.size("_near") < k)
     # The pool's rows and its groups are bounded by its size, so they are broadcast.
-    met = keyed.join(F.broadcast(pool), F.col("_pool").eqNullSafe(F.col("_own"))).where(~F.col("_text").eqNullSafe(F.col("_pt")) & (spread("_pt") != F.col("_at")))
-    more = met.withColumn("_i", F.row_number().over(Window.partitionBy(row).orderBy(digest(row, "_pt"))) + F.col("_have")).where(F.col("_i") <= k)
-    return near.unionByName(more.select(row, F.col("_i").cast("int").alias("rank"), F.col("_pt").alias(text)))
+    keyed = met.join(F.broadcast(owners.select(F.col("_alone").alias("_owner"))), (one == F.col("_owner")) & few, "left")
+    full = keyed.join(F.broadcast(pools), F.col("_owner").eqNullSafe(F.col("_own")) & few, "left")
+    more = ranked(F.filter("_pool", lambda s: ~own(s) & (s["b"] != F.col("_at"))), F.lit(k) - F.size("_near"))
+    return full.withColumn(out, F.when(F.col("_pool").isNull(), F.col("_near")).otherwise(F.concat("_near", more))).drop("_for", "_at", "_start", "_near", "_owner", "_own", "_pool")
+
+
+def from_other_groups(df: DataFrame, row: str, group: str, text: str, k: int) -> DataFrame:
+    """``row, rank, text``: the texts of ``with_others``, one a row."""
+    each = with_others(df.select(*dict.fromkeys([row, group, text])), row, group, text, k, "_others")
+    return each.select(row, F.posexplode("_others").alias("_i", "_o")).select(row, (F.col("_i") + 1).alias("rank"), F.col("_o").alias(text))
 
 
 def from_vocabulary(df: DataFrame, label: str, k: int) -> DataFrame:
@@ -77,7 +92,7 @@ def from_vocabulary(df: DataFrame, label: str, k: int) -> DataFrame:
     none together. A label with fewer than k goes on with labels that share one word, drawn from the 64 first by hash
     of each of its words, then with any, drawn by hash. The words of a label are what stands between single blanks.
     """
-    v = df.select(label).where(F.col(label).isNotNull()).distinct()
+    v = stable(df.select(label).where(F.col(label).isNotNull()).distinct())
     words = stable(v.select(label, F.explode(F.array_distinct(F.split(label, " "))).alias("_w")))
     sizes = stable(words.groupBy("_w").agg(F.count("*").alias("_c")))
     total = sizes.agg(F.sum("_c")).first()[0] or 0

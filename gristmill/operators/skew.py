@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 HOT_KEYS, LEAST_ROWS = 512, 128
 
 
+def broadcast_small(side: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """``side`` marked for a broadcast if its rows have at most ``most`` bytes as text; it is read for that, so it should be stored."""
+    size = side.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(side) if size <= most else side
+
+
 def hot_limit(total: int, partitions: int = 0) -> int:
     """Rows of a key, of ``total`` rows, beyond which it is hot: at most ``HOT_KEYS``, or four for each partition, are."""
     return max(LEAST_ROWS, total // max(HOT_KEYS, 4 * partitions))

@@ -39,3 +39,14 @@ def test_scores_of_a_row_are_not_shuffled(spark):
     assert "Exchange" not in plan(got)
     long = df.select("id", F.explode(F.arrays_zip("k", "s")).alias("x")).select("id", F.col("x.k").alias("key"), F.explode("x.s").alias("score"))
     assert sorted(got.collect()) == sorted(decide.order_balanced(long, ["id"], "key", "score").collect())
+
+
+def test_rows_do_not_move_for_their_distractors(spark):
+    """Before, each row met 64 candidates in a window, and came back by a join."""
+    from gristmill.operators import distractors
+
+    df = spark.range(300).select("id", (F.col("id") % 3).alias("g"), F.concat(F.lit("t"), F.col("id") % 90).alias("t"))
+    got = distractors.with_others(df, "id", "g", "t", 3, "o", F.col("id") % 2 == 0)
+    assert "Window" not in plan(got) and "SortMergeJoin" not in plan(got)
+    sizes = got.groupBy(F.col("id") % 2 == 0).agg(F.collect_set(F.size("o"))).collect()
+    assert {r[0]: r[1] for r in sizes} == {True: [3], False: [0]}
