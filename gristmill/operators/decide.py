@@ -69,20 +69,6 @@ def order_balanced(long: DataFrame, row: list[str], key: str, score: str) -> Dat
     """Mean score of each key over all option orders, and its softmax within the row."""
     mean = long.groupBy(*row, key).agg(F.avg(score).alias("mean"))
     gathered = mean.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), "mean"))).alias("o"))  # a row's options only
-    return _balanced(gathered, row, key)
-
-
-def order_balanced_arrays(df: DataFrame, row: list[str], keys: Column, scores: Column, key: str) -> DataFrame:
-    """``order_balanced`` of rows that hold their scores, an array of one for each order beside each of ``keys``: nothing is shuffled."""
-    def mean(a: Column) -> Column:
-        known = F.filter(a, lambda x: x.isNotNull())
-        return F.try_divide(F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x), F.size(known))
-
-    options = F.zip_with(keys, scores, lambda k, a: F.struct(k.alias("key"), mean(a).alias("mean")))
-    return _balanced(df.withColumn("o", F.sort_array(options)), row, key)
-
-
-def _balanced(gathered: DataFrame, row: list[str], key: str) -> DataFrame:
     p = gathered.withColumn("p", softmax(F.transform("o", lambda s: s["mean"])))
     return p.select(*row, F.posexplode("o").alias("i", "s"), "p").select(*row, F.col("s.key").alias(key), F.round("s.mean", 6).alias("mean"), F.round(F.element_at("p", F.col("i") + 1), 6).alias("p"))
 
