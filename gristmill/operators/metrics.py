@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -151,6 +152,19 @@ def paired_delta(wide: DataFrame, by: list[str]) -> DataFrame:
 POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
 
 
+_CUTS = np.array([math.ceil(p * 2**32) for p in POISSON], dtype=np.uint32)
+
+
+def poisson_counts(words: np.ndarray) -> np.ndarray:
+    """How many of ``POISSON`` each word reaches as a share of 2**32; the last cuts are looked at for the few words that reach them."""
+    out = (words >= _CUTS[0]).view(np.uint8)
+    for cut in _CUTS[1:3]:
+        out += (words >= cut).view(np.uint8)
+    top = np.flatnonzero(words >= _CUTS[3])
+    out[top] = np.searchsorted(_CUTS, words[top], side="right")
+    return out
+
+
 def cluster_bootstrap(wide: DataFrame, cluster: str, resamples: int = 2000, seed: str = "boot") -> DataFrame:
     """``i, mean``: the mean of b - a in resamples of whole clusters.
 
@@ -171,12 +185,14 @@ def cluster_bootstrap(wide: DataFrame, cluster: str, resamples: int = 2000, seed
             for at in range(0, len(names), 256):
                 some = names[at : at + 256]
                 raw = b"".join(sha256(s + n).digest() for n in some for s in steps)
-                counts = np.searchsorted(POISSON, np.frombuffer(raw, dtype=">u4").astype(np.float64) / 4294967296.0, side="right")
-                sums += np.nan_to_num(numbers[:, at : at + 256]) @ counts.reshape(len(some), 8 * words)
+                counts = poisson_counts(np.frombuffer(raw, dtype=">u4").astype(np.uint32))
+                sums += np.nan_to_num(numbers[:, at : at + 256]) @ counts.reshape(len(some), 8 * words).astype(np.float64)
         if sums[0].any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums[0][:resamples]), pa.array(sums[1][:resamples])], ["i", "n", "d"])
 
-    sums = per.select(F.col(cluster).cast("string"), "n", "d").mapInArrow(draw, "i long, n double, d double")
+    # Rows of few bytes and long work: left to itself, Spark unites partitions by bytes to about as many as there are cores.
+    tasks = max(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * wide.sparkSession.sparkContext.defaultParallelism)
+    sums = per.repartition(tasks, cluster).select(F.col(cluster).cast("string"), "n", "d").mapInArrow(draw, "i long, n double, d double")
     return sums.groupBy("i").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).select(F.col("i").cast("int").alias("i"), F.try_divide("d", "n").alias("mean"))
 
 

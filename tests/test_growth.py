@@ -40,3 +40,23 @@ def test_rows_do_not_move_for_their_distractors(spark):
     assert "Window" not in plan(got) and "SortMergeJoin" not in plan(got)
     sizes = got.groupBy(F.col("id") % 2 == 0).agg(F.collect_set(F.size("o"))).collect()
     assert {r[0]: r[1] for r in sizes} == {True: [3], False: [0]}
+
+
+def test_draws_are_dealt_over_all_tasks(spark):
+    """Before, the clusters' few bytes were united to one task for each core or fewer, however long their draws take."""
+    from gristmill.operators import metrics
+
+    wide = spark.range(400).select("id", F.lit(0).alias("a"), (F.col("id") % 2).alias("b"))
+    got = metrics.cluster_bootstrap(wide, "id", 8)
+    assert got.count() == 8
+    assert "REPARTITION_BY_NUM" in plan(got).split("MapInArrow")[1]
+
+
+def test_poisson_counts_at_the_cuts():
+    import numpy as np
+
+    from gristmill.operators import metrics
+
+    near = [int(p * 2**32) + i for p in metrics.POISSON for i in (-1, 0, 1, 2)]
+    words = np.array([0, 2**32 - 1, *near], dtype=np.uint32)
+    assert metrics.poisson_counts(words).tolist() == [sum(w / 2**32 >= p for p in metrics.POISSON) for w in words.tolist()]
