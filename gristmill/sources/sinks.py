@@ -128,7 +128,13 @@ def append_missing(df: DataFrame, path: str, key: str, size: int = 64, lock: str
 
     Running it again after a failure goes on where it stopped. With ``lock``, a digest of what the rows were made from
     (see ``write_lock``), rows made from anything else are an error: it is kept beside ``path``.
+
+    What is there is read once, for the keys. A file costs far more than its few rows, so the rows are dealt over four
+    tasks a core at most, each with some files of its own: left to itself, Spark would go by bytes, and one task would
+    write all files of a narrow table.
     """
+    from gristmill.lineage import stable
+
     spark = df.sparkSession
     if lock is not None:
         held = write_once(spark.createDataFrame([(lock,)], "lock string"), path.rstrip("/") + ".lock")
@@ -137,10 +143,13 @@ def append_missing(df: DataFrame, path: str, key: str, size: int = 64, lock: str
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     todo = df
     if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-        todo = df.join(spark.read.parquet(path).select(key), key, "left_anti")
+        missing = stable(df.select(key).join(spark.read.parquet(path).select(key), key, "left_anti").distinct()).withColumnRenamed(key, "_key")
+        todo = df.join(missing, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     n = todo.count()
     if n:
-        todo.write.option("maxRecordsPerFile", size).mode("append").parquet(path)
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        dealt = todo.repartition(min(tasks, -(-n // size)))
+        dealt.write.option("maxRecordsPerFile", size).mode("append").parquet(path)
     return n
 
 

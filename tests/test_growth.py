@@ -60,3 +60,17 @@ def test_poisson_counts_at_the_cuts():
     near = [int(p * 2**32) + i for p in metrics.POISSON for i in (-1, 0, 1, 2)]
     words = np.array([0, 2**32 - 1, *near], dtype=np.uint32)
     assert metrics.poisson_counts(words).tolist() == [sum(w / 2**32 >= p for p in metrics.POISSON) for w in words.tolist()]
+
+
+def test_many_small_files_are_written_by_many_tasks(spark, tmp_path):
+    """Before, one partition wrote all its files one after the other; rows without a key are still appended."""
+    from gristmill.sources import sinks
+
+    path, df = str(tmp_path / "out"), spark.range(0, 600, 1, 1).select("id", F.lit("x").alias("v"))
+    assert sinks.append_missing(df.where("id < 300"), path, "id", 10) == 300
+    more = df.unionByName(spark.sql("SELECT cast(NULL AS bigint) AS id, 'n' AS v"))
+    assert sinks.append_missing(more, path, "id", 10) == 301
+    got = spark.read.parquet(path)
+    assert got.count() == 601 and got.where("id IS NULL").count() == 1 and got.where("id IS NOT NULL").distinct().count() == 600
+    files = [r["f"] for r in got.select(F.input_file_name().alias("f")).groupBy("f").count().where("count <= 10").collect()]
+    assert len({f.rsplit("/", 1)[1].split("-c0")[0].split("-")[1] for f in files}) > 4 and len(files) >= 61
