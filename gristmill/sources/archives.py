@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from .scans import _length, _span, unsafe
 
 #: Bytes of the unpacked archive in a frame; bytes that a header scan reads ahead; bytes of content in one row.
 FRAME, AHEAD, PART = 8 << 20, 1 << 16, 64 << 20
+#: Bytes of small members that are handed on together.
+HELD = 1 << 20
 #: Bytes that one task should read.
 STRETCH = 256 << 20
 _ENTRY = "location string, member string, first long, size long, frames string, frame long"
@@ -204,14 +207,23 @@ def members(entries: DataFrame, part: int = PART, stretch: int = STRETCH) -> Dat
     # The number of tasks is that of stretches; left to itself, Spark would go by the size of the spans' few numbers.
     dealt = spans.repartition(max(1, spans.select("location", "stretch").distinct().count()), "location", "stretch").sortWithinPartitions("location", "first")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([("location", pa.string()), ("member", pa.string()), ("part", pa.int32()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, bytes] = {}
-        for frame in frames:
-            for location, store, unit, member, number, first, size in frame.itertuples(index=False):
-                data = _content(location, store, unit, int(first), int(size), cache)
-                yield pd.DataFrame({"location": [location], "member": [member], "part": [number], "content": [data]})
+        some, held = [], 0
+        for batch in batches:
+            for location, store, unit, member, number, first, size in zip(*(c.to_pylist() for c in batch.columns)):
+                data = _content(location, store, unit, first, size, cache)
+                some.append({"location": location, "member": member, "part": number, "content": data})
+                held += len(data)
+                if held >= HELD or len(some) == 1024:
+                    yield pa.RecordBatch.from_pylist(some, kinds)
+                    some, held = [], 0
+        if some:
+            yield pa.RecordBatch.from_pylist(some, kinds)
 
-    return dealt.select("location", "frames", F.coalesce("frame", F.lit(0)), "member", "part", "first", "size").mapInPandas(run, "location string, member string, part int, content binary")
+    return dealt.select("location", "frames", F.coalesce("frame", F.lit(0)), "member", "part", "first", "size").mapInArrow(run, "location string, member string, part int, content binary")
 
 
 def wanted(entries: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -225,28 +237,30 @@ def write(df: DataFrame, folder: str, member: str, content: str, packed: bool =
     """Writes each partition of ``df`` as one tar file under ``folder``; the paths of those with rows, in order.
 
     A task writes under a name of its own and renames at its end, so a retried or doubled task leaves one whole file.
-    Null contents are empty members, rows without a name are an error.
+    Null contents are empty members, rows without a name are an error. Contents are read
+    where they lie in their batch, none is copied whole.
     """
     where = local(folder.rstrip("/"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         out = f"{where}/part-{TaskContext.get().partitionId():05d}.tar{'.gz' if packed else ''}"
         some, archive = f"{out}.{uuid.uuid4().hex}", None
-        for frame in frames:
-            for name, data in frame.itertuples(index=False):
+        for batch in batches:
+            for name, data in zip(*batch.columns):
+                name, data = name.as_py(), data.as_buffer()
                 if archive is None:
                     os.makedirs(where, exist_ok=True)
                     archive = tarfile.open(some, "w:gz" if packed else "w", format=tarfile.PAX_FORMAT)
                 archive.members = []
                 info = tarfile.TarInfo(name)
-                info.size = len(data or b"")
-                archive.addfile(info, io.BytesIO(data or b""))
+                info.size = data.size if data is not None else 0
+                archive.addfile(info, pa.BufferReader(data) if data is not None else io.BytesIO())
         if archive is not None:
             archive.close()
             os.replace(some, out)
-            yield pd.DataFrame({"path": [out]})
+            yield pa.RecordBatch.from_pylist([{"path": out}])
 
     rows = df.select(F.col(member).cast("string"), F.col(content).cast("binary"))
-    return sorted(r["path"] for r in rows.mapInPandas(run, "path string").collect())
+    return sorted(r["path"] for r in rows.mapInArrow(run, "path string").collect())

@@ -74,3 +74,16 @@ def test_many_small_files_are_written_by_many_tasks(spark, tmp_path):
     assert got.count() == 601 and got.where("id IS NULL").count() == 1 and got.where("id IS NOT NULL").distinct().count() == 600
     files = [r["f"] for r in got.select(F.input_file_name().alias("f")).groupBy("f").count().where("count <= 10").collect()]
     assert len({f.rsplit("/", 1)[1].split("-c0")[0].split("-")[1] for f in files}) > 4 and len(files) >= 61
+
+
+def test_archives_hold_no_copies_of_a_batch(spark, tmp_path):
+    """Before, contents were copied to pandas objects a batch at a time; null and empty ones and many small ones are whole."""
+    from gristmill.sources import archives
+
+    texts = spark.range(0, 3000, 1, 2).select(F.concat(F.lit("m"), "id").alias("member"), F.when(F.col("id") % 7 > 0, F.repeat(F.col("id").cast("string"), (F.col("id") % 200).cast("int"))).cast("binary").alias("content"))
+    for packed in (False, True):
+        entries = archives.index(spark, archives.write(texts, f"{tmp_path}/{packed}", "member", "content", packed), f"{tmp_path}/i{packed}")
+        got = archives.members(entries)
+        assert "MapInArrow" in plan(got) and "MapInPandas" not in plan(got)
+        want = texts.select("member", F.coalesce("content", F.lit(b"")).alias("content"))
+        assert got.select("member", "content").exceptAll(want).isEmpty() and got.count() == 3000
